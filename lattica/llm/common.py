@@ -6,10 +6,12 @@ All of them build DataFrame plans; nothing here runs Python on the executors.
 from __future__ import annotations
 
 import itertools
+import sys
 import tempfile
 import uuid
 from collections.abc import Callable
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -23,6 +25,11 @@ BROADCAST_ROWS = 300_000
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
+def ship(module: str) -> None:
+    """Send the module's functions to Python workers whole, so that executors needn't have the package."""
+    cloudpickle.register_pickle_by_value(sys.modules[module])
+
+
 # ---------------------------------------------------------------- scratch tables
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
