@@ -76,6 +76,15 @@ def small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if rows <= limit else df
 
 
+def settle(df: DataFrame, *names: str) -> DataFrame:
+    """df, with these columns computed where they stand.
+
+    A later filter on them isn't pushed below: there it would compute them twice, and once for
+    each element where a lambda refers to them.
+    """
+    return df.select(*[c for c in df.columns if c not in names], F.inline_outer(F.array(F.struct(*names))))
+
+
 # ---------------------------------------------------------------- text
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z and nothing else; pure ASCII texts take the quicker function."""
@@ -103,7 +112,7 @@ def shingle_hashes(words: Column, k: int) -> Column:
 
 # ---------------------------------------------------------------- SimHash
 def _lanes(hashes: Column, n: Column, width: int) -> Column:
-    """Majority bits of up to 2**width - 1 hashes.
+    """Majority bits of fewer than 2**(width - 1) hashes.
 
     Accumulator k sums the bits k, k + width, ... of every hash in lanes of `width` bits,
     so that one addition counts 64 / width bits.
@@ -128,14 +137,17 @@ def _lanes(hashes: Column, n: Column, width: int) -> Column:
     return F.aggregate(hashes, zero, add, majority)
 
 
-def simhash(hashes: Column, typical: int = 16) -> Column:
+def simhash(hashes: Column, narrow: bool = False) -> Column:
     """64-bit SimHash of an array of 64-bit hashes: a bit is set if it is in over half of them.
 
-    An empty array gives zero. `typical`: the lane width (8 or 16) for arrays it can hold;
-    longer ones take 32-bit lanes.
+    An empty array gives zero. The lanes are as wide as the array needs, and one bit wider lest
+    the topmost overflow; narrow: most arrays have fewer than 128 hashes.
     """
     n = F.size(hashes)
-    return F.when(n == 0, F.lit(0).cast("bigint")).when(n < 2**typical, _lanes(hashes, n, typical)).otherwise(_lanes(hashes, n, 32))
+    out = F.when(n == 0, F.lit(0).cast("bigint"))
+    for width in (8, 16) if narrow else (16,):
+        out = out.when(n < 2 ** (width - 1), _lanes(hashes, n, width))
+    return out.otherwise(_lanes(hashes, n, 32))
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -13,7 +13,7 @@ import itertools
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, hamming, shingle_hashes, simhash, small, split_words, stage, text_of
+from .common import NON_WORD, hamming, settle, shingle_hashes, simhash, small, split_words, stage, text_of
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -90,7 +90,8 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
     sizes = stage(sizes, "sizes")
     table = _filter_words(items)
     own = shingles(docs, "doc_id")
-    hits = own.select("doc_id", "hs", F.filter(F.sequence(F.lit(0), F.size("hs") - 1), lambda i: _may_hold(table, F.get(F.col("hs"), i))).alias("hits")).where("size(hs) > 0 and size(hits) > 0")
+    hits = own.select("doc_id", "hs", F.filter(F.sequence(F.lit(0), F.size("hs") - 1), lambda i: _may_hold(table, F.get(F.col("hs"), i))).alias("hits"))
+    hits = settle(hits, "hs", "hits").where("size(hits) > 0")
     at = hits.select("doc_id", "hs", F.explode("hits").alias("at"))
     first = F.greatest(F.least(F.col("at"), F.size("hs") - longest), F.lit(0))
     near = at.select("doc_id", "at", F.get("hs", F.col("at")).alias("h"), first.alias("first"), F.size("hs").alias("all"), F.slice("hs", first + 1, F.lit(max(longest, 1))).alias("part"))
@@ -107,8 +108,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of fewer than five words matches a document that consists of the same words.
     """
     items = stage(shingles(benchmark, "item_id").where("size(hs) > 0"), "items")
-    found = windows(docs, items).withColumn("fp", simhash(F.col("window"), 8))
-    theirs = items.select("item_id", "hs", F.size("hs").alias("n"), simhash(F.col("hs"), 8).alias("item_fp"))
+    found = windows(docs, items).withColumn("fp", simhash(F.col("window"), narrow=True))
+    theirs = items.select("item_id", "hs", F.size("hs").alias("n"), simhash(F.col("hs"), narrow=True).alias("item_fp"))
     flips = F.array(*[F.lit(x) for x in _flips()])
     probes = theirs.select("item_id", "hs", "n", "item_fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _block(F.col("item_fp"), k).alias("v")) for k in range(BLOCKS)])).alias("b"))
     probes = stage(probes.select("item_id", "n", "item_fp", "b.k", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("b.v")))).alias("v")), "probes")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, small, split_words, stage, text_of
+from .common import SPACE, settle, small, split_words, stage, text_of
 
 #: Relative error of a sketched quantile.
 ALPHA = 0.01
@@ -71,7 +71,7 @@ def measures(docs: DataFrame) -> DataFrame:
     by_sort = F.sort_array(F.transform(F.filter("__p", lambda x, i: ((i > 0) & (near(i - 1) == x["h"])) | F.coalesce(near(i + 1) == x["h"], F.lit(False))), lambda x: x["i"]))
     step = step.withColumn("__p", F.when(F.size("__r") == 0, F.array().cast("array<int>")).when(F.size("__r") <= FEW, by_scan).otherwise(by_sort))
     step = step.withColumn("n_repeat_words", F.when(F.size("__p") == 0, F.lit(0).cast("bigint")).otherwise(_covered(F.col("__p")))).drop("__w", "__l", "__h", "__r", "__p")
-    return step.withColumns(
+    step = step.withColumns(
         {
             "base_failed": (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")),
             "symbol_ratio": F.col("n_symbols") / F.greatest("n_words", F.lit(1)),
@@ -79,6 +79,7 @@ def measures(docs: DataFrame) -> DataFrame:
             "dup_line_ratio": F.col("n_dup_lines") / F.greatest("n_lines", F.lit(1)),
         }
     )
+    return settle(step, *[c for c in step.columns if c not in kept])
 
 
 def sketch(measured: DataFrame) -> DataFrame:
