@@ -1,0 +1 @@
+"""Supervised-learning analytics on tables and compositions, as PySpark plans."""
