@@ -157,39 +157,37 @@ def ppca(df: DataFrame, row_id: str, columns: list[str], components: int | None
     width = len(used)
     data = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in used])
 
-    def filled(pdf: pd.DataFrame, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Standardized rows with their gaps at the projection, and latent places."""
+    def filled(pdf: pd.DataFrame, c: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Standardized rows with their gaps at the projection, latent places, their covariances' sum, and what was seen."""
         y = (pdf[used].to_numpy(dtype=float) - mean) / scale
-        gaps = np.isnan(y)
-        y[gaps] = 0
-        x = np.zeros((len(y), c.shape[1]))
-        for _ in range(20 if gaps.any() else 1):
-            x = np.linalg.solve(c.T @ c + 1e-9 * np.eye(c.shape[1]), c.T @ y.T).T
-            if gaps.any():
-                y[gaps] = (x @ c.T)[gaps]
-        return y, x
-
-    before = None
+        seen = ~np.isnan(y)
+        y = np.where(seen, y, 0.0)
+        own = np.einsum("ij,jk,jl->ikl", seen.astype(float), c, c) + noise * np.eye(c.shape[1])
+        x = np.linalg.solve(own, (y @ c)[:, :, None])[:, :, 0]
+        y = np.where(seen, y, x @ c.T)
+        return y, x, noise * np.linalg.inv(own).sum(0), seen
+
+    before, noise = None, 1.0
     for _ in range(rounds):
 
-        def sums(batches, c=loadings):
-            yx, xx, err = np.zeros((width, c.shape[1])), np.zeros((c.shape[1], c.shape[1])), 0.0
+        def sums(batches, c=loadings, noise=noise):
+            yx, xx, err, n = np.zeros((width, c.shape[1])), np.zeros((c.shape[1], c.shape[1])), 0.0, 0
             for pdf in batches:
-                y, x = filled(pdf, c)
-                yx, xx, err = yx + y.T @ x, xx + x.T @ x, err + float(((y - x @ c.T) ** 2).sum())
-            yield pd.DataFrame({"k": range(yx.size + xx.size + 1), "v": np.concatenate([yx.ravel(), xx.ravel(), [err]])})
+                y, x, spread, seen = filled(pdf, c, noise)
+                yx, xx, err, n = yx + y.T @ x, xx + x.T @ x + spread, err + float((((y - x @ c.T) ** 2) * seen).sum()), n + int(seen.sum())
+            yield pd.DataFrame({"k": range(yx.size + xx.size + 2), "v": np.concatenate([yx.ravel(), xx.ravel(), [err, n]])})
 
         got = {r.k: r.v for r in data.mapInPandas(sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
         flat = np.array([got[k] for k in range(len(got))])
-        yx, xx, err = flat[: width * d].reshape(width, d), flat[width * d : -1].reshape(d, d), flat[-1]
-        loadings = yx @ np.linalg.pinv(xx)
+        yx, xx, (err, n) = flat[: width * d].reshape(width, d), flat[width * d : -2].reshape(d, d), flat[-2:]
+        loadings, noise = yx @ np.linalg.pinv(xx), max(err / max(n, 1), 1e-6)
         if before is not None and abs(before - err) <= tolerance * max(before, 1e-12):
             break
         before = err
 
     def fill(batches):
         for pdf in batches:
-            y, _ = filled(pdf, loadings)
+            y = filled(pdf, loadings, noise)[0]
             out = pd.DataFrame(y * scale + mean, columns=used)
             out.insert(0, row_id, pdf[row_id].to_numpy())
             yield out
