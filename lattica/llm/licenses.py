@@ -9,7 +9,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, discard, small, split_words, stage, text_of
+from .common import NON_WORD, small, split_words, stage, text_of
 
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -35,13 +35,18 @@ TEMPLATES = (
 CONTAINMENT = 0.9
 
 
-def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> DataFrame:
-    """Rows (template, label, tokens, need): distinct words and how many of them a block must hold."""
-    rows = []
-    for i, (label, text) in enumerate(templates):
+def as_sets(templates: Sequence[tuple[str, str]]) -> list[tuple[str, list[str], int]]:
+    """(label, distinct words, how many of them a block must hold) of every template."""
+    out = []
+    for label, text in templates:
         tokens = sorted(set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())))
-        rows.append((i, label, tokens, math.ceil(CONTAINMENT * len(tokens) - 1e-9)))
-    return spark.createDataFrame(rows, "template int, label string, tokens array<string>, need int")
+        out.append((label, tokens, math.ceil(CONTAINMENT * len(tokens) - 1e-9)))
+    return out
+
+
+def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> DataFrame:
+    """Rows (template, label, tokens, need)."""
+    return spark.createDataFrame([(i, *x) for i, x in enumerate(as_sets(templates))], "template int, label string, tokens array<string>, need int")
 
 
 def blocks(docs: DataFrame, vocabulary: Sequence[str], fewest: int) -> DataFrame:
@@ -67,7 +72,7 @@ def contained(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES)
     """
     spark = docs.sparkSession
     table = template_table(spark, templates)
-    local = [(r.tokens, r.need) for r in table.collect()]  # the templates are a parameter
+    local = [(tokens, need) for _, tokens, need in as_sets(templates)]
     vocabulary = sorted({w for tokens, _ in local for w in tokens})
     if not vocabulary:
         return docs.select("doc_id", F.lit(0).alias("block"), F.lit(0).alias("template"), F.lit("").alias("label"), F.lit(0).alias("overlap"), F.lit(0.0).alias("containment")).limit(0)

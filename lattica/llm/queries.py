@@ -60,4 +60,59 @@ QUERIES = {
     f.__name__: f
     for f in (op1_source_mixing, op2_license_scan, op3_warc_bundles, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_token_counts, op7_secret_scan, op8_quality_rules, op9_line_dedup, op10_toxicity)
 }
-ORACLES: dict[str, str] = {}
+
+_LIST = ", ".join(f"({i}, '{label}', {tokens}, {need})" for i, (label, tokens, need) in enumerate(licenses.as_sets(licenses.TEMPLATES)))
+_STARTS = {p: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split(" "))) for p in licenses.PHRASES}
+_LICENSES = (
+    r"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+w AS (SELECT doc_id, list_filter(string_split_regex(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM d),
+b AS (SELECT doc_id, len(w) AS n_words, """
+    + ", ".join(f"[i - 1 FOR i IN range(1, len(w) + 1) IF {hit}] AS p{k}" for k, hit in enumerate(_STARTS.values()))
+    + r""" FROM w),
+c AS (SELECT doc_id, n_words, """
+    + "list_concat(list_concat(p0, p1), list_concat(p2, p3)) AS p, "
+    + "list_filter(["
+    + ", ".join(f"CASE WHEN len(p{k}) > 0 THEN '{label}' END" for k, label in enumerate(licenses.PHRASES.values()))
+    + r"""], lambda x: x IS NOT NULL) AS base FROM b),
+l AS (SELECT doc_id, block, list_distinct(string_split_regex(line, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS s FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line, generate_subscripts(string_split(t, chr(10)), 1) AS block FROM d)),
+tt(template, label, tokens, need) AS (VALUES """
+    + _LIST
+    + """),
+m AS (SELECT doc_id, block, label, len(list_intersect(s, tokens)) / len(tokens) AS c FROM l, tt WHERE len(list_intersect(s, tokens)) >= need),
+a AS (SELECT doc_id, list_distinct(list(label)) AS more, max(c) AS best, count(DISTINCT block) AS n_blocks FROM m GROUP BY doc_id)
+SELECT doc_id, n_words::BIGINT AS n_words, len(p)::BIGINT AS n_base, list_min(p)::BIGINT AS first_word, list_max(p)::BIGINT AS last_word, array_to_string(list_sort(list_distinct(base)), ',') AS base_labels,
+ array_to_string(list_sort(list_distinct(list_concat(base, coalesce(more, []::VARCHAR[])))), ',') AS labels, CASE WHEN len(p) > 0 THEN 1.0 ELSE coalesce(best, 0.0) END::DOUBLE AS score, coalesce(n_blocks, 0)::BIGINT AS n_blocks
+FROM c LEFT JOIN a USING (doc_id)"""
+)
+
+_WARC = """WITH q AS (SELECT page_id, octet_length(encode(coalesce(html, '')))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) ELSE page_id END AS keeper FROM q)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to, true AS intact FROM k"""
+
+_M = quality.MEASURES
+_QUALITY = (
+    r"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
+g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
+r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1),
+v AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY doc_id),
+c AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN v USING (doc_id)),
+m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbol_ratio, word_chars / greatest(n_words, 1) AS word_length, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio FROM c),
+u AS ("""
+    + " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS x FROM m" for k in _M)
+    + f"""),
+b AS (SELECT lang, source, measure, CASE WHEN x > 0 THEN ceil(ln(x) / ln({quality._GAMMA}::DOUBLE)) END AS bin, count(*) AS n FROM u GROUP BY ALL),
+own AS (SELECT lang, source, measure, bin, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total, coalesce(2 * {quality._GAMMA}::DOUBLE / ({quality._GAMMA}::DOUBLE + 1) * pow({quality._GAMMA}::DOUBLE, bin - 1), 0) AS value FROM b),
+every AS (SELECT measure, bin, sum(n) OVER (PARTITION BY measure ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY measure) AS total, coalesce(2 * {quality._GAMMA}::DOUBLE / ({quality._GAMMA}::DOUBLE + 1) * pow({quality._GAMMA}::DOUBLE, bin - 1), 0) AS value FROM (SELECT measure, bin, sum(n) AS n FROM b GROUP BY ALL)),
+o AS (SELECT lang, source, measure, min(value) FILTER (4 * upto >= total) AS q1, min(value) FILTER (4 * upto >= 3 * total) AS q3, max(total) AS total FROM own GROUP BY ALL),
+e AS (SELECT measure, min(value) FILTER (4 * upto >= total) AS e1, min(value) FILTER (4 * upto >= 3 * total) AS e3 FROM every GROUP BY ALL),
+s AS (SELECT lang, source, measure, CASE WHEN total >= {quality.MIN_GROUP} THEN q1 ELSE e1 END AS a, CASE WHEN total >= {quality.MIN_GROUP} THEN q3 ELSE e3 END AS z, CASE measure """
+    + " ".join(f"WHEN '{k}' THEN {least}" for k, (least, _) in _M.items())
+    + f""" END::DOUBLE AS least FROM o JOIN e USING (measure)),
+f AS (SELECT lang, source, measure, a - {quality.FENCE} * greatest(z - a, least) AS lo, z + {quality.FENCE} * greatest(z - a, least) AS hi FROM s)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed"""
+    + "".join(f" AND {k} <= {k}_.hi" + (f" AND {k} >= {k}_.lo" if low else "") for k, (_, low) in _M.items())
+    + " AS kept FROM m"
+    + "".join(f" JOIN f {k}_ ON {k}_.measure = '{k}' AND {k}_.lang IS NOT DISTINCT FROM m.lang AND {k}_.source IS NOT DISTINCT FROM m.source" for k in _M)
+)
+
+ORACLES: dict[str, str] = {"op2_license_scan": _LICENSES, "op3_warc_bundles": _WARC, "op8_quality_rules": _QUALITY}
