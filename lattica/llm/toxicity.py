@@ -24,11 +24,13 @@ ship(__name__)
 
 #: Buckets (a power of two) and latent factors.
 BUCKETS, FACTORS = 1 << 18, 8
-#: Labelled documents that training uses at most, passes over them, rows of a step.
-SAMPLE, EPOCHS, STEP = 16_000, 8, 200
-#: Documents of the sample that a bucket must occur in.
-MIN_DOCS = 3
-RATE, DECAY = 0.15, 2e-4
+#: Labelled documents that training uses at most; passes over them and steps, at least; rows of a step.
+SAMPLE, PASSES, STEPS, STEP = 16_000, 6, 600, 100
+#: Buckets that take part: in MIN_DOCS documents of the sample, and either more often toxic than chance
+#: allows (deviations of a binomial) or among the most common ones, which pairs may need.
+MIN_DOCS, DEVIATIONS, COMMON = 3, 5.0, 50
+#: Rates and penalties of weights and of factors, and the factors' first deviation.
+RATES, PENALTIES, SPREAD = (0.1, 0.05), (1e-3, 1e-2), 0.02
 #: Score from which a document is predicted toxic.
 CUT = 0.3
 
@@ -82,6 +84,16 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.logits(rows), -30, 30)))
 
 
+def chosen(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
+    """Which buckets take part. Rare terms of single documents would only be learnt by heart."""
+    at, share = np.concatenate(rows), labels.mean()
+    n = np.bincount(at, minlength=BUCKETS)
+    toxic = np.bincount(at, np.repeat(labels, [len(r) for r in rows]), minlength=BUCKETS)
+    far = (toxic - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9)) >= DEVIATIONS
+    far[np.argsort(-n, kind="stable")[:COMMON]] = True
+    return far & (n >= MIN_DOCS)
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """Train by AdaGrad on the log loss, in a seeded order.
 
@@ -89,40 +101,43 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     """
     share = float(labels.mean()) if len(labels) else 0.0
     bias = float(np.log((share + 1e-4) / (1 - share + 1e-4)))
-    random = np.random.default_rng(seed)
     w = np.zeros(BUCKETS, dtype=np.float32)
     v = np.zeros((BUCKETS, FACTORS), dtype=np.float32)
     if not 0 < share < 1:
         return Machine(bias, w, v)
-    seen = np.bincount(np.concatenate(rows), minlength=BUCKETS) >= MIN_DOCS
-    rows = [r[seen[r]] for r in rows]
-    v[seen] = random.normal(0, 0.01, (int(seen.sum()), FACTORS))
-    gw, gv, gb = np.full(BUCKETS, 1e-2, np.float32), np.full((BUCKETS, FACTORS), 1e-1, np.float32), 1e-2
+    random = np.random.default_rng(seed)
+    part = chosen(rows, labels)
+    rows = [r[part[r]] for r in rows]
+    v[part] = random.normal(0, SPREAD, (int(part.sum()), FACTORS))
+    gw, gv, gb = np.full(BUCKETS, 1e-6, np.float32), np.full((BUCKETS, FACTORS), 1e-6, np.float32), 1e-6
     sizes = np.array([len(r) for r in rows])
-    for _ in range(EPOCHS):
+    for _ in range(max(PASSES, -(-STEPS // -(-len(rows) // STEP)))):
         order = random.permutation(len(rows))
         for k in range(0, len(order), STEP):
-            part = [i for i in order[k : k + STEP] if sizes[i]]
-            if not part:
-                continue
-            at = np.concatenate([rows[i] for i in part])
-            n = sizes[part]
-            begin = np.concatenate(([0], np.cumsum(n)[:-1]))
-            vv = v[at]
-            s = np.add.reduceat(vv, begin, axis=0)
-            logit = bias + np.add.reduceat(w[at], begin) + 0.5 * ((s * s).sum(1) - np.add.reduceat((vv * vv).sum(1), begin))
-            err = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[part]) / len(part)
-            each = np.repeat(err, n).astype(np.float32)
-            touched, place = np.unique(at, return_inverse=True)
-            dw = np.bincount(place, each, len(touched)).astype(np.float32) + DECAY * w[touched] / len(order) * STEP
-            pull = each[:, None] * (np.repeat(s, n, axis=0) - vv)
-            dv = np.stack([np.bincount(place, pull[:, f], len(touched)) for f in range(FACTORS)], 1).astype(np.float32) + DECAY * v[touched]
-            gw[touched] += dw * dw
-            gv[touched] += dv * dv
-            w[touched] -= RATE * dw / np.sqrt(gw[touched])
-            v[touched] -= 0.2 * RATE * dv / np.sqrt(gv[touched])
-            gb += float(err.sum()) ** 2
-            bias -= RATE * float(err.sum()) / gb**0.5
+            batch = order[k : k + STEP]
+            empty = batch[sizes[batch] == 0]
+            batch = batch[sizes[batch] > 0]
+            own = 1 / (1 + np.exp(-bias))
+            pull_b = float((own - labels[empty]).sum())
+            if len(batch):
+                at, n = np.concatenate([rows[i] for i in batch]), sizes[batch]
+                begin = np.concatenate(([0], np.cumsum(n)[:-1]))
+                vv = v[at]
+                s = np.add.reduceat(vv, begin, axis=0)
+                logit = bias + np.add.reduceat(w[at], begin) + 0.5 * ((s * s).sum(1) - np.add.reduceat((vv * vv).sum(1), begin))
+                err = 1 / (1 + np.exp(-np.clip(logit, -30, 30))) - labels[batch]
+                pull_b += float(err.sum())
+                each = np.repeat(err / STEP, n).astype(np.float32)
+                touched, place = np.unique(at, return_inverse=True)
+                dw = np.bincount(place, each, len(touched)).astype(np.float32) + PENALTIES[0] * w[touched]
+                pull = each[:, None] * (np.repeat(s, n, axis=0) - vv)
+                dv = np.stack([np.bincount(place, pull[:, f], len(touched)) for f in range(FACTORS)], 1).astype(np.float32) + PENALTIES[1] * v[touched]
+                gw[touched] += dw * dw
+                gv[touched] += dv * dv
+                w[touched] -= RATES[0] * dw / np.sqrt(gw[touched])
+                v[touched] -= RATES[1] * dv / np.sqrt(gv[touched])
+            gb += (pull_b / STEP) ** 2
+            bias -= RATES[0] * pull_b / STEP / gb**0.5
     return Machine(bias, w, v)
 
 
