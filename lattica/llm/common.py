@@ -178,23 +178,28 @@ def _changed(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _stars(edges: DataFrame) -> DataFrame:
+    """A large star and a small star of edges (u, v) with u > v: every node moves on to its least neighbours."""
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+    large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    least = large.groupBy("u").agg(F.min("v").alias("m"))
+    moved = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+    return moved.where("u <> v").distinct()
+
+
+def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """Connected components of edges (u, v): rows (node, root), root the least node reachable.
 
-    Alternating large and small stars (Kiveris et al. 2014); each round is written to the shared
-    folder. Only nodes that have an edge are returned.
+    Alternating large and small stars (Kiveris et al. 2014) until nothing changes; every other round
+    is written to the shared folder. Only nodes that have an edge are returned.
     """
     now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     before = _changed(now)
     for _ in range(rounds):
         if not before[0]:
             break
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
-        then = stage(moved.where("u <> v").distinct(), "edges")
+        then = stage(_stars(_stars(now)), "edges")
         after = _changed(then)
         discard(now)
         now = then
