@@ -103,7 +103,7 @@ def windows(docs: DataFrame, items: DataFrame) -> DataFrame:
 def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Rows (doc_id, item_id, start, n_shingles, differing_bits, similarity), the best window of each pair.
 
-    start counts shingles from 0. Ties go to the first window. Texts are lower-cased; words are
+    start counts shingles from 0. Ties go to the first window that starts with a shared shingle. Texts are lower-cased; words are
     runs of letters, digits and non-ASCII characters. Null and empty texts match nothing; an item
     of fewer than five words matches a document that consists of the same words.
     """
