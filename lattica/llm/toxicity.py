@@ -25,7 +25,7 @@ ship(__name__)
 #: Buckets (a power of two) and latent factors.
 BUCKETS, FACTORS = 1 << 18, 8
 #: Labelled documents that training uses at most; passes over them and steps, at least; rows of a step.
-SAMPLE, PASSES, STEPS, STEP = 16_000, 6, 600, 100
+SAMPLE, PASSES, STEPS, STEP = 9_000, 6, 600, 100
 #: Buckets that take part: in MIN_DOCS documents of the sample, and either more often toxic than chance
 #: allows (deviations of a binomial) or among the most common ones, which pairs may need.
 MIN_DOCS, DEVIATIONS, COMMON = 3, 5.0, 50
@@ -86,9 +86,11 @@ class Machine:
 
 def chosen(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     """Which buckets take part. Rare terms of single documents would only be learnt by heart."""
-    at, share = np.concatenate(rows), labels.mean()
-    n = np.bincount(at, minlength=BUCKETS)
-    toxic = np.bincount(at, np.repeat(labels, [len(r) for r in rows]), minlength=BUCKETS)
+    share, n, toxic = labels.mean(), np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+    for row, label in zip(rows, labels, strict=True):  # a row has each of its buckets once
+        n[row] += 1
+        if label:
+            toxic[row] += 1
     far = (toxic - n * share) / np.sqrt(np.maximum(n * share * (1 - share), 1e-9)) >= DEVIATIONS
     far[np.argsort(-n, kind="stable")[:COMMON]] = True
     return far & (n >= MIN_DOCS)
@@ -155,8 +157,10 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     terms = F.pandas_udf(_hash_terms, "array<int>")
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select("doc_id", "toxic", terms("text").alias("terms"))
-    got = rows.toPandas().sort_values("doc_id")  # bounded by `sample`
-    return fit([np.asarray(t, dtype=np.int32) for t in got.terms], got.toxic.to_numpy(dtype=np.float64)) if len(got) else fit([], np.zeros(0))
+    got = rows.toArrow().sort_by("doc_id")  # bounded by `sample`
+    terms = got["terms"].combine_chunks() if got.num_rows else None
+    each = [] if terms is None else np.split(terms.flatten().to_numpy(), terms.offsets.to_numpy()[1:-1] - terms.offsets[0].as_py())
+    return fit(each, got["toxic"].to_numpy().astype(np.float64))
 
 
 def _hash_terms(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
