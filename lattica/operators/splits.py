@@ -158,6 +158,28 @@ def leave_out_twins(df: DataFrame, row_id: str, features: list[str], threshold:
     return marked.select(row_id, F.inline(each)).select("split", row_id, "role", F.lit(1).alias("weight"))
 
 
+def close_compositions(fractions: DataFrame, formula: str, threshold: float = 0.1) -> DataFrame:
+    """Rows (split, member): for each formula as a split, the formulas whose element fractions lie within an L2 distance.
+
+    The members' rows are the split's test set, all other rows train. fractions: (formula, element,
+    fraction), distinct formulas. Close vectors differ by the threshold at most in every element, so
+    a formula's largest element is matched with neighbouring cells of the others' fractions of it.
+    Formulas without a common element are further apart than any threshold below 0.5.
+    """
+    if not 0 < threshold < 0.5:
+        raise ValueError("the threshold must be above 0 and below 0.5")
+    cell = F.floor(F.col("fraction") / F.lit(threshold)).cast("bigint")
+    top = fractions.groupBy(formula).agg(F.max(F.struct("fraction", "element")).alias("t"), F.sum(F.col("fraction") * F.col("fraction")).alias("aa"))
+    a = top.select(F.col(formula).alias("split"), "t.element", "aa", F.floor(F.col("t.fraction") / F.lit(threshold)).cast("bigint").alias("cell"))
+    b = fractions.select(F.col(formula).alias("member"), "element", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
+    pairs = a.join(b, ["element", "cell"]).select("split", "member", "aa").distinct()
+    norms = top.select(F.col(formula).alias("member"), F.col("aa").alias("bb"))
+    f = fractions.select(F.col(formula).alias("split"), "element", F.col("fraction").alias("x"))
+    g = fractions.select(F.col(formula).alias("member"), "element", F.col("fraction").alias("y"))
+    dots = pairs.join(norms, "member").join(f, "split").join(g, ["member", "element"]).groupBy("split", "member", "aa", "bb").agg(F.sum(F.col("x") * F.col("y")).alias("ab"))
+    return dots.where(F.col("aa") + F.col("bb") - 2 * F.col("ab") <= threshold**2 + 1e-12).select("split", "member")
+
+
 def cluster_folds(df: DataFrame, row_id: str, features: list[str], k: int, method: str = "KMeans", seed: int = 1) -> DataFrame:
     """(row_id, fold) from a clustering: KMeans, BisectingKMeans or GaussianMixture."""
     from pyspark.ml.clustering import BisectingKMeans, GaussianMixture, KMeans

@@ -80,7 +80,6 @@ def holes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 H = "h AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN NULL ELSE value END AS value, (user_id % 7)::DOUBLE AS score, CASE WHEN event_id % 7 = 0 THEN NULL ELSE (user_id % 5)::DOUBLE END AS level FROM events)"
-KEY = "'{seed}|' || {cols}"
 
 
 def h32(cols: str, seed: str = "0") -> str:
@@ -473,6 +472,11 @@ def split_nested(spark, sf_dir):
     return splits.nested(table(spark, sf_dir, "supplier"), "s_suppkey", 3, 2)
 
 
+@query(f"WITH {PARTS_SQL}, n AS (SELECT formula, sum(fraction * fraction) AS q FROM fr GROUP BY formula), d AS (SELECT a.formula AS split, b.formula AS member, a.q + b.q - 2 * coalesce((SELECT sum(x.fraction * y.fraction) FROM fr x JOIN fr y USING (element) WHERE x.formula = a.formula AND y.formula = b.formula), 0) AS d2 FROM n a, n b) SELECT split, member FROM d WHERE d2 <= 0.09 + 1e-12")
+def close_compositions(spark, sf_dir):
+    return splits.close_compositions(fm.fractions(parts(spark, sf_dir), "formula"), "formula", 0.3)
+
+
 @query()
 def folds_by_cluster(spark, sf_dir):
     return splits.cluster_folds(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"], 3)
@@ -581,6 +585,23 @@ def roc_auc(spark, sf_dir):
     return rounded(mt.roc_auc(o, "l", "s"))
 
 
+@query(f"WITH {L}, g AS (SELECT c AS label, count(*) FILTER (t = c AND p = c) AS tp, count(*) FILTER (t = c) AS n, count(*) FILTER (p = c) AS q FROM l, (SELECT DISTINCT t AS c FROM l UNION SELECT DISTINCT p FROM l) GROUP BY c), h AS (SELECT tp / q AS a, tp / n AS b, 2 * tp / (n + q) AS f, n FROM g) SELECT 'macro' AS average, round(avg(a), 6) AS precision, round(avg(b), 6) AS recall, round(avg(f), 6) AS f1 FROM h UNION ALL SELECT 'weighted', round(sum(a * n) / sum(n), 6), round(sum(b * n) / sum(n), 6), round(sum(f * n) / sum(n), 6) FROM h")
+def classification_averages(spark, sf_dir):
+    return rounded(mt.averages(mt.report(_labels(spark, sf_dir))))
+
+
+@query("WITH s AS (SELECT (o_orderstatus = 'F')::INT AS l, 0.05::DOUBLE + (o_custkey % 10) * 0.1::DOUBLE AS p FROM orders) SELECT round(avg(-CASE WHEN l = 1 THEN ln(p) ELSE ln(1 - p) END), 6) AS log_loss FROM s")
+def log_loss(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select((F.col("o_orderstatus") == "F").cast("int").alias("l"), (0.05 + (F.col("o_custkey") % 10) * 0.1).alias("p"))
+    return rounded(mt.log_loss(o, "l", "p"))
+
+
+@query(f"WITH {P} SELECT round(avg(sqrt(2::DOUBLE) * abs(y_true - y_pred) * exp(-ln(y_err)) + ln(y_err)), 6) AS l1, round(avg(0.5::DOUBLE * pow(y_true - y_pred, 2) * exp(-2 * ln(y_err)) + ln(y_err)), 6) AS l2 FROM p")
+def robust_losses(spark, sf_dir):
+    t, p, s = F.col("y_true"), F.col("y_pred"), F.ln("y_err")
+    return rounded(predictions(spark, sf_dir).agg(mt.robust_l1(t, p, s).alias("l1"), mt.robust_l2(t, p, s).alias("l2")))
+
+
 # ---------------------------------------------------------------- J: baselines
 @query(f"WITH {P} SELECT 'mean_absolute_error' AS metric, round(avg(abs(y_true - y_pred)), 6) AS real, round(avg(abs(y_true - m)), 6) AS naive FROM p, (SELECT avg(y_true) AS m FROM p)")
 def baseline_mean(spark, sf_dir):
@@ -741,6 +762,11 @@ def running_share(spark, sf_dir):
     return rounded(analysis.running_share(table(spark, sf_dir, "part"), "p_size"))
 
 
+@query(f"WITH {P} " + " UNION ALL ".join(f"SELECT {q}::DOUBLE AS level, round(quantile_cont(residual, {q}), 6) AS sample FROM p" for q in (0.2, 0.4, 0.6, 0.8)))
+def residual_quantiles(spark, sf_dir):
+    return rounded(analysis.quantile_pairs(predictions(spark, sf_dir), "residual", 4))
+
+
 # ---------------------------------------------------------------- O: prediction
 @query("SELECT l_orderkey, l_linenumber, round(100 + 700 * l_quantity - 50 * l_discount, 6) AS y_pred, round(1.2::DOUBLE * l_tax + 0.1::DOUBLE, 6) AS y_err, (l_quantity BETWEEN 5 AND 40)::INT AS n_inside FROM lineitem")
 def predict_rows(spark, sf_dir):
