@@ -112,26 +112,26 @@ def shingle_hashes(words: Column, k: int) -> Column:
 
 # ---------------------------------------------------------------- SimHash
 def _lanes(hashes: Column, n: Column, width: int) -> Column:
-    """Majority bits of fewer than 2**(width - 1) hashes.
+    """Majority bits of fewer than 2**(width - 2) hashes.
 
     Accumulator k sums the bits k, k + width, ... of every hash in lanes of `width` bits,
-    so that one addition counts 64 / width bits.
+    so that one addition counts 64 / width bits. In the end one more addition to all lanes
+    raises bit width - 2 of those that count over half.
     """
     ones = sum(1 << at for at in range(0, 64, width))
     mask = F.lit(ones - (1 << 64) if ones >> 63 else ones)
     zero = F.struct(*[F.lit(0).cast("bigint").alias(f"a{k}") for k in range(width)])
 
     def add(acc: Column, h: Column) -> Column:
-        return F.struct(*[(acc[f"a{k}"] + F.shiftrightunsigned(h, k).bitwiseAND(mask)).alias(f"a{k}") for k in range(width)])
+        return F.struct(*[(acc[f"a{k}"] + (F.shiftrightunsigned(h, k) if k else h).bitwiseAND(mask)).alias(f"a{k}") for k in range(width)])
 
     def majority(acc: Column) -> Column:
+        raised = (F.lit(2 ** (width - 2) - 1).cast("bigint") - F.shiftright(n, 1)) * mask
         out = None
-        lane = F.lit((1 << width) - 1).cast("bigint")
-        for bit in range(64):
-            k, at = bit % width, bit // width * width
-            count = F.shiftrightunsigned(acc[f"a{k}"], at).bitwiseAND(lane)
-            term = F.when(count * 2 > n, F.lit((1 << bit) - (1 << 64) if bit == 63 else 1 << bit).cast("bigint")).otherwise(F.lit(0).cast("bigint"))
-            out = term if out is None else out.bitwiseOR(term)
+        for k in range(width):
+            bits = F.shiftrightunsigned(acc[f"a{k}"] + raised, width - 2).bitwiseAND(mask)
+            bits = F.shiftleft(bits, k) if k else bits
+            out = bits if out is None else out.bitwiseOR(bits)
         return out
 
     return F.aggregate(hashes, zero, add, majority)
@@ -140,13 +140,13 @@ def _lanes(hashes: Column, n: Column, width: int) -> Column:
 def simhash(hashes: Column, narrow: bool = False) -> Column:
     """64-bit SimHash of an array of 64-bit hashes: a bit is set if it is in over half of them.
 
-    An empty array gives zero. The lanes are as wide as the array needs, and one bit wider lest
-    the topmost overflow; narrow: most arrays have fewer than 128 hashes.
+    An empty array gives zero. The lanes are as wide as the array needs, and two bits wider lest
+    the topmost overflow; narrow: most arrays have fewer than 64 hashes.
     """
     n = F.size(hashes)
     out = F.when(n == 0, F.lit(0).cast("bigint"))
     for width in (8, 16) if narrow else (16,):
-        out = out.when(n < 2 ** (width - 1), _lanes(hashes, n, width))
+        out = out.when(n < 2 ** (width - 2), _lanes(hashes, n, width))
     return out.otherwise(_lanes(hashes, n, 32))
 
 
