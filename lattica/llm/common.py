@@ -226,23 +226,24 @@ def near_components(nodes: DataFrame, radius: int, verify: Callable[[DataFrame],
     """
     masks = block_masks(radius, nodes.count())
     tables = F.array(*[F.lit(signed(m)).cast("bigint") for m in masks])
-    keyed = nodes.select("id", "fp", F.posexplode(tables).alias("t", "mask")).select(F.col("t").cast("smallint").alias("t"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp", "id")
-    bucket = Window.partitionBy("t", "key")
+    # a bucket is a hash of its block and the block's bits, one number to sort by; should two of them meet, their pairs are compared all the same
+    keyed = nodes.select("id", "fp", F.posexplode(tables).alias("t", "mask")).select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "fp", "id")
+    bucket = Window.partitionBy("bucket")
     order = bucket.orderBy("fp", "id")
     beside = lambda f, name: F.when(hamming(F.col("fp"), f(F.col("fp")).over(order)) <= radius, f(F.col("id")).over(order)).alias(name)
     met = stage(
-        keyed.select("t", "key", "fp", "id", F.count("*").over(bucket).alias("size"), beside(F.lag, "prev"), beside(F.first, "head")).where("size > 1 and (size > 3 or prev is not null or head is not null)"),
+        keyed.select("bucket", "fp", "id", F.count("*").over(bucket).alias("size"), beside(F.lag, "prev"), beside(F.first, "head")).where("size > 1 and (size > 3 or prev is not null or head is not null)"),
         "buckets",
     )
     pairs = met.select(F.col("id").alias("u"), F.explode(F.array("prev", "head")).alias("v")).where("v is not null and u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     first = components(verify(pairs) if verify else pairs)
 
-    dense = met.where("size > 3").select("t", "key", "fp", "id").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
-    mixed = dense.groupBy("t", "key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("t", "key")
-    dense = stage(dense.join(mixed, ["t", "key"], "left_semi"), "dense")
-    a = dense.select("t", "key", F.col("fp").alias("fa"), F.col("id").alias("u"), F.col("root").alias("ru"))
-    b = dense.select("t", "key", F.col("fp").alias("fb"), F.col("id").alias("v"), F.col("root").alias("rv"))
-    across = a.join(b, ["t", "key"]).where((F.col("ru") < F.col("rv")) & (hamming(F.col("fa"), F.col("fb")) <= radius))
+    dense = met.where("size > 3").select("bucket", "fp", "id").join(first.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+    mixed = dense.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("bucket")
+    dense = stage(dense.join(mixed, "bucket", "left_semi"), "dense")
+    a = dense.select("bucket", F.col("fp").alias("fa"), F.col("id").alias("u"), F.col("root").alias("ru"))
+    b = dense.select("bucket", F.col("fp").alias("fb"), F.col("id").alias("v"), F.col("root").alias("rv"))
+    across = a.join(b, "bucket").where((F.col("ru") < F.col("rv")) & (hamming(F.col("fa"), F.col("fb")) <= radius))
     if verify:
         links = verify(across.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
         root = lambda c: first.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
