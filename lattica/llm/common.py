@@ -111,43 +111,58 @@ def shingle_hashes(words: Column, k: int) -> Column:
 
 
 # ---------------------------------------------------------------- SimHash
-def _lanes(hashes: Column, n: Column, width: int) -> Column:
-    """Majority bits of fewer than 2**(width - 2) hashes.
+def _ones(width: int) -> Column:
+    """A 1 at the foot of every lane of `width` bits."""
+    return F.lit(signed(sum(1 << at for at in range(0, 64, width))))
 
-    Accumulator k sums the bits k, k + width, ... of every hash in lanes of `width` bits,
-    so that one addition counts 64 / width bits. In the end one more addition to all lanes
-    raises bit width - 2 of those that count over half.
+
+def _sums(hashes: Column, width: int, finish: Callable[[Column], Column] | None = None) -> Column:
+    """Counts of set bits: field k holds those of the bits k, k + width, ... in lanes of `width` bits.
+
+    One addition counts 64 / width bits. For fewer than 2**(width - 1) hashes.
     """
-    ones = sum(1 << at for at in range(0, 64, width))
-    mask = F.lit(ones - (1 << 64) if ones >> 63 else ones)
     zero = F.struct(*[F.lit(0).cast("bigint").alias(f"a{k}") for k in range(width)])
 
     def add(acc: Column, h: Column) -> Column:
-        return F.struct(*[(acc[f"a{k}"] + (F.shiftrightunsigned(h, k) if k else h).bitwiseAND(mask)).alias(f"a{k}") for k in range(width)])
+        return F.struct(*[(acc[f"a{k}"] + (F.shiftrightunsigned(h, k) if k else h).bitwiseAND(_ones(width))).alias(f"a{k}") for k in range(width)])
+
+    return F.aggregate(hashes, zero, add, finish) if finish else F.aggregate(hashes, zero, add)
+
 
-    def majority(acc: Column) -> Column:
-        raised = (F.lit(2 ** (width - 2) - 1).cast("bigint") - F.shiftright(n, 1)) * mask
-        out = None
-        for k in range(width):
-            bits = F.shiftrightunsigned(acc[f"a{k}"] + raised, width - 2).bitwiseAND(mask)
-            bits = F.shiftleft(bits, k) if k else bits
-            out = bits if out is None else out.bitwiseOR(bits)
-        return out
+def _widened(acc: Column) -> list[Column]:
+    """Counts in 8 fields of 8-bit lanes as 16 columns of 16-bit lanes."""
+    even = F.lit(0x00FF00FF00FF00FF)
+    return [acc[f"a{k}"].bitwiseAND(even) for k in range(8)] + [F.shiftrightunsigned(acc[f"a{k}"], 8).bitwiseAND(even) for k in range(8)]
 
-    return F.aggregate(hashes, zero, add, majority)
+
+def _majority(counts: list[Column], n: Column) -> Column:
+    """The bits that over half of n < 2**(width - 2) hashes have, from counts in len(counts) columns.
+
+    An addition to all lanes raises bit width - 2 of those that count over half.
+    """
+    width, out = len(counts), None
+    raised = (F.lit(2 ** (width - 2) - 1).cast("bigint") - F.shiftright(n, 1)) * _ones(width)
+    for k, count in enumerate(counts):
+        bits = F.shiftleft(F.shiftrightunsigned(count + raised, width - 2).bitwiseAND(_ones(width)), k)
+        out = bits if out is None else out.bitwiseOR(bits)
+    return out
 
 
-def simhash(hashes: Column, narrow: bool = False) -> Column:
+def simhash(hashes: Column) -> Column:
     """64-bit SimHash of an array of 64-bit hashes: a bit is set if it is in over half of them.
 
-    An empty array gives zero. The lanes are as wide as the array needs, and two bits wider lest
-    the topmost overflow; narrow: most arrays have fewer than 64 hashes.
+    An empty array gives zero. Hashes are counted in lanes of 8 bits by chunks of 127; chunks are
+    summed in lanes of 16 bits. Arrays too long for those are counted in lanes of 32 bits.
     """
-    n = F.size(hashes)
-    out = F.when(n == 0, F.lit(0).cast("bigint"))
-    for width in (8, 16) if narrow else (16,):
-        out = out.when(n < 2 ** (width - 2), _lanes(hashes, n, width))
-    return out.otherwise(_lanes(hashes, n, 32))
+    n, chunk = F.size(hashes), 127
+    fields = lambda acc, width: [acc[f"a{k}"] for k in range(width)]
+    one = _sums(hashes, 8, lambda acc: _majority(_widened(acc), n))
+    chunks = F.transform(F.sequence(F.lit(0), F.floor((n - 1) / chunk).cast("int")), lambda i: _sums(F.slice(hashes, i * chunk + 1, chunk), 8))
+    zero = F.struct(*[F.lit(0).cast("bigint").alias(f"a{k}") for k in range(16)])
+    merge = lambda acc, x: F.struct(*[(acc[f"a{k}"] + y).alias(f"a{k}") for k, y in enumerate(_widened(x))])
+    several = F.aggregate(chunks, zero, merge, lambda acc: _majority(fields(acc, 16), n))
+    many = _sums(hashes, 32, lambda acc: _majority(fields(acc, 32), n))
+    return F.when(n == 0, F.lit(0).cast("bigint")).when(n <= chunk, one).when(n < 2**14, several).otherwise(many)
 
 
 def hamming(a: Column, b: Column) -> Column:

@@ -108,8 +108,8 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     of fewer than five words matches a document that consists of the same words.
     """
     items = stage(shingles(benchmark, "item_id").where("size(hs) > 0"), "items")
-    found = windows(docs, items).withColumn("fp", simhash(F.col("window"), narrow=True))
-    theirs = items.select("item_id", "hs", F.size("hs").alias("n"), simhash(F.col("hs"), narrow=True).alias("item_fp"))
+    found = windows(docs, items).withColumn("fp", simhash(F.col("window")))
+    theirs = items.select("item_id", "hs", F.size("hs").alias("n"), simhash(F.col("hs")).alias("item_fp"))
     flips = F.array(*[F.lit(x) for x in _flips()])
     probes = theirs.select("item_id", "hs", "n", "item_fp", F.explode(F.array(*[F.struct(F.lit(k).alias("k"), _block(F.col("item_fp"), k).alias("v")) for k in range(BLOCKS)])).alias("b"))
     probes = stage(probes.select("item_id", "n", "item_fp", "b.k", F.explode(F.transform(flips, lambda x: x.bitwiseXOR(F.col("b.v")))).alias("v")), "probes")
