@@ -233,16 +233,20 @@ def near_components(nodes: DataFrame, radius: int, verify: Callable[[DataFrame],
     nodes: distinct ids. verify: takes candidate pairs (u, v) and keeps the true links.
     Returns (node, root) for the nodes that have a link.
 
-    Pigeonhole blocks bring every close pair into one bucket. Dense buckets aren't expanded into
+    Pigeonhole blocks bring every close pair into one bucket; nodes with a column `buckets` (arrays of
+    numbers) bring their own, and only pairs that share one are looked at. Dense buckets aren't expanded into
     all pairs: first each member is compared with its neighbour in order and with the bucket's
     first; what those links connect is contracted, and only buckets that still hold more than one
     component are searched for pairs across components. Pairs inside a component would add nothing,
     so the components are exact. Buckets of up to three members are complete after the first step.
     """
-    masks = block_masks(radius, nodes.count())
-    tables = F.array(*[F.lit(signed(m)).cast("bigint") for m in masks])
-    # a bucket is a hash of its block and the block's bits, one number to sort by; should two of them meet, their pairs are compared all the same
-    keyed = nodes.select("id", "fp", F.posexplode(tables).alias("t", "mask")).select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "fp", "id")
+    if "buckets" in nodes.columns:
+        keyed = nodes.select(F.explode("buckets").alias("bucket"), "fp", "id")
+    else:
+        masks = block_masks(radius, nodes.count())
+        tables = F.array(*[F.lit(signed(m)).cast("bigint") for m in masks])
+        # a bucket is a hash of its block and the block's bits, one number to sort by; should two of them meet, their pairs are compared all the same
+        keyed = nodes.select("id", "fp", F.posexplode(tables).alias("t", "mask")).select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("bucket"), "fp", "id")
     bucket = Window.partitionBy("bucket")
     order = bucket.orderBy("fp", "id")
     beside = lambda f, name: F.when(hamming(F.col("fp"), f(F.col("fp")).over(order)) <= radius, f(F.col("id")).over(order)).alias(name)

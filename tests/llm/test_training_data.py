@@ -353,6 +353,29 @@ def test_fuzzy_lines_against_brute_force(spark):
     assert gone == {i for i in expected if expected[i] != i} and len(gone) > 30
 
 
+def test_recall_of_fuzzy_lines(spark):
+    """Altered lines of 8 to 120 words against edit similarity alone, whatever their fingerprints."""
+    r = random.Random(35)
+    frequent = [words(1, k)[: 2 + k % 4] for k in range(60)]
+    rows, kinds = [], list(itertools.product([(8, 12), (18, 24), (35, 50), (60, 80), (95, 120)], ["word", "letter", "tenth"]))
+    for kind, k in itertools.product(range(len(kinds)), range(60)):
+        size, change = kinds[kind]
+        w = [r.choice(frequent) if r.random() < 0.5 else words(1, r.randrange(100, 4000)) for _ in range(r.randint(*size))]
+        v = list(w)
+        for j in r.sample(range(len(w)), max(1, len(w) // 10) if change == "tenth" else 1):
+            v[j] = v[j][:-1] + "z" if change == "letter" else words(1, 9000 + k)
+        rows.append((len(rows), kind, " ".join(w), " ".join(v)))
+    pairs = spark.createDataFrame(rows, "id long, kind int, a string, b string")
+    near = pairs.where((F.col("a") != F.col("b")) & (1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")) >= line_dedup.SIMILARITY)).cache()
+    df = near.select((2 * F.col("id")).alias("doc_id"), F.col("a").alias("text")).unionAll(near.select(2 * F.col("id") + 1, "b"))
+    gone = {x.doc_id for x in line_dedup.dropped(df).collect()}
+    found = collections.defaultdict(list)
+    for x in near.select("id", "kind").collect():
+        found[kinds[x.kind]].append(2 * x.id + 1 in gone)
+    assert all(i % 2 for i in gone) and len(found) == len(kinds)
+    assert all(len(x) > 30 and sum(x) / len(x) >= 0.95 for x in found.values()), {k: sum(x) / len(x) for k, x in found.items()}
+
+
 # ---------------------------------------------------------------- 10
 def test_toxicity(spark, docs, empty):
     r = random.Random(6)
