@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Sequence
@@ -9,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, small, split_words, stage, text_of
+from .common import NON_WORD, settle, small, split_words, stage, text_of
 
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -100,6 +101,42 @@ def contained(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES)
     return found.join(small(hits.withColumnRenamed("raw", "tokens"), hits.count(), 20_000), "tokens").select("doc_id", "block", "template", "label", "overlap", "containment")
 
 
+def wrapped(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
+    """Rows as those of `contained` for notices that go on over line ends; block is their first line.
+
+    Here a block is a run of consecutive words, whatever the line ends between them, as long as the
+    template's words are at CONTAINMENT of the run. Runs that reach a line which holds the template
+    by itself are left to `contained`; of runs that overlap, the best one counts.
+    """
+    sets = as_sets(templates)
+    widths = [math.ceil(len(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower())) / CONTAINMENT) for _, text in templates]
+    vocabulary = sorted({w for _, tokens, _ in sets for w in tokens})
+    schema = "array<struct<template:int,label:string,tokens:array<string>,need:int,width:int>>"
+    table = F.from_json(F.lit(json.dumps([{"template": i, "label": x, "tokens": t, "need": n, "width": widths[i]} for i, (x, t, n) in enumerate(sets) if n])), schema)
+    known = F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>")
+    several = docs.select("doc_id", F.lower(text_of(docs)).alias("t")).where(F.col("t").contains("\n"))
+    # a text without enough of a template's words can't hold it anywhere
+    some = settle(several.select("doc_id", "t", F.array_intersect(F.split("t", NON_WORD), known).alias("v")), "v")
+    some = some.select("doc_id", "t", F.explode(F.filter(table, lambda x: F.size(F.array_intersect(F.col("v"), x["tokens"])) >= x["need"])).alias("x"))
+    lines = settle(some.select("doc_id", "x.*", F.transform(F.split("t", "\n"), lambda y: split_words(y, NON_WORD)).alias("lines")), "lines")
+    held = F.transform("lines", lambda y: F.size(F.array_intersect(y, F.col("tokens"))) >= F.col("need"))
+    at = F.flatten(F.transform("lines", lambda y, i: F.array_repeat(i, F.size(y))))
+    flat = settle(lines.select("doc_id", "template", "label", "tokens", "need", "width", F.flatten("lines").alias("w"), at.alias("at"), held.alias("held")), "w", "at", "held")
+    begins = F.filter(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.array_contains(F.col("tokens"), F.get(F.col("w"), i)))
+
+    def run(i: Column) -> Column:
+        overlap = F.size(F.array_intersect(F.slice(F.col("w"), i + 1, F.col("width")), F.col("tokens")))
+        last = F.get(F.col("at"), F.least(i + F.col("width"), F.size("w")) - 1)
+        return F.struct(i.alias("i"), F.get(F.col("at"), i).alias("block"), last.alias("last"), overlap.alias("overlap"))
+
+    whole = lambda x: F.array_contains(F.slice(F.col("held"), x["block"] + 1, x["last"] - x["block"] + 1), True)
+    runs = settle(flat.withColumn("runs", F.filter(F.transform(begins, run), lambda x: (x["overlap"] >= F.col("need")) & (x["last"] > x["block"]) & ~whole(x))), "runs")
+    apart = lambda x, j: (j == 0) | (2 * (x["i"] - F.get(F.col("runs"), j - 1)["i"]) > F.col("width"))
+    best = lambda x: F.array_max(F.transform(F.filter("runs", lambda y: (y["i"] >= x["i"]) & (y["i"] < x["i"] + F.col("width"))), lambda y: y["overlap"]))
+    found = runs.select("doc_id", "template", "label", "tokens", F.explode(F.transform(F.filter("runs", apart), lambda x: F.struct(x["block"].alias("block"), best(x).alias("overlap")))).alias("b"))
+    return found.select("doc_id", "b.block", "template", "label", "b.overlap", (F.col("b.overlap") / F.size("tokens")).alias("containment"))
+
+
 def phrase_places(words: Column, phrase: str) -> Column:
     """Starts of the places where the phrase's words stand one after another."""
     parts = phrase.split(" ")
@@ -116,7 +153,7 @@ def phrase_places(words: Column, phrase: str) -> Column:
 def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: Sequence[tuple[str, str]] = TEMPLATES) -> DataFrame:
     """One row per document row: doc_id, n_words, the base phrases' places, labels and a score.
 
-    score: the best containment of a template by one of the text's lines, 1 where a base phrase
+    score: the best containment of a template by one of the text's lines or a run of words over line ends, 1 where a base phrase
     stands, else 0. A null text counts as empty. Rows that share a doc_id share the labels of the
     templates; rows without one get theirs too.
     """
@@ -129,7 +166,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: Sequence
     every = F.concat(*[F.col(f"p{k}") for k in range(len(phrases))])
     base = F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(phrases.values())])))
     base = places.select("doc_id", "n_words", F.size(every).cast("bigint").alias("n_base"), F.array_min(every).cast("bigint").alias("first_word"), F.array_max(every).cast("bigint").alias("last_word"), F.sort_array(base).alias("base"))
-    more = contained(docs, templates).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.countDistinct("block").alias("n_blocks"))
+    more = contained(docs, templates).unionByName(wrapped(docs, templates)).groupBy("doc_id").agg(F.collect_set("label").alias("more"), F.max("containment").alias("best"), F.countDistinct("block").alias("n_blocks"))
     more = stage(more.withColumnRenamed("doc_id", "__doc"), "labels")
     out = base.join(small(more, more.count()), F.col("doc_id").eqNullSafe(F.col("__doc")), "left")
     labels = F.array_join(F.sort_array(F.array_distinct(F.concat("base", F.coalesce("more", F.array().cast("array<string>"))))), ",")

@@ -157,6 +157,16 @@ def test_containment_is_exact(spark):
     assert got == expected and expected
 
 
+def test_wrapped_notices(spark):
+    mit = "# Permission is hereby granted, free of charge, to any person obtaining\n# a copy of this software and associated\n# documentation files\n"
+    gpl = " * This program is free software: you can redistribute it and/or modify\n * it under the terms of the GNU General Public License as published by\n * the Free Software Foundation, either version 3"
+    far = "\n".join(f"{w} {words(6, k)}" for k, w in enumerate("released under the mit license".split()))
+    texts = ["Copyright\n" + mit + "rest", "head\n" + gpl, mit.replace("\n#", ""), far, mit + words(50, 3) + "\n" + mit]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: (x.labels, x.score, x.n_blocks) for x in licenses.scan(df).collect()}
+    assert got == {0: ("mit", 1.0, 1), 1: ("gpl", 1.0, 1), 2: ("mit", 1.0, 1), 3: ("", 0.0, 0), 4: ("mit", 1.0, 2)}
+
+
 # ---------------------------------------------------------------- 3
 def test_warc_round_trip(spark):
     body = "ü<p>" + "text " * 400
