@@ -49,7 +49,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", F.size("gone").alias("n_gone"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("gone_lines"), F.sha2("text", 256).alias("text_sha256"))
+    return out.select("doc_id", F.size("gone").alias("n_gone"), F.array_join(F.col("gone").cast("array<string>"), ",").alias("gone_lines"), F.sha2("text", 256).alias("text_sha256"))
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
