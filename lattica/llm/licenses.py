@@ -10,7 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import NON_WORD, settle, small, split_words, stage, text_of
+from .common import NON_WORD, ascii_lower, settle, small, split_words, stage, text_of
 
 #: Base phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -47,7 +47,9 @@ def as_sets(templates: Sequence[tuple[str, str]]) -> list[tuple[str, list[str],
 
 def template_table(spark: SparkSession, templates: Sequence[tuple[str, str]]) -> DataFrame:
     """Rows (template, label, tokens, need)."""
-    return spark.createDataFrame([(i, *x) for i, x in enumerate(as_sets(templates))], "template int, label string, tokens array<string>, need int")
+    rows = [{"template": i, "label": label, "tokens": tokens, "need": need} for i, (label, tokens, need) in enumerate(as_sets(templates))]
+    parsed = F.from_json(F.lit(json.dumps(rows)), "array<struct<template:int,label:string,tokens:array<string>,need:int>>")
+    return spark.range(1).select(F.explode(parsed).alias("t")).select("t.*")
 
 
 def blocks(docs: DataFrame, vocabulary: Sequence[str], fewest: int) -> DataFrame:
@@ -57,7 +59,7 @@ def blocks(docs: DataFrame, vocabulary: Sequence[str], fewest: int) -> DataFrame
     fewer than `fewest` such words are too short for any template (length filter).
     """
     known = F.array(*[F.lit(w) for w in vocabulary])
-    lines = F.split(F.lower(text_of(docs)), "\n")
+    lines = F.split(ascii_lower(text_of(docs)), "\n")
     sets = F.transform(lines, lambda x: F.array_intersect(F.split(x, NON_WORD), known))
     found = F.filter(F.transform(sets, lambda s, i: F.struct(i.alias("block"), s.alias("tokens"))), lambda b: F.size(b["tokens"]) >= fewest)
     return docs.select("doc_id", F.explode(found).alias("b")).select("doc_id", "b.block", "b.tokens")
@@ -114,7 +116,7 @@ def wrapped(docs: DataFrame, templates: Sequence[tuple[str, str]] = TEMPLATES) -
     schema = "array<struct<template:int,label:string,tokens:array<string>,need:int,width:int>>"
     table = F.from_json(F.lit(json.dumps([{"template": i, "label": x, "tokens": t, "need": n, "width": widths[i]} for i, (x, t, n) in enumerate(sets) if n])), schema)
     known = F.array(*[F.lit(w) for w in vocabulary]).cast("array<string>")
-    several = docs.select("doc_id", F.lower(text_of(docs)).alias("t")).where(F.col("t").contains("\n"))
+    several = docs.select("doc_id", ascii_lower(text_of(docs)).alias("t")).where(F.col("t").contains("\n"))
     # a text without enough of a template's words can't hold it anywhere
     some = settle(several.select("doc_id", "t", F.array_intersect(F.split("t", NON_WORD), known).alias("v")), "v")
     some = some.select("doc_id", "t", F.explode(F.filter(table, lambda x: F.size(F.array_intersect(F.col("v"), x["tokens"])) >= x["need"])).alias("x"))
@@ -157,7 +159,7 @@ def scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: Sequence
     stands, else 0. A null text counts as empty. Rows that share a doc_id share the labels of the
     templates; rows without one get theirs too.
     """
-    lowered = F.lower(text_of(docs))
+    lowered = ascii_lower(text_of(docs))
     gap = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     maybe = F.col("t").rlike("|".join(gap.join(p.split(" ")) for p in phrases))
     words = docs.select("doc_id", lowered.alias("t")).select("doc_id", split_words(F.col("t"), NON_WORD).alias("w"), maybe.alias("maybe"))

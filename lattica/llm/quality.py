@@ -16,8 +16,9 @@ from .common import SPACE, settle, small, split_words, stage, text_of
 
 #: Relative error of a sketched quantile.
 ALPHA = 0.01
-#: A group with fewer documents than this takes the thresholds of all documents (merged sketches).
-MIN_GROUP = 100
+#: Documents that the merged sketch of all documents counts for beside a group's own: quartiles are
+#: shrunk to those of all by the weight PRIOR / (n + PRIOR).
+PRIOR = 100
 #: A fence lies this many spreads beyond the quartile.
 FENCE = 4.0
 #: Measures, the least spread that a fence assumes, and whether a low value fails too.
@@ -105,12 +106,13 @@ def _quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
 def thresholds(bins: DataFrame) -> DataFrame:
     """Rows (lang, source, <measure>_lo, <measure>_hi) of every group in the sketches.
 
-    Groups below MIN_GROUP documents take the fences of all documents.
+    A group's quartiles are averaged with those of all documents, weighted by the group's size and
+    by PRIOR, so that small groups are fenced by their own data as far as these go.
     """
     own, everyone = _quartiles(bins, ["lang", "source"]), _quartiles(bins.withColumn("every", F.lit(1)), ["every"])
     everyone = everyone.select("measure", F.col("q1").alias("e1"), F.col("q3").alias("e3"))
     both = own.join(F.broadcast(everyone), "measure")  # three rows
-    q1, q3 = (F.when(F.col("total") >= MIN_GROUP, F.col(a)).otherwise(F.col(b)) for a, b in (("q1", "e1"), ("q3", "e3")))
+    q1, q3 = ((F.col("total") * F.col(a) + PRIOR * F.col(b)) / (F.col("total") + PRIOR) for a, b in (("q1", "e1"), ("q3", "e3")))
     least = F.coalesce(*[F.when(F.col("measure") == m, F.lit(s)) for m, (s, _) in MEASURES.items()])
     spread = F.greatest(q3 - q1, least)
     fenced = both.select("lang", "source", "measure", (q1 - FENCE * spread).alias("lo"), (q3 + FENCE * spread).alias("hi"))

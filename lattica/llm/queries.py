@@ -64,7 +64,7 @@ QUERIES = {
 _LIST = ", ".join(f"({i}, '{label}', {tokens}, {need})" for i, (label, tokens, need) in enumerate(licenses.as_sets(licenses.TEMPLATES)))
 _STARTS = {p: " AND ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(p.split(" "))) for p in licenses.PHRASES}
 _LICENSES = (
-    r"""WITH d AS (SELECT doc_id, lower(coalesce(text, '')) AS t FROM documents),
+    r"""WITH d AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
 w AS (SELECT doc_id, list_filter(string_split_regex(t, '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM d),
 b AS (SELECT doc_id, len(w) AS n_words, """
     + ", ".join(f"[i - 1 FOR i IN range(1, len(w) + 1) IF {hit}] AS p{k}" for k, hit in enumerate(_STARTS.values()))
@@ -105,7 +105,7 @@ own AS (SELECT lang, source, measure, bin, sum(n) OVER (PARTITION BY lang, sourc
 every AS (SELECT measure, bin, sum(n) OVER (PARTITION BY measure ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY measure) AS total, coalesce(2 * {quality._GAMMA}::DOUBLE / ({quality._GAMMA}::DOUBLE + 1) * pow({quality._GAMMA}::DOUBLE, bin - 1), 0) AS value FROM (SELECT measure, bin, sum(n) AS n FROM b GROUP BY ALL)),
 o AS (SELECT lang, source, measure, min(value) FILTER (4 * upto >= total) AS q1, min(value) FILTER (4 * upto >= 3 * total) AS q3, max(total) AS total FROM own GROUP BY ALL),
 e AS (SELECT measure, min(value) FILTER (4 * upto >= total) AS e1, min(value) FILTER (4 * upto >= 3 * total) AS e3 FROM every GROUP BY ALL),
-s AS (SELECT lang, source, measure, CASE WHEN total >= {quality.MIN_GROUP} THEN q1 ELSE e1 END AS a, CASE WHEN total >= {quality.MIN_GROUP} THEN q3 ELSE e3 END AS z, CASE measure """
+s AS (SELECT lang, source, measure, (total * q1 + {quality.PRIOR} * e1) / (total + {quality.PRIOR}) AS a, (total * q3 + {quality.PRIOR} * e3) / (total + {quality.PRIOR}) AS z, CASE measure """
     + " ".join(f"WHEN '{k}' THEN {least}" for k, (least, _) in _M.items())
     + f""" END::DOUBLE AS least FROM o JOIN e USING (measure)),
 f AS (SELECT lang, source, measure, a - {quality.FENCE} * greatest(z - a, least) AS lo, z + {quality.FENCE} * greatest(z - a, least) AS hi FROM s)
