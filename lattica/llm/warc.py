@@ -38,18 +38,25 @@ RECORDS = "page_id bigint, payload_bytes bigint, payload_digest string, record_t
 
 
 # ---------------------------------------------------------------- the format, a record or frame at a time
-def record_name(page_id: int) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
+def record_name(page_id: str | None, bundle: str = "", copy: int = 0) -> str:
+    """The identifier of a page's record; rows that repeat a page_id or have none are told apart by bundle and number."""
+    name = f"page:{page_id}" if page_id is not None and not copy else f"page:{page_id}:{bundle}:{copy}"
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>"
 
 
-def encode(row) -> bytes:
-    """One WARC/1.1 record; a revisit has no block, but its payload's length and digest."""
+def encode(row, name: str) -> bytes:
+    """One WARC/1.1 record; a revisit has no block, but its payload's length and digest.
+
+    A page without an id has no X-Page-Id.
+    """
     revisit = row.record_type == "revisit"
     payload = b"" if revisit else (row.html or "").encode("utf-8")
     head = [
-        "WARC/1.1", f"WARC-Type: {row.record_type}", f"WARC-Record-ID: {record_name(row.page_id)}", "WARC-Date: 1970-01-01T00:00:00Z",
-        f"WARC-Target-URI: {' '.join((row.url or '').split())}", f"WARC-Payload-Digest: sha1:{row.payload_digest}", f"X-Page-Id: {row.page_id}", f"X-Payload-Length: {row.payload_bytes}",
+        "WARC/1.1", f"WARC-Type: {row.record_type}", f"WARC-Record-ID: {name}", "WARC-Date: 1970-01-01T00:00:00Z",
+        f"WARC-Target-URI: {' '.join((row.url or '').split())}", f"WARC-Payload-Digest: sha1:{row.payload_digest}", f"X-Payload-Length: {row.payload_bytes}",
     ]
+    if row.page_id is not None:
+        head.append(f"X-Page-Id: {row.page_id}")
     if revisit:
         head += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: {record_name(row.refers_to)}", f"X-Refers-To-Page: {row.refers_to}"]
     head += ["Content-Type: text/html; charset=utf-8", f"Content-Length: {len(payload)}"]
@@ -103,6 +110,8 @@ def described(pages: DataFrame) -> DataFrame:
 
     Of the pages with equal payloads of REVISIT_BYTES or more, the greatest page_id is the
     response. A null html is an empty payload. Rows that share the response's page_id are responses.
+    A page without an id revisits the response if there is one with an id; among themselves
+    such pages are all responses.
     """
     html = F.coalesce("html", F.lit(""))
     payload = pages.select("page_id", F.octet_length(html).cast("bigint").alias("payload_bytes"), F.sha1(html.cast("binary")).alias("payload_digest"))
@@ -111,8 +120,8 @@ def described(pages: DataFrame) -> DataFrame:
     copies = stage(copies, "copies")
     full = pages.select("page_id", "url", html.alias("html")).withColumns({"payload_bytes": F.octet_length("html").cast("bigint"), "payload_digest": F.sha1(F.col("html").cast("binary"))})
     met = full.join(small(copies, copies.count()), (F.col("payload_digest") == F.col("__digest")) & (F.col("payload_bytes") == F.col("__bytes")), "left")
-    revisit = F.col("page_id") < F.col("__keeper")
-    return met.select("page_id", "url", F.when(F.coalesce(revisit, F.lit(False)), F.lit("")).otherwise(F.col("html")).alias("html"), "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("__keeper")).alias("refers_to"))
+    revisit = F.col("__keeper").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("__keeper")))
+    return met.select("page_id", "url", F.when(revisit, F.lit("")).otherwise(F.col("html")).alias("html"), "payload_bytes", "payload_digest", F.when(revisit, "revisit").otherwise("response").alias("record_type"), F.when(revisit, F.col("__keeper")).alias("refers_to"))
 
 
 def _bundle_writer(folder: str):
@@ -120,7 +129,7 @@ def _bundle_writer(folder: str):
         """Write the bundles of a partition, whose rows come sorted by bundle and page."""
         system, root = fs.FileSystem.from_uri(folder)
         press = zstandard.ZstdCompressor(level=3)
-        name, out, frames, buffer, index = None, None, [], bytearray(), []
+        name, out, frames, buffer, index, last, copy = None, None, [], bytearray(), [], None, 0
 
         def flush() -> None:
             if buffer:
@@ -144,13 +153,20 @@ def _bundle_writer(folder: str):
                     if out is not None:
                         close()
                     name, out = bundle, system.open_output_stream(f"{root}/{bundle}.{token}", compression=None)
-                record = encode(row)
-                index.append((record_name(row.page_id), row.page_id, name, len(frames), len(buffer), len(record)))
+                    last = None
+                # rows of one page_id, or without one, stand one after another
+                copy = copy + 1 if last == (row.page_id,) else 0
+                last = (row.page_id,)
+                record_id = record_name(row.page_id, bundle, copy)
+                record = encode(row, record_id)
+                index.append((record_id, row.page_id, name, len(frames), len(buffer), len(record)))
                 buffer += record
                 if len(buffer) >= FRAME_BYTES:
                     flush()
             if index:
-                yield pd.DataFrame(index, columns=[c.split()[0] for c in INDEX.split(", ")])
+                made = pd.DataFrame(index, columns=[c.split()[0] for c in INDEX.split(", ")])
+                made["page_id"] = pd.array([None if x is None else int(x) for x in made["page_id"]], dtype="Int64")
+                yield made
                 index = []
         if out is not None:
             close()
@@ -162,16 +178,18 @@ def write(pages: DataFrame, folder: str) -> DataFrame:
     """Write the archives of pages(page_id, url, html) into a shared folder; returns the index (INDEX).
 
     Each bundle is written by one task under a temporary name and then renamed, so that a task which
-    runs again replaces its bundle by the same bytes. Rows without a page_id are left out of no
-    archive: they get the number -1. Columns besides the three are not archived.
+    runs again replaces its bundle by the same bytes. Rows without a page_id are archived too, dealt
+    to the bundles by their content. Columns besides the three are not archived.
     """
     system, root = fs.FileSystem.from_uri(folder)
     system.create_dir(root, recursive=True)
-    described_pages = described(pages.select(F.coalesce("page_id", F.lit(-1)).cast("bigint").alias("page_id"), "url", "html"))
+    described_pages = described(pages.select(F.col("page_id").cast("bigint").alias("page_id"), "url", "html"))
     row = pages.agg(F.sum(F.octet_length("html")).alias("b"), F.count("*").alias("n")).first()
     n = max(1, -(-(row.b or 0) // BUNDLE_BYTES), -(-row.n // 20_000))
-    dealt = described_pages.withColumn("bundle", F.pmod(F.xxhash64("page_id"), F.lit(n)).cast("int"))
-    dealt = dealt.withColumn("refers_to", F.coalesce("refers_to", F.lit(-1))).repartition(n, "bundle").sortWithinPartitions("bundle", "page_id")
+    place = F.when(F.col("page_id").isNull(), F.xxhash64("url", "payload_digest")).otherwise(F.xxhash64("page_id"))
+    dealt = described_pages.withColumn("bundle", F.pmod(place, F.lit(n)).cast("int")).repartitionById(n, "bundle").sortWithinPartitions("bundle", "page_id", "url", "payload_digest")
+    # ids go to Python as text, where a null wouldn't turn a column of numbers into floats
+    dealt = dealt.withColumns({c: F.col(c).cast("string") for c in ("page_id", "refers_to")})
     return stage(dealt.mapInPandas(_bundle_writer(folder), INDEX), "index")
 
 
@@ -192,9 +210,10 @@ def _bundle_reader(folder: str):
                             digest = head["WARC-Payload-Digest"].removeprefix("sha1:")
                             revisit = head["WARC-Type"] == "revisit"
                             intact = revisit or (hashlib.sha1(block).hexdigest() == digest and len(block) == int(head["X-Payload-Length"]))
-                            rows.append((int(head["X-Page-Id"]), int(head["X-Payload-Length"]), digest, head["WARC-Type"], int(head["X-Refers-To-Page"]) if revisit else None, intact))
+                            rows.append((int(head["X-Page-Id"]) if "X-Page-Id" in head else None, int(head["X-Payload-Length"]), digest, head["WARC-Type"], int(head["X-Refers-To-Page"]) if revisit else None, intact))
                         out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")])
-                        out["refers_to"] = out["refers_to"].astype("Int64")
+                        for c, at_row in (("page_id", 0), ("refers_to", 4)):
+                            out[c] = pd.array([r[at_row] for r in rows], dtype="Int64")
                         yield out
 
     return read
@@ -212,5 +231,4 @@ def read(index: DataFrame, folder: str) -> DataFrame:
 def round_trip(pages: DataFrame) -> DataFrame:
     """Archive the pages and read the archives back: one row per page."""
     folder = new_path(pages.sparkSession, "warc")
-    out = read(write(pages, folder), folder)
-    return out.select(F.when(F.col("page_id") >= 0, F.col("page_id")).alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
+    return read(write(pages, folder), folder)
