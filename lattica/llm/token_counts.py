@@ -1,21 +1,22 @@
 """Operator 6: token counts by source, language and tokenizer version, kept up to date by deltas.
 
-A store is a folder with one sub-folder per committed batch. A batch holds signed document counts
+A store is a folder with one sub-folder per attempt at a batch. It holds signed document counts
 (the ledger) and the signed totals they add up to. Totals are additive, so the current rollup is the
-sum over the committed batches; a batch is committed by one marker file, and committing a batch
-again changes nothing.
+sum over the committed batches; a batch is committed by one marker file that names the attempt, and
+committing a batch again changes nothing.
 """
 
 from __future__ import annotations
 
 import base64
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_path, ship
+from .common import new_path, ship, stage
 
 ship(__name__)
 
@@ -70,9 +71,18 @@ class Store:
         system, p = self._path("commits")
         return sorted(x.getPath().getName() for x in system.listStatus(p)) if system.exists(p) else []
 
+    def _attempt(self, batch: str) -> str:
+        """The folder of the attempt that a batch's marker names."""
+        system, p = self._path(f"commits/{batch}")
+        file = system.open(p)
+        try:
+            return file.readUTF()
+        finally:
+            file.close()
+
     def _read(self, kind: str, schema: str) -> DataFrame:
-        names = self.batches()
-        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{kind}/{n}" for n in names]) if names else self.spark.createDataFrame([], schema)
+        attempts = [self._attempt(n) for n in self.batches()]
+        return self.spark.read.schema(schema).parquet(*[f"{self.folder}/{kind}/{n}" for n in attempts]) if attempts else self.spark.createDataFrame([], schema)
 
     def ledger(self) -> DataFrame:
         """The counted documents that are in force: rows whose signs don't cancel."""
@@ -87,33 +97,50 @@ class Store:
     def commit(self, batch: str, signed: DataFrame) -> bool:
         """Add signed rows (LEDGER) as a batch; False if that batch is committed already.
 
-        Ledger and totals are written whole before the marker, which is created exclusively; what a
-        broken attempt has left is overwritten.
+        Ledger and totals are written whole, into folders of this attempt, before the marker; of two
+        writers of one batch, one makes the marker and the other's folders are never read.
         """
         system, marker = self._path(f"commits/{batch}")
         if system.exists(marker):
             return False
-        signed.write.mode("overwrite").parquet(f"{self.folder}/ledger/{batch}")
-        rows = self.spark.read.schema(LEDGER).parquet(f"{self.folder}/ledger/{batch}")
+        attempt = f"{batch}-{uuid.uuid4().hex}"
+        signed.write.parquet(f"{self.folder}/ledger/{attempt}")
+        rows = self.spark.read.schema(LEDGER).parquet(f"{self.folder}/ledger/{attempt}")
         totals = rows.groupBy("source", "lang", "tokenizer_version").agg(F.sum("sign").cast("bigint").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
-        totals.write.mode("overwrite").parquet(f"{self.folder}/totals/{batch}")
-        system.create(marker, False).close()
-        return True
+        totals.write.parquet(f"{self.folder}/totals/{attempt}")
+        # the marker appears whole under its name or not at all
+        _, draft = self._path(f"drafts/{attempt}")
+        file = system.create(draft, False)
+        file.writeUTF(attempt)
+        file.close()
+        system.mkdirs(marker.getParent())
+        return not system.exists(marker) and system.rename(draft, marker)
 
     def insert(self, batch: str, docs: DataFrame, version: str = VERSION, vocabulary: str = VOCABULARY) -> bool:
         """Count new documents (doc_id, source, lang, text)."""
         return self.commit(batch, self._signed(count_tokens(docs, vocabulary), version, 1))
 
     def delete(self, batch: str, ids: DataFrame, version: str | None = None) -> bool:
-        """Take the documents with these doc_ids out, for one tokenizer version or for all."""
-        old = self.ledger().join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
+        """Take the documents with these doc_ids out, for one tokenizer version or for all.
+
+        A null doc_id stands for all documents without one.
+        """
+        old = self._with(self.ledger(), ids)
         return self.commit(batch, self._reversed(old if version is None else old.where(F.col("tokenizer_version") == version)))
 
     def revise(self, batch: str, docs: DataFrame, version: str = VERSION, vocabulary: str = VOCABULARY) -> bool:
-        """Replace the version's counts of these documents by those of their new texts."""
-        old = self.ledger().where(F.col("tokenizer_version") == version).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
+        """Replace the version's counts of these documents by those of their new texts.
+
+        A null doc_id stands for all documents without one.
+        """
+        old = self._with(self.ledger().where(F.col("tokenizer_version") == version), docs)
         return self.commit(batch, self._reversed(old).unionByName(self._signed(count_tokens(docs, vocabulary), version, 1)))
 
+    @staticmethod
+    def _with(rows: DataFrame, ids: DataFrame) -> DataFrame:
+        ids = ids.select(F.col("doc_id").alias("__id")).distinct()
+        return rows.join(ids, rows["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+
     @staticmethod
     def _signed(counted: DataFrame, version: str, sign: int) -> DataFrame:
         return counted.select("doc_id", "source", "lang", F.lit(version).alias("tokenizer_version"), F.lit(sign).alias("sign"), "n_tokens")
@@ -124,10 +151,25 @@ class Store:
 
 
 def rollup(docs: DataFrame, version: str = VERSION, vocabulary: str = VOCABULARY) -> DataFrame:
-    """Totals of a store into which docs has been inserted as one batch.
+    """Totals of docs after a history of batches in a new store.
 
+    The documents arrive in two batches by the hash of their id; of each eighth document the first
+    batch has an outdated count, as of an empty text, which a later batch revises; another eighth is
+    deleted and inserted again. A batch is committed twice on the way. The totals are those of docs.
     Null sources and languages are groups of their own; repeated rows count each.
+
+    The texts are counted once, and all batches take their signed rows from these counts.
     """
     store = Store(docs.sparkSession, new_path(docs.sparkSession, "counts"))
-    store.insert("first", docs, version, vocabulary)
+    part = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(8))
+    counted = stage(store._signed(count_tokens(docs, vocabulary), version, 1).withColumn("part", F.coalesce(part, F.lit(0))), "counted")
+    columns = [c for c in counted.columns if c != "part"]
+    rows = lambda where: counted.where(where).select(*columns)
+    outdated = rows("part = 1").withColumn("n_tokens", F.lit(0).cast("bigint"))
+    store.commit("1-first", rows("part in (2, 4, 6, 0)").unionByName(outdated))
+    store.commit("2-second", rows("part in (3, 5, 7)"))
+    store.delete("3-delete", rows("part = 2"), version)
+    store.commit("2-second", rows("part in (3, 5, 7)"))
+    store.commit("4-revise", store._reversed(store._with(store.ledger(), outdated)).unionByName(rows("part = 1")))
+    store.commit("5-again", rows("part = 2"))
     return store.totals()
