@@ -34,10 +34,12 @@ def ship(module: str) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: `spark.checkpoint.dir`.
 
-    Only where it is unset (a local session, as in tests) a temporary folder is used.
+    Only where it is unset in a local session, as in tests, a temporary folder is used.
     """
     place = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not place:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors reach")
         place = "file://" + tempfile.mkdtemp(prefix="lattica-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
@@ -203,7 +205,7 @@ def _stars(edges: DataFrame) -> DataFrame:
     return moved.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (u, v): rows (node, root), root the least node reachable.
 
     Alternating large and small stars (Kiveris et al. 2014) until nothing changes; every other round
@@ -211,9 +213,7 @@ def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
     """
     now = stage(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "edges")
     before = _changed(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         then = stage(_stars(_stars(now)), "edges")
         after = _changed(then)
         discard(now)

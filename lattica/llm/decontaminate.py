@@ -126,6 +126,13 @@ def matches(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that match no item; rows without a doc_id stay unless null ids match."""
-    bad = stage(matches(docs.select("doc_id", "text"), benchmark).select(F.col("doc_id").alias("__bad")).distinct(), "bad")
-    return docs.join(small(bad, bad.count()), docs["doc_id"].eqNullSafe(F.col("__bad")), "left_anti").select(*docs.columns)
+    """The documents that match no item.
+
+    Rows with an id go if a text of that id matches. Rows without one can't be told apart by id, so
+    those are told by the hash of their text.
+    """
+    name = lambda doc_id, text: F.struct(doc_id.cast("string"), F.when(doc_id.isNull(), F.xxhash64(text)))
+    named = docs.select(name(F.col("doc_id"), F.col("text")).alias("doc_id"), "text")
+    bad = stage(matches(named, benchmark).select(F.col("doc_id").alias("__bad")).distinct(), "bad")
+    # a struct of nulls equals itself, so null parts need no care
+    return docs.join(small(bad, bad.count()), name(docs["doc_id"], docs["text"]).eqNullSafe(F.col("__bad")), "left_anti").select(*docs.columns)

@@ -100,9 +100,9 @@ def mix(docs: DataFrame, budget: float | None = None, entropy: float | None = EN
     None. epoch counts the passes over the source from 0; out_block the output blocks; order_key
     orders a block's rows at random. Of a source's last pass, the documents are used that fit whole
     into its budget in permutation order; a source with a budget below its first document gives
-    none. Null sources are one source; documents without tokens are used once if a = 1 holds for
-    their source's first pass, at their place in the permutation. Columns of docs with the names of
-    the added ones give way. Repeated rows are used each.
+    none. Null sources are one source. A document without tokens is used in each pass that reaches its
+    place in the permutation; sources without any token give no rows. Columns of docs with the names
+    of the added ones give way. Repeated rows are used each.
 
     No step groups by source alone: a source's permutation is cut into blocks of bounded size
     by the documents' hashes, and block sums give every block its place.

@@ -83,7 +83,7 @@ def random_samples(spark: SparkSession, n: int = RANDOM_SAMPLES) -> DataFrame:
 
 
 def identifier_samples(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
-    """Labelled identifiers: words of a bounded sample of documents that no base pattern marks.
+    """Labelled identifiers: words of letters, from a bounded sample of documents and the list IDENTIFIERS.
 
     The sample is the `most` documents with the least hashes of their doc_id, so it is the same
     in every run. Words with digits are left out, for they may be secrets themselves.
@@ -91,7 +91,7 @@ def identifier_samples(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
     ids = docs.select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most).distinct()
     few = docs.join(F.broadcast(ids), "doc_id")  # at most `most` rows
     words = F.array_distinct(F.filter(F.split(text_of(few), r"[^A-Za-z0-9+/_=-]+"), lambda w: w.rlike("^[A-Za-z_/-]{4,}$")))
-    listed = docs.sparkSession.createDataFrame([(w,) for w in IDENTIFIERS for _ in range(200)], "token string")
+    listed = docs.sparkSession.range(200).select(F.explode(F.array(*[F.lit(w) for w in IDENTIFIERS])).alias("token"))
     return few.select(F.explode(words).alias("token")).unionByName(listed)
 
 
