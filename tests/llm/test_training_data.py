@@ -131,6 +131,30 @@ def test_mixing_of_odd_tables(docs, empty):
     assert mixing.mix(empty).count() == 0
     out = mixing.mix(docs)
     assert set(docs.columns) - {"n_tokens"} <= set(out.columns) and out.count() > 5
+    assert {r.source for r in out.select("source").distinct().collect()} == {None, "s0", "s1"}
+    uses = out.where(f"doc_id = 5 and text = '{BASE[0]}'").groupBy("epoch").count().collect()
+    assert uses and all(r["count"] == 2 for r in uses)  # repeated rows are used each
+
+
+def test_mixture_against_a_plain_layout(spark):
+    """Every row of mix from a plain loop over the same permutation."""
+    r = random.Random(9)
+    rows = [(i, "w " * r.randint(0, 9), f"s{min(i % 7, 3)}") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = mixing.mix(df, budget=2500.0, entropy=0.7)
+    got = sorted((x.source, x.doc_id, x.epoch) for x in out.collect())
+    hashed = {x.doc_id: x.h for x in df.select("doc_id", F.xxhash64(F.lit(1), F.col("doc_id").cast("string"), F.octet_length("text")).alias("h")).collect()}
+    weight = {x.source: x.weight for x in out.select("source", "weight").distinct().collect()}
+    expected = []
+    for source in weight:
+        own = sorted(((hashed[i], i, len(t.split())) for i, t, s in rows if s == source))
+        total = sum(n for *_, n in own)
+        passes, rest = divmod(weight[source] * 2500.0, total)
+        end = 0
+        for _, i, n in own:
+            end += n
+            expected += [(source, i, e) for e in range(int(passes) + (end <= rest + 1e-6))]
+    assert got == sorted(expected) and len(got) > 400
 
 
 # ---------------------------------------------------------------- 2
@@ -185,6 +209,19 @@ def test_warc_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
 
 
+def test_warc_of_odd_pages(spark):
+    """Negative, null and repeated page_ids, equal payloads among them, and clashing columns."""
+    body = "z" * 2000
+    rows = [(-5, "a", body, "x"), (None, "b", body, "y"), (2**60 + 1, "c", body, "z"), (7, "d", "one", None), (7, "e", "two", None), (None, "f", None, None), (None, "f", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, bundle string")
+    folder = common.new_path(spark, "warc-odd")
+    index = warc.write(pages, folder)
+    assert index.select("record_id").distinct().count() == index.count() == len(rows)
+    got = sorted(((r.page_id, r.payload_bytes, r.record_type, r.refers_to) for r in warc.read(index, folder).collect()), key=str)
+    top = 2**60 + 1
+    assert got == sorted([(-5, 2000, "revisit", top), (None, 2000, "revisit", top), (top, 2000, "response", None), (7, 3, "response", None), (7, 3, "response", None), (None, 0, "response", None), (None, 0, "response", None)], key=str)
+
+
 # ---------------------------------------------------------------- 4
 def test_decontamination_against_brute_force(spark, docs, empty):
     r = random.Random(8)
@@ -215,6 +252,9 @@ def test_decontamination_against_brute_force(spark, docs, empty):
     got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.matches(df, bench).collect()}
     assert got == {k: pytest.approx(s) for k, (s, _) in expected.items()} and len(expected) > 15
     assert decontaminate.matches(empty, bench).count() == 0 and decontaminate.matches(df, bench.limit(0)).count() == 0
+    nulls = spark.createDataFrame([(None, BASE[0]), (None, BASE[1]), (None, None), (4, BASE[0])], "doc_id long, text string")
+    left = decontaminate.clean(nulls, spark.createDataFrame([(1, BASE[0])], "item_id long, text string"))
+    assert sorted((r.text or "") for r in left.collect()) == sorted(["", BASE[1]])
     kept = decontaminate.clean(docs, spark.createDataFrame([(1, BASE[0])], "item_id long, text string"))
     assert kept.columns == docs.columns and kept.where(F.col("doc_id").isin(5, 6, 7)).count() == 0 and kept.where("doc_id = 9").count() == 1
 
@@ -253,6 +293,27 @@ def test_token_store(spark, docs, empty):
     assert token_counts.rollup(empty).count() == 0
 
 
+def test_deltas_without_doc_id_and_races(spark):
+    store = token_counts.Store(spark, common.new_path(spark, "counts-null"))
+    schema = "doc_id long, text string, lang string, source string"
+    old = spark.createDataFrame([(1, "one two", "en", "s"), (None, "three four five", "en", "s")], schema)
+    new = spark.createDataFrame([(1, "one", "en", "s"), (None, "three four", "en", "s")], schema)
+    store.insert("a", old)
+    store.revise("b", new)
+    assert [(r.n_docs, r.n_tokens) for r in store.totals().collect()] == [(2, 3)]
+    store.delete("c", new.where("doc_id is null"))
+    assert [(r.n_docs, r.n_tokens) for r in store.totals().collect()] == [(1, 1)]
+    # what an attempt without a marker has written is never read
+    store._signed(token_counts.count_tokens(old), "v", 1).write.parquet(f"{store.folder}/ledger/d-broken")
+    assert [(r.n_docs, r.n_tokens) for r in store.totals().collect()] == [(1, 1)] and store.ledger().count() == 1
+
+
+def test_rollup_equals_direct_sums(docs):
+    direct = token_counts.count_tokens(docs).groupBy("source", "lang").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"))
+    got = {(r.source, r.lang): (r.n_docs, r.n_tokens) for r in token_counts.rollup(docs).collect()}
+    assert got == {(r.source, r.lang): (r.n, r.t) for r in direct.collect()}
+
+
 def test_token_counts_equal_the_tokenizer(docs):
     import base64
 
@@ -320,6 +381,20 @@ def test_repeated_windows(spark, n):
         assert row.n_repeat_words == len({k for j in range(len(w) - 2) if c[tuple(w[j : j + 3])] > 1 for k in (j, j + 1, j + 2)})
 
 
+def test_groups_of_equal_size_have_their_own_fences(spark):
+    """Groups of 38 documents, the largest at sf0.01, and one of five."""
+    text = lambda k, n: " ".join("x" * k for _ in range(n))
+    rows = [(i, text(4 + i % 3, 60), "en", "a") for i in range(38)] + [(100 + i, text(9 + i % 3, 60), "en", "b") for i in range(38)] + [(200 + i, text(14, 60), "en", "c") for i in range(5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    limits = {r.source: r for r in quality.thresholds(quality.sketch(quality.measures(df))).collect()}
+    assert limits["a"].word_length_hi < limits["b"].word_length_hi and limits["a"].word_length_lo < limits["b"].word_length_lo
+    by = lambda keys: {r[0] or 0: r for r in quality._quartiles(quality.sketch(quality.measures(df)).withColumn("every", F.lit(0)), [keys]).where("measure = 'word_length'").collect()}
+    own, every = by("source"), by("every")[0]
+    q3 = (38 * own["a"].q3 + quality.PRIOR * every.q3) / (38 + quality.PRIOR)
+    q1 = (38 * own["a"].q1 + quality.PRIOR * every.q1) / (38 + quality.PRIOR)
+    assert limits["a"].word_length_hi == pytest.approx(q3 + quality.FENCE * max(q3 - q1, quality.MEASURES["word_length"][0]))
+
+
 # ---------------------------------------------------------------- 9
 def test_line_dedup(spark, docs, empty):
     long = words(90, 77)
@@ -429,6 +504,40 @@ def test_pairs_are_learnt():
     assert ((model.scores(rows) > 0.5) == np.array(labels)).mean() > 0.9
 
 
+def test_rare_pairs_take_part():
+    """An insult is toxic beside a group's name only; both are rare and close to the base rate by themselves."""
+    import numpy as np
+
+    r = np.random.default_rng(3)
+    rows, labels = [], []
+    for i in range(6000):
+        row = set(r.integers(1000, 9000, 40).tolist())
+        toxic = r.random() < 0.1
+        together = i % 300 == 0
+        if together:
+            toxic = True
+        row |= {11, 12} if together else ({11} if i % 60 == 7 else {12} if i % 60 == 9 else set())
+        rows.append(np.array(sorted(row), dtype=np.int32))
+        labels.append(float(toxic))
+    labels = np.array(labels)
+    with_11, both = [11 in x for x in map(set, rows)], [{11, 12} <= set(x.tolist()) for x in rows]
+    assert 0.1 < labels[with_11].mean() < 0.4 and sum(both) == 20
+    assert {11, 12} <= set(np.flatnonzero(toxicity.chosen(rows, labels)).tolist())
+    scores = toxicity.fit(rows, labels).scores(rows)
+    alone = np.array(with_11) & ~np.array(both)
+    assert (scores[np.array(both)] >= toxicity.CUT).mean() > 0.9 and (scores[alone & (labels == 0)] >= toxicity.CUT).mean() < 0.2
+
+
+def test_pair_sums_equal_explicit_sums():
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    w, v = r.normal(size=toxicity.BUCKETS), r.normal(size=(toxicity.BUCKETS, toxicity.FACTORS))
+    rows = [np.array(sorted(set(r.integers(0, 500, k).tolist())), dtype=np.int32) for k in (0, 1, 2, 7, 30)]
+    for row, got in zip(rows, toxicity.Machine(0.3, w, v).logits(rows), strict=True):
+        assert got == pytest.approx(0.3 + w[row].sum() + sum(v[a] @ v[b] for a, b in itertools.combinations(row, 2)))
+
+
 # ---------------------------------------------------------------- pipeline
 def test_pipeline(spark, sf_dir):
     import corpus_pipeline
