@@ -16,13 +16,20 @@ def numeric_columns(df: DataFrame) -> list[str]:
     return [c for c, kind in df.dtypes if kind in NUMERIC or kind.startswith("decimal")]
 
 
+def nan_to_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """NaN as null in the floating-point columns; every operator here that asks for missing values starts with it."""
+    kinds = dict(df.dtypes)
+    named = [c for c in (df.columns if columns is None else columns) if kinds[c] in ("double", "float")]
+    return df.select(*[F.when(~F.isnan(c), F.col(c)).alias(c) if c in named else F.col(c) for c in df.columns])
+
+
 def drop_rows_with_null(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     return df.na.drop("any", subset=columns)
 
 
 def columns_with_null(df: DataFrame) -> list[str]:
     """From one pass over the table."""
-    row = df.agg(F.count("*").alias("__all"), *[F.count(c).alias(c) for c in df.columns]).first()
+    row = nan_to_null(df).agg(F.count("*").alias("__all"), *[F.count(c).alias(c) for c in df.columns]).first()
     return [c for c in df.columns if row[c] < row["__all"]]
 
 
@@ -42,11 +49,12 @@ def fill_statistics(df: DataFrame, columns: list[str], strategy: str, constant:
     }
     if strategy not in each:
         raise ValueError(f"no strategy {strategy!r}; there are {', '.join(each)}")
-    return df.agg(*[each[strategy](c).alias(c) for c in columns])
+    return nan_to_null(df, columns).agg(*[each[strategy](c).alias(c) for c in columns])
 
 
 def impute(df: DataFrame, columns: list[str], strategy: str = "mean", constant: float | None = None) -> DataFrame:
-    """Fill nulls by a statistic of the column. A column without values stays null."""
+    """Fill nulls and NaN by a statistic of the column. A column without values becomes null."""
+    df = nan_to_null(df, columns)
     fills = fill_statistics(df, columns, strategy, constant).select(*[F.col(c).alias(f"__{c}") for c in columns])
     return df.join(F.broadcast(fills)).select(*[F.coalesce(c, f"__{c}").alias(c) if c in columns else F.col(c) for c in df.columns])  # one row
 

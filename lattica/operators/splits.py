@@ -79,18 +79,23 @@ def leave_out_percent(df: DataFrame, row_id: str, share: float = 0.2, repeats: i
     return numbered.join(F.broadcast(n)).select("split", row_id, role.alias("role"), F.lit(1).alias("weight"))  # one row
 
 
-def time_series_folds(df: DataFrame, row_id: str, order: Column, k: int, digits: int = 3) -> DataFrame:
+def time_series_folds(df: DataFrame, row_id: str, order: Column, k: int, ranges: int = 256) -> DataFrame:
     """(row_id, block): k + 1 consecutive blocks in time; split i tests block i + 1 and trains on all before.
 
-    order: a column that sorts rows. Ranges come from quantiles of it, so the sort is distributed.
+    order: a numeric or time column that sorts rows; ties go by row_id. The column is cut into
+    ranges at its approximate quantiles: counts of the ranges give offsets, and every range is numbered by
+    itself. Rows of one time value share a range.
     """
     keyed = df.select(row_id, order.alias("__t"))
-    sliced = keyed.groupBy("__t").agg(F.count("*").alias("__n"))
-    running = Window.partitionBy(F.lit(0)).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sliced.select("__t", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__before"))
-    local = F.row_number().over(Window.partitionBy("__t").orderBy(row_id))
-    total = df.agg(F.count("*").alias("__all"))
-    placed = keyed.withColumn("__local", local).join(offsets, "__t").join(F.broadcast(total))  # one row
+    at = F.col("__t").cast("double") if dict(keyed.dtypes)["__t"] not in ("timestamp", "timestamp_ntz", "date") else F.unix_micros(F.col("__t").cast("timestamp")).cast("double")
+    # quantiles of the rows themselves, so that ranges hold about as many rows each
+    edges = keyed.agg(F.array_sort(F.array_distinct(F.percentile_approx(at, [i / ranges for i in range(1, ranges)], 10 * ranges))).alias("__edges"))
+    cut = keyed.withColumn("__at", at).join(F.broadcast(edges)).withColumn("__range", F.size(F.filter("__edges", lambda e: e <= F.col("__at")))).drop("__edges")  # one row
+    counts = cut.groupBy("__range").agg(F.count("*").alias("__n"))
+    running = Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over at most `ranges` rows
+    offsets = counts.select("__range", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__before"), F.sum("__n").over(Window.partitionBy(F.lit(0))).alias("__all"))
+    local = F.row_number().over(Window.partitionBy("__range").orderBy("__t", row_id))
+    placed = cut.withColumn("__local", local).join(F.broadcast(offsets), "__range")  # at most `ranges` rows
     test = F.floor(F.col("__all") / (k + 1))
     first = F.col("__all") - test * k
     rank = F.col("__before") + F.col("__local")
@@ -162,22 +167,42 @@ def close_compositions(fractions: DataFrame, formula: str, threshold: float = 0.
     """Rows (split, member): for each formula as a split, the formulas whose element fractions lie within an L2 distance.
 
     The members' rows are the split's test set, all other rows train. fractions: (formula, element,
-    fraction), distinct formulas. Close vectors differ by the threshold at most in every element, so
-    a formula's largest element is matched with neighbouring cells of the others' fractions of it.
-    Formulas without a common element are further apart than any threshold below 0.5.
+    fraction), distinct formulas. Exact for every threshold above 0, along three routes:
+
+    * Close vectors differ by the threshold at most in every element. So a formula's largest element
+      is matched with neighbouring cells of the others' fractions of it, in both directions.
+    * What remains are pairs of flat formulas (no fraction above the threshold) that lack one another's
+      largest element. Those with a common element are matched by it.
+    * Two formulas whose squared norms add up to the squared threshold at most are close whatever they
+      have in common; they are found by cells of their norms, and each such pair is a result.
     """
-    if not 0 < threshold < 0.5:
-        raise ValueError("the threshold must be above 0 and below 0.5")
-    cell = F.floor(F.col("fraction") / F.lit(threshold)).cast("bigint")
+    if threshold <= 0:
+        raise ValueError("the threshold must be above 0")
+    limit = threshold**2 + 1e-12
+    cell = lambda x: F.floor(x / F.lit(threshold)).cast("bigint")
     top = fractions.groupBy(formula).agg(F.max(F.struct("fraction", "element")).alias("t"), F.sum(F.col("fraction") * F.col("fraction")).alias("aa"))
-    a = top.select(F.col(formula).alias("split"), "t.element", "aa", F.floor(F.col("t.fraction") / F.lit(threshold)).cast("bigint").alias("cell"))
-    b = fractions.select(F.col(formula).alias("member"), "element", F.explode(F.array(cell - 1, cell, cell + 1)).alias("cell"))
-    pairs = a.join(b, ["element", "cell"]).select("split", "member", "aa").distinct()
-    norms = top.select(F.col(formula).alias("member"), F.col("aa").alias("bb"))
+    a = top.select(F.col(formula).alias("split"), "t.element", cell(F.col("t.fraction")).alias("cell"))
+    b = fractions.select(F.col(formula).alias("member"), "element", F.explode(F.array(*[cell(F.col("fraction")) + d for d in (-1, 0, 1)])).alias("cell"))
+    one = a.join(b, ["element", "cell"]).select("split", "member")
+
+    flat = top.where(F.col("t.fraction") <= threshold + 1e-12).select(formula)
+    few = fractions.join(flat, formula, "left_semi").select(formula, "element")
+    common = few.select(F.col(formula).alias("split"), "element").join(few.select(F.col(formula).alias("member"), "element"), "element").select("split", "member")
+
+    # the norms' cells are of a sixteenth of the squared threshold; cells that add up to more can't meet it
+    cells = 16
+    normed = top.where(F.col("aa") <= limit).select(formula, "aa", F.floor(F.col("aa") / F.lit(limit) * cells).cast("int").alias("c"))
+    left = normed.select(F.col(formula).alias("split"), F.col("aa").alias("sa"), F.explode(F.sequence(F.lit(0), F.greatest(F.lit(cells) - F.col("c"), F.lit(0)))).alias("c"))
+    right = normed.select(F.col(formula).alias("member"), F.col("aa").alias("ma"), "c")
+    small_norms = left.join(right, "c").where(F.col("sa") + F.col("ma") <= limit).select("split", "member")
+
+    swapped = one.select(F.col("member").alias("split"), F.col("split").alias("member"))
+    pairs = one.unionByName(swapped).unionByName(common).distinct()
+    norm = lambda name, value: top.select(F.col(formula).alias(name), F.col("aa").alias(value))
     f = fractions.select(F.col(formula).alias("split"), "element", F.col("fraction").alias("x"))
     g = fractions.select(F.col(formula).alias("member"), "element", F.col("fraction").alias("y"))
-    dots = pairs.join(norms, "member").join(f, "split").join(g, ["member", "element"]).groupBy("split", "member", "aa", "bb").agg(F.sum(F.col("x") * F.col("y")).alias("ab"))
-    return dots.where(F.col("aa") + F.col("bb") - 2 * F.col("ab") <= threshold**2 + 1e-12).select("split", "member")
+    dots = pairs.join(norm("split", "aa"), "split").join(norm("member", "bb"), "member").join(f, "split").join(g, ["member", "element"]).groupBy("split", "member", "aa", "bb").agg(F.sum(F.col("x") * F.col("y")).alias("ab"))
+    return dots.where(F.col("aa") + F.col("bb") - 2 * F.col("ab") <= limit).select("split", "member").unionByName(small_norms).distinct()
 
 
 def cluster_folds(df: DataFrame, row_id: str, features: list[str], k: int, method: str = "KMeans", seed: int = 1) -> DataFrame:

@@ -477,6 +477,21 @@ def close_compositions(spark, sf_dir):
     return splits.close_compositions(fm.fractions(parts(spark, sf_dir), "formula"), "formula", 0.3)
 
 
+#: The ladder Al(i)Cu(10 - i), with two formulas of ten elements that have none in common.
+LADDER = tuple(f"Al{i}Cu{10 - i}" if 0 < i < 10 else ("Cu" if i == 0 else "Al") for i in range(11)) + ("HLiBeBCNOFNaMg", "SiPSClKCaScTiVCr", "AlSiPS", "AlSiP")
+LADDER_SQL = (
+    f"raw AS (SELECT formula, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 1)) AS element, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*)', 2)) AS a FROM (SELECT DISTINCT ({list(LADDER)})[p_partkey % {len(LADDER)} + 1] AS formula FROM part)), "
+    "e AS (SELECT formula, element, sum(CASE WHEN a = '' THEN 1.0::DOUBLE ELSE a::DOUBLE END) AS amount FROM raw GROUP BY ALL), fr AS (SELECT *, amount / sum(amount) OVER (PARTITION BY formula) AS fraction FROM e)"
+)
+
+
+@query(f"WITH {LADDER_SQL}, n AS (SELECT formula, sum(fraction * fraction) AS q FROM fr GROUP BY formula), d AS (SELECT a.formula AS split, b.formula AS member, a.q + b.q - 2 * coalesce((SELECT sum(x.fraction * y.fraction) FROM fr x JOIN fr y USING (element) WHERE x.formula = a.formula AND y.formula = b.formula), 0) AS d2 FROM n a, n b) SELECT split, member FROM d WHERE d2 <= 0.25 + 1e-12")
+def close_compositions_half(spark, sf_dir):
+    ladder = F.element_at(F.array(*[F.lit(x) for x in LADDER]), (F.col("p_partkey") % len(LADDER) + 1).cast("int"))
+    elements = fm.elements(table(spark, sf_dir, "part").select("p_partkey", ladder.alias("formula")), "formula")
+    return splits.close_compositions(fm.fractions(elements, "formula"), "formula", 0.5)
+
+
 @query()
 def folds_by_cluster(spark, sf_dir):
     return splits.cluster_folds(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"], 3)
