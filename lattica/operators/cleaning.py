@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -204,3 +206,29 @@ def ppca(df: DataFrame, row_id: str, columns: list[str], components: int | None
     fills = data.where(" or ".join(f"`{c}` is null" for c in used)).mapInPandas(fill, f"`{row_id}` {kind}, " + ", ".join(f"`{c}` double" for c in used))
     fills = fills.select(row_id, *[F.col(c).alias(f"__{c}") for c in used])
     return df.join(fills, row_id, "left").select(*[F.coalesce(c, f"__{c}").alias(c) if c in used else F.col(c) for c in df.columns])
+
+
+@dataclass(frozen=True)
+class Cleaned:
+    """data: the cleaned rows; outliers: (row_id, column, value) before cleaning; strings: columns that hold texts."""
+
+    data: DataFrame
+    outliers: DataFrame
+    strings: list[str]
+
+
+def clean(df: DataFrame, row_id: str, method: str, columns: list[str], target: str | None = None, strategy: str = "mean", n_stdevs: float = 3.0, **options) -> Cleaned:
+    """Flag texts and outliers, then treat missing values by `method`.
+
+    method: drop_rows, drop_columns, impute (with a strategy) or ppca.
+    """
+    df = nan_to_null(df, columns)
+    methods = {
+        "drop_rows": lambda: drop_rows_with_null(df, columns),
+        "drop_columns": lambda: df.drop(*[c for c in columns_with_null(df.select(*columns)) if c != target]),
+        "impute": lambda: impute(df, columns, strategy, **options),
+        "ppca": lambda: ppca(df, row_id, columns, **options),
+    }
+    if method not in methods:
+        raise ValueError(f"no method {method!r}; there are {', '.join(methods)}")
+    return Cleaned(methods[method](), outliers(df, row_id, columns, n_stdevs), columns_with_strings(df))

@@ -140,6 +140,16 @@ def element_matrix(parts: DataFrame, formula: str, most: int = 16) -> DataFrame:
     return listed.select(formula, F.transform("l", lambda x: F.element_at(number, x["element"])).alias("z"), F.transform("l", lambda x: x["fraction"]).alias("fraction"))
 
 
+def collapsed(matrix: DataFrame, table: DataFrame, formula: str) -> DataFrame:
+    """Statistics of properties over the elements of a matrix from element_matrix, the sum included.
+
+    table: (element, z, property, value).
+    """
+    each = matrix.select(formula, F.explode(F.arrays_zip("z", "fraction")).alias("e")).select(formula, F.col("e.z").alias("z"), F.col("e.fraction").alias("amount"))
+    parts = each.join(F.broadcast(table.select("z", "element").distinct()), "z")  # 118 elements
+    return composition_statistics(parts.select(formula, "element", "amount"), table, formula, sums=True)
+
+
 def element_prevalence(parts: DataFrame) -> DataFrame:
     return parts.groupBy("element").agg(F.sum("amount").alias("amount"), F.count("*").alias("formulas"))
 

@@ -59,3 +59,10 @@ def feature_curve(df: DataFrame, features: list[str], target: str, fold: str) ->
                 scores[name].append(float(np.sqrt(max(v @ x @ v, 0) / x[0, 0])))
         out += [(n, name, float(np.mean(s)), float(np.std(s))) for name, s in scores.items()]
     return df.sparkSession.createDataFrame(out, "n_features int, part string, mean double, stdev double")
+
+
+def both(data: DataFrame, features: DataFrame) -> DataFrame:
+    """Rows (curve, x, part, mean, stdev) of a curve over sizes and one over numbers of features."""
+    rows = ["part", "mean", "stdev"]
+    first = data.select(F.lit("data").alias("curve"), F.col("size").alias("x"), *rows)
+    return first.unionByName(features.select(F.lit("features").alias("curve"), F.col("n_features").cast("double").alias("x"), *rows))

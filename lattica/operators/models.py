@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.order import hash_number
@@ -51,11 +51,34 @@ def solve(m: np.ndarray, alpha: float = 0.0) -> np.ndarray:
     return np.concatenate([[mean[k] - mean[:k] @ beta], beta])
 
 
-def linear_cv(df: DataFrame, features: list[str], target: str, fold: str, alpha: float = 0.0) -> DataFrame:
+def solve_elastic(m: np.ndarray, alpha: float, ratio: float, rounds: int = 10_000, tolerance: float = 1e-12) -> np.ndarray:
+    """Intercept and coefficients of least absolute shrinkage (ratio 1) or an elastic net, from a matrix of sums.
+
+    Minimises half the mean squared error, plus alpha * ratio times the coefficients' absolute values
+    and alpha * (1 - ratio) / 2 times their squares, by coordinate descent.
+    """
+    n, k = m[0, 0], len(m) - 2
+    if n <= 0:
+        return np.zeros(k + 1)
+    mean = m[0, 1:] / n
+    c = m[1:, 1:] / n - np.outer(mean, mean)
+    beta = np.zeros(k)
+    for _ in range(rounds):
+        before = beta.copy()
+        for j in range(k):
+            left = c[j, k] - c[j, :k] @ beta + c[j, j] * beta[j]
+            beta[j] = np.sign(left) * max(abs(left) - alpha * ratio, 0.0) / ((c[j, j] + alpha * (1 - ratio)) or 1.0)
+        if np.abs(beta - before).max(initial=0.0) <= tolerance * max(1.0, np.abs(beta).max(initial=0.0)):
+            break
+    return np.concatenate([[mean[k] - mean[:k] @ beta], beta])
+
+
+def linear_cv(df: DataFrame, features: list[str], target: str, fold: str, alpha: float = 0.0, l1_ratio: float | None = None) -> DataFrame:
     """Rows (fold, b0, b_<feature>...): the model that is trained on all other folds.
 
     Sums per fold are taken once and train = total - fold, so rows aren't repeated k times. What
-    comes to the driver are folds * features**2 numbers.
+    comes to the driver are folds * features**2 numbers. With l1_ratio, alpha is that of an elastic net,
+    otherwise of a ridge.
     """
     rows = gram(df, features, target, [fold]).collect()
     width = len(features) + 2
@@ -63,7 +86,8 @@ def linear_cv(df: DataFrame, features: list[str], target: str, fold: str, alpha:
     total = sum(parts.values(), np.zeros((width, width)))
     kind = dict(df.dtypes)[fold]
     schema = f"`{fold}` {kind}, b0 double, " + ", ".join(f"`b_{c}` double" for c in features)
-    return df.sparkSession.createDataFrame([(k, *map(float, solve(total - m, alpha))) for k, m in parts.items()], schema)
+    fitted = lambda m: solve(m, alpha) if l1_ratio is None else solve_elastic(m, alpha, l1_ratio)
+    return df.sparkSession.createDataFrame([(k, *map(float, fitted(total - m))) for k, m in parts.items()], schema)
 
 
 def linear_fit(df: DataFrame, features: list[str], target: str, alpha: float = 0.0) -> dict[str, float]:
@@ -72,6 +96,15 @@ def linear_fit(df: DataFrame, features: list[str], target: str, alpha: float = 0
     return dict(zip(["b0", *features], map(float, beta), strict=True))
 
 
+def save_linear(spark: SparkSession, beta: dict[str, float], path: str) -> None:
+    """Write the coefficients with their names."""
+    spark.createDataFrame([(i, c, float(b)) for i, (c, b) in enumerate(beta.items())], "place int, name string, value double").coalesce(1).write.mode("overwrite").parquet(path)
+
+
+def load_linear(spark: SparkSession, path: str) -> dict[str, float]:
+    return {r.name: r.value for r in spark.read.parquet(path).orderBy("place").collect()}
+
+
 def linear_expression(beta: dict[str, float]) -> Column:
     out = F.lit(beta["b0"])
     for c, b in beta.items():

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -54,7 +55,7 @@ class Scaler:
     def __init__(self, name: str = "StandardScaler", **options):
         if name not in KINDS:
             raise ValueError(f"no scaler {name!r}; there are {', '.join(KINDS)}")
-        self.name, self.kind = name, KINDS[name](**options)
+        self.name, self.options, self.kind = name, options, KINDS[name](**options)
         self.columns: list[str] = []
         self.statistics: DataFrame | None = None
 
@@ -80,6 +81,21 @@ class Scaler:
     def fit_transform(self, df: DataFrame, columns: list[str]) -> DataFrame:
         return self.fit(df, columns).transform(df)
 
+    def save(self, spark: SparkSession, path: str) -> None:
+        """Write name, options, columns and statistics as one row."""
+        about = json.dumps({"name": self.name, "options": self.options, "columns": self.columns})
+        one = self.statistics if self.statistics is not None else spark.range(1).select()
+        one.withColumn("__scaler", F.lit(about)).coalesce(1).write.mode("overwrite").parquet(path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> Scaler:
+        row = spark.read.parquet(path)
+        about = json.loads(row.first()["__scaler"])
+        out = cls(about["name"], **about["options"])
+        out.columns = about["columns"]
+        out.statistics = row.drop("__scaler") if len(row.columns) > 1 else None
+        return out
+
 
 def normalize(df: DataFrame, columns: list[str], norm: str = "l2") -> DataFrame:
     """Divide every row by its norm; rows of zeros stay."""

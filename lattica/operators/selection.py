@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import warnings
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -120,6 +121,15 @@ def ensemble_importance(df: DataFrame, features: list[str], target: str, n: int,
     return [x for x in got if x[0] in features][:n] if not (n_random_dummy or n_permuted_dummy) else got[: n + n_random_dummy + n_permuted_dummy]
 
 
+def below_dummies(ranking: list[tuple[str, float]], prefix: str = "dummy_") -> list[str]:
+    """Features that rank below the best dummy, with a warning: they tell no more than noise does."""
+    places = [i for i, (c, _) in enumerate(ranking) if c.startswith(prefix)]
+    out = [c for c, _ in ranking[places[0] :] if not c.startswith(prefix)] if places else []
+    if out:
+        warnings.warn(f"ranked below a dummy: {', '.join(out)}", stacklevel=2)
+    return out
+
+
 def linear_shap(df: DataFrame, beta: dict[str, float], features: list[str]) -> DataFrame:
     """Rows (feature, total): sums of |b (x - mean)|, the Shapley values of a linear model."""
     mean = df.agg(*[F.avg(c).alias(f"__{c}") for c in features])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Generator
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,20 +65,16 @@ def nll(residual: Column, sigma: Column) -> Column:
     return F.when(F.count(each) == F.count("*"), F.avg(each))
 
 
-def calibrate(df: DataFrame, power: int = 1, sigma: str = "y_err", residual: str = "residual", rounds: int = 60, tolerance: float = 1e-7) -> list[float]:
-    """Parameters that minimise nll, by the simplex method of Nelder and Mead (1965).
+def _simplex(k: int, rounds: int, tolerance: float) -> Generator[list[np.ndarray], list[float], np.ndarray]:
+    """The simplex method of Nelder and Mead (1965): yields points, is sent their values, returns the best.
 
-    The table is cached by the caller; every step evaluates all points it may need in one aggregation.
+    Every step asks for all points that it may need at once. For k = 1 it starts from a shift of zero.
     """
-    start = [0.0] if power == 0 else [0.0] * (power - 1) + [1.0, 0.0]
-    k = len(start)
-
-    def values(points: list[np.ndarray]) -> list[float]:
-        row = df.agg(*[nll(F.col(residual), recalibrated(F.col(sigma), [F.lit(float(a)) for a in x])).alias(f"v{i}") for i, x in enumerate(points)]).first()
-        return [float("inf") if v is None else v for v in row]
-
-    simplex = [np.array(start)] + [np.array(start) + 0.25 * np.eye(k)[i] for i in range(k)]
-    score = values(simplex)
+    start = np.zeros(k)
+    if k > 1:
+        start[-2] = 1.0
+    simplex = [start] + [start + 0.25 * np.eye(k)[i] for i in range(k)]
+    score = yield simplex
     for _ in range(rounds):
         order = np.argsort(score, kind="stable")
         simplex, score = [simplex[i] for i in order], [score[i] for i in order]
@@ -86,7 +84,7 @@ def calibrate(df: DataFrame, power: int = 1, sigma: str = "y_err", residual: str
         reflected, expanded = 2 * centre - worst, 3 * centre - 2 * worst
         outside, inside = 1.5 * centre - 0.5 * worst, 0.5 * centre + 0.5 * worst
         shrunk = [simplex[0] + (x - simplex[0]) / 2 for x in simplex[1:]]
-        r, e, o, i, *s = values([reflected, expanded, outside, inside, *shrunk])
+        r, e, o, i, *s = yield [reflected, expanded, outside, inside, *shrunk]
         if r < score[0]:
             simplex[-1], score[-1] = (expanded, e) if e < r else (reflected, r)
         elif r < score[-2]:
@@ -95,8 +93,46 @@ def calibrate(df: DataFrame, power: int = 1, sigma: str = "y_err", residual: str
             simplex[-1], score[-1] = (outside, o) if o <= i else (inside, i)
         else:
             simplex[1:], score[1:] = shrunk, s
-    best = int(np.argmin(score))
-    return [float(x) for x in simplex[best]]
+    return simplex[int(np.argmin(score))]
+
+
+def calibrate(df: DataFrame, power: int = 1, sigma: str = "y_err", residual: str = "residual", rounds: int = 60, tolerance: float = 1e-7) -> list[float]:
+    """Parameters that minimise nll, by the simplex method; each step is one aggregation.
+
+    The caller caches the table.
+    """
+    search = _simplex(power + 1, rounds, tolerance)
+    points = next(search)
+    while True:
+        row = df.agg(*[nll(F.col(residual), recalibrated(F.col(sigma), [F.lit(float(a)) for a in x])).alias(f"v{i}") for i, x in enumerate(points)]).first()
+        try:
+            points = search.send([float("inf") if v is None else v for v in row])
+        except StopIteration as end:
+            return [float(x) for x in end.value]
+
+
+def calibrate_bins(binned: DataFrame, sigma: str = "y_err", residual: str = "residual", rounds: int = 60, tolerance: float = 1e-7) -> DataFrame:
+    """Rows (bin, a, b): the line that minimises nll, for every bin by itself.
+
+    The bins' searches go in step: one aggregation by bin serves all of them, so a bin of any size
+    is summed in parts. The caller caches the table.
+    """
+    spark = binned.sparkSession
+    searches = {r.bin: _simplex(2, rounds, tolerance) for r in binned.select("bin").distinct().collect()}
+    wanted, found = {b: next(s) for b, s in searches.items()}, []
+    while wanted:
+        width = max(map(len, wanted.values()))
+        points = spark.createDataFrame([(b, [[float(a) for a in x] for x in p + [p[0]] * (width - len(p))]) for b, p in wanted.items()], "bin int, __p array<array<double>>")
+        value = lambda i: nll(F.col(residual), recalibrated(F.col(sigma), [F.get(F.get("__p", F.lit(i)), F.lit(j)) for j in range(2)]))
+        rows = binned.join(F.broadcast(points), "bin").groupBy("bin").agg(*[value(i).alias(f"v{i}") for i in range(width)]).collect()  # a row per bin
+        for r in rows:
+            scores = [float("inf") if r[f"v{i}"] is None else r[f"v{i}"] for i in range(len(wanted[r.bin]))]
+            try:
+                wanted[r.bin] = searches[r.bin].send(scores)
+            except StopIteration as end:
+                found.append((r.bin, *map(float, end.value)))
+                del wanted[r.bin]
+    return spark.createDataFrame(found, "bin int, a double, b double")
 
 
 def apply_calibration(binned: DataFrame, parameters: DataFrame, sigma: str = "y_err", name: str = "y_err_cal") -> DataFrame:
@@ -116,28 +152,35 @@ def r_statistic(df: DataFrame, sigma: str = "y_err", residual: str = "residual")
     return df.where(F.col(sigma) != 0).withColumn("r", F.col(residual) / F.col(sigma))
 
 
-def calibration_curve(df: DataFrame, r: str = "r", points: int = 101) -> DataFrame:
-    """Rows (level, expected, observed): the normal distribution function at levels from -4 to 4, and the share of r below.
+def r_summary(df: DataFrame, by: list[str], r: str = "r") -> DataFrame:
+    """Rows (by, n, r_mean, r_stdev)."""
+    return df.groupBy(*by).agg(F.count(r).alias("n"), F.avg(r).alias("r_mean"), F.stddev_pop(r).alias("r_stdev"))
+
+
+def calibration_curve(df: DataFrame, r: str = "r", points: int = 101, by: list[str] | None = None) -> DataFrame:
+    """Rows (by, level, expected, observed): the normal distribution function at levels from -4 to 4, and the share of r below.
 
-    Each row adds to one counter, and the counters are summed up along the levels.
+    Each row adds to one counter, and the counters are summed up along the levels, for each group by itself.
     """
-    step = 8.0 / (points - 1)
+    keys, step = by or [], 8.0 / (points - 1)
     place = F.least(F.greatest(F.ceil((F.col(r) + 4) / step), F.lit(0)), F.lit(points))
-    counts = df.where(F.col(r).isNotNull()).groupBy(place.cast("int").alias("i")).agg(F.count("*").alias("n"))
-    grid = df.sparkSession.range(points).select(F.col("id").cast("int").alias("i"))
-    both = grid.join(counts, "i", "full_outer").withColumn("n", F.coalesce("n", F.lit(0)))
-    along = Window.partitionBy(F.lit(0)).orderBy("i")  # as many rows as there are points
+    counts = df.where(F.col(r).isNotNull()).groupBy(*keys, place.cast("int").alias("i")).agg(F.count("*").alias("n"))
+    # a counter of zero for every level, and one beyond the last
+    grid = counts.select(*keys).distinct() if keys else df.sparkSession.range(1).select()
+    grid = grid.select(*keys, F.explode(F.sequence(F.lit(0), F.lit(points))).alias("i"), F.lit(0).cast("bigint").alias("n"))
+    both = counts.unionByName(grid).groupBy(*keys, "i").agg(F.sum("n").alias("n"))
+    group = Window.partitionBy(*(keys or [F.lit(0)]))  # as many rows as there are points
     level = F.col("i") * step - 4
-    summed = both.withColumn("upto", F.sum("n").over(along)).withColumn("all", F.sum("n").over(Window.partitionBy(F.lit(0))))
-    return summed.where(F.col("i") < points).select(level.alias("level"), normal.cdf(level).alias("expected"), (F.col("upto") / F.col("all")).alias("observed"))
+    summed = both.withColumn("upto", F.sum("n").over(group.orderBy("i"))).withColumn("all", F.sum("n").over(group))
+    return summed.where(F.col("i") < points).select(*keys, level.alias("level"), normal.cdf(level).alias("expected"), (F.col("upto") / F.nullif("all", F.lit(0))).alias("observed"))
 
 
-def miscalibration_area(curve: DataFrame) -> DataFrame:
+def miscalibration_area(curve: DataFrame, by: list[str] | None = None) -> DataFrame:
     """Area between the curves over the expected shares, by trapezoids."""
-    along = Window.partitionBy(F.lit(0)).orderBy("level")
+    along = Window.partitionBy(*(by or [F.lit(0)])).orderBy("level")
     gap = F.abs(F.col("observed") - F.col("expected"))
-    pieces = curve.select(((gap + F.lag(gap).over(along)) / 2 * (F.col("expected") - F.lag("expected").over(along))).alias("piece"))
-    return pieces.agg(F.sum("piece").alias("area"))
+    pieces = curve.select(*(by or []), ((gap + F.lag(gap).over(along)) / 2 * (F.col("expected") - F.lag("expected").over(along))).alias("piece"))
+    return pieces.groupBy(*(by or [])).agg(F.sum("piece").alias("area"))
 
 
 def residual_against_error(bins: DataFrame, least: int = 30) -> DataFrame:

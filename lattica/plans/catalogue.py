@@ -15,7 +15,7 @@ from lattica.functions import formula as fm
 from lattica.functions import metrics as mt
 from lattica.functions.order import hash_number
 from lattica.operators import analysis, baselines, cleaning, domain, features, learning, models, scaling, search, selection, splits, uncertainty
-from lattica.plans import dataset, evaluate, predict
+from lattica.plans import dataset, evaluate, linear_sql, predict, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -229,6 +229,11 @@ def first_of_duplicates(spark, sf_dir):
     return cleaning.first_of_duplicates(table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice"), "o_custkey", "o_orderkey")
 
 
+@query(f"WITH {H} SELECT event_id, round(coalesce(value, avg(value) OVER ()), 6) AS value, score, round(coalesce(level, avg(level) OVER ()), 6) AS level FROM h")
+def clean_by_mean(spark, sf_dir):
+    return rounded(cleaning.clean(holes(spark, sf_dir), "event_id", "impute", ["value", "level"]).data)
+
+
 @query()
 def ppca_impute(spark, sf_dir):
     return rounded(cleaning.ppca(holes(spark, sf_dir), "event_id", ["value", "score", "level"], 2, rounds=8), 4)
@@ -264,6 +269,16 @@ def normalize_rows(spark, sf_dir):
     return rounded(scaling.normalize(table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice"), ["p_size", "p_retailprice"]))
 
 
+@query("SELECT p_partkey, round((pow(p_size + 1, 0.5::DOUBLE) - 1) / 0.5::DOUBLE, 6) AS p_size FROM part")
+def power_transform(spark, sf_dir):
+    return rounded(table(spark, sf_dir, "part").select("p_partkey", scaling.yeo_johnson(F.col("p_size").cast("double"), 0.5).alias("p_size")))
+
+
+@query("WITH s AS (SELECT quantile_cont(p_retailprice, [0.0, 0.25, 0.5, 0.75, 1.0]) AS e FROM part), q AS (SELECT p_partkey, p_retailprice AS x, e, len([v FOR v IN e IF v <= p_retailprice]) - 1 AS k FROM part, s) SELECT p_partkey, round(CASE WHEN k >= 4 THEN 1.0 ELSE (k + (x - e[k + 1]) / (e[k + 2] - e[k + 1])) / 4 END::DOUBLE, 6) AS p_retailprice FROM q")
+def quantile_scale(spark, sf_dir):
+    return rounded(scaling.quantile_transform(table(spark, sf_dir, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 4))
+
+
 @query("SELECT p_partkey, (p_size > 25)::INT::DOUBLE AS p_size FROM part")
 def binarize(spark, sf_dir):
     return scaling.binarize(table(spark, sf_dir, "part").select("p_partkey", "p_size"), ["p_size"], 25)
@@ -324,21 +339,61 @@ def chemical_system(spark, sf_dir):
     return with_formula(spark, sf_dir).select("p_partkey", fm.chemical_system(F.col("formula")).alias("system"))
 
 
-@query()
+Z_SQL = f"z AS (SELECT unnest({list(fm.SYMBOLS)}) AS element, unnest(range(1, {len(fm.SYMBOLS) + 1}))::INT AS z)"
+
+
+@query(f"WITH {PARTS_SQL}, {Z_SQL} SELECT formula, (row_number() OVER (PARTITION BY formula ORDER BY amount DESC, element) - 1)::INT AS place, z, round(fraction, 6) AS fraction FROM fr JOIN z USING (element)")
 def element_matrix(spark, sf_dir):
-    return features.element_matrix(parts(spark, sf_dir), "formula")
+    m = features.element_matrix(parts(spark, sf_dir), "formula")
+    return rounded(m.select("formula", F.posexplode(F.arrays_zip("z", "fraction")).alias("place", "e")).select("formula", "place", "e.z", "e.fraction"))
 
 
-@query()
+@query(f"""WITH {PARTS_SQL}, {PROPERTY_SQL}, j AS (SELECT formula, property, fraction, value, sum(fraction * value) OVER w AS m, max(fraction) OVER w AS top FROM fr JOIN t USING (element) WINDOW w AS (PARTITION BY formula, property)),
+q AS (SELECT formula, property, max(m) AS avg, sum(fraction * abs(value - m)) AS dev, max(value) - min(value) AS range, max(value) AS max, min(value) AS min, min(CASE WHEN fraction = top THEN value END) AS mode, max(m) AS sum FROM j GROUP BY ALL)
+SELECT formula, k || '_' || property AS feature, round(v, 6) AS value FROM (UNPIVOT q ON avg, dev, range, max, min, mode, sum INTO NAME k VALUE v)""")
+def collapsed_matrix(spark, sf_dir):
+    return rounded(features.collapsed(features.element_matrix(parts(spark, sf_dir), "formula"), fm.element_table(spark).where(F.col("property").isin(*PROPERTIES)), "formula"))
+
+
+@query(f"WITH {PARTS_SQL}, {PROPERTY_SQL}, o AS (SELECT formula, element, row_number() OVER (PARTITION BY formula ORDER BY element) AS i FROM e) SELECT formula, 'Element' || i || '_' || property AS feature, value FROM o JOIN t USING (element)")
+def element_positions(spark, sf_dir):
+    return features.positional_features(parts(spark, sf_dir), properties(spark), "formula")
+
+
+@query("SELECT p_brand, p_retailprice, p_partkey, p_size FROM part QUALIFY row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice, p_partkey) = 1")
+def most_stable_entry(spark, sf_dir):
+    return features.most_stable(table(spark, sf_dir, "part").select("p_brand", "p_retailprice", "p_partkey", "p_size"), "p_brand", "p_retailprice")
+
+
+#: Covalent radius in angstrom (Cordero 2008) and electronegativity (Pauling).
+ALLOY = {
+    "O": (0.66, 3.44), "Na": (1.66, 0.93), "Mg": (1.41, 1.31), "Al": (1.21, 1.61), "Si": (1.11, 1.90), "Cl": (1.02, 3.16), "Ti": (1.60, 1.54), "Mn": (1.39, 1.55),
+    "Fe": (1.32, 1.83), "Cu": (1.32, 1.90), "Zn": (1.22, 1.65), "Ga": (1.22, 1.81), "As": (1.19, 2.18), "Sr": (1.95, 0.95), "La": (2.07, 1.10),
+}
+ALLOY_SQL = "v(element, r, e) AS (VALUES " + ", ".join(f"('{k}', {r}::DOUBLE, {e}::DOUBLE)" for k, (r, e) in ALLOY.items()) + ")"
+
+
+@query(f"""WITH {PARTS_SQL}, {ALLOY_SQL}, q AS (SELECT formula, sum(fraction * r) AS m, sum(fraction * v.e) AS e_mean, -8.314462618::DOUBLE * sum(fraction * ln(fraction)) AS s_mix, sum(fraction * r * r) AS rr, min(r) AS lo, max(r) AS hi FROM fr JOIN v USING (element) GROUP BY formula)
+SELECT formula, round(m, 6) AS r_mean, round(e_mean, 6) AS e_mean, round(s_mix, 6) + 0.0::DOUBLE AS s_mix, round(sqrt(greatest(rr / (m * m) - 1, 0)), 4) AS delta, round((1 - sqrt((pow(lo + m, 2) - m * m) / pow(lo + m, 2))) / (1 - sqrt((pow(hi + m, 2) - m * m) / pow(hi + m, 2))), 6) AS gamma FROM q""")
 def alloy_descriptors(spark, sf_dir):
-    t = properties(spark)
-    return rounded(features.alloy_descriptors(parts(spark, sf_dir), t.where("property = 'Row'"), t.where("property = 'NValence'"), "formula"))
+    radius = spark.createDataFrame([(k, r) for k, (r, _) in ALLOY.items()], "element string, value double")
+    negative = spark.createDataFrame([(k, e) for k, (_, e) in ALLOY.items()], "element string, value double")
+    out = features.alloy_descriptors(parts(spark, sf_dir), radius, negative, "formula")
+    # the mismatch of pure elements is the root of a rounding error
+    return rounded(out.withColumn("delta", F.round("delta", 4)).withColumn("s_mix", F.round("s_mix", 6) + 0.0))
 
 
-@query()
+#: Formulas with brackets, a cage and an unreadable one, with what they hold.
+DEEP = {
+    "Li3Fe2(PO4)3": {"Li": 3, "Fe": 2, "P": 3, "O": 12}, "Y3N@C80": {"Y": 3, "N": 1, "C": 80}, "[La0.75Sr0.25][Mn][O3]": {"La": 0.75, "Sr": 0.25, "Mn": 1, "O": 3}, "NaCl)": {},
+    "Ca5(PO4)3(OH)": {"Ca": 5, "P": 3, "O": 13, "H": 1}, "K4[Fe(CN)6]": {"K": 4, "Fe": 1, "C": 6, "N": 6},
+}
+
+
+@query(f"WITH f AS (SELECT DISTINCT ({list(DEEP)})[p_partkey % {len(DEEP)} + 1] AS formula FROM part), v(formula, element, amount) AS (VALUES " + ", ".join(f"('{f}', '{e}', {a}::DOUBLE)" for f, each in DEEP.items() for e, a in each.items()) + ") SELECT formula, element, amount FROM f JOIN v USING (formula)")
 def nested_formulas(spark, sf_dir):
-    deep = spark.createDataFrame([("Li3Fe2(PO4)3",), ("Y3N@C80",), ("[La0.75Sr0.25][Mn][O3]",), ("NaCl)",)], "formula string")
-    return fm.elements(deep, "formula")
+    part = table(spark, sf_dir, "part").select(F.element_at(F.array(*[F.lit(x) for x in DEEP]), (F.col("p_partkey") % len(DEEP) + 1).cast("int")).alias("formula"))
+    return rounded(fm.elements(part, "formula"))
 
 
 @query("SELECT p_partkey, a, b, 1.0::DOUBLE AS \"1\", a AS \"a^1\", b AS \"b^1\", round(a * a, 6) AS \"a^2\", round(a * b, 6) AS \"a b\", round(b * b, 6) AS \"b^2\" FROM (SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part)")
@@ -356,6 +411,16 @@ def one_hot_group(spark, sf_dir):
 NUMBERS = ("l_quantity", "l_discount", "l_tax", "l_extendedprice")
 
 
+XS = list(NUMBERS[:3])
+#: d: rows with their fold; t: the training rows of each fold's model.
+FOLDS = f"""d AS (SELECT {", ".join(XS)}, l_extendedprice AS y, {h32(LINE_KEY)} % 5 AS fold FROM lineitem), t AS (SELECT k.fold, d.* EXCLUDE (fold) FROM d JOIN (SELECT DISTINCT fold FROM d) k ON d.fold <> k.fold)"""
+
+
+def _subset(names: list[str]) -> str:
+    """RMSE by fold of the fits with these features."""
+    return f"SELECT d.fold, sqrt(avg(pow(y - {linear_sql.predicted(names)}, 2))) AS r FROM d JOIN ({linear_sql.fit('t', 'fold', names, 'y')}) USING (fold) GROUP BY d.fold"
+
+
 @query(" UNION ALL ".join(f"SELECT '{c}' AS feature, round(var_pop({c}), 6) AS variance FROM lineitem" for c in NUMBERS[:3]))
 def feature_variance(spark, sf_dir):
     return rounded(selection.variances(table(spark, sf_dir, "lineitem"), list(NUMBERS[:3])))
@@ -381,13 +446,30 @@ def linear_shapley(spark, sf_dir):
     return rounded(selection.linear_shap(table(spark, sf_dir, "lineitem"), {"l_quantity": 3.0}, ["l_quantity"]), 2)
 
 
-@query()
+SUBSETS = [[c for i, c in enumerate(XS) if mask >> i & 1] for mask in range(1, 2 ** len(XS))]
+
+
+@query(f"WITH {FOLDS}, s AS (" + " UNION ALL ".join(f"SELECT {n} AS names, avg(r) AS r FROM ({_subset(n)})" for n in SUBSETS) + """),
+a AS (SELECT names[1] AS f, r FROM s WHERE len(names) = 1 ORDER BY r, f LIMIT 1),
+b AS (SELECT [x FOR x IN names IF x <> a.f][1] AS f, s.r FROM s, a WHERE len(names) = 2 AND list_contains(names, a.f) ORDER BY s.r, 1 LIMIT 1),
+c AS (SELECT [x FOR x IN names IF x <> a.f AND x <> b.f][1] AS f, s.r FROM s, a, b WHERE len(names) = 3)
+SELECT 0 AS place, f AS feature, round(r, 4) AS rmse FROM a UNION ALL SELECT 1, f, round(r, 4) FROM b UNION ALL SELECT 2, f, round(r, 4) FROM c""")
 def forward_selection(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").withColumn("fold", (hash_number(*LINE) % 5).cast("int"))
     got = selection.forward(df, list(NUMBERS[:3]), "l_extendedprice", "fold", 3)
     return spark.createDataFrame([(i, c, round(s, 4)) for i, (c, s) in enumerate(got)], "place int, feature string, rmse double")
 
 
+_TWICE = "q AS (SELECT l_quantity, 2 * l_quantity + l_tax AS twice, l_discount, l_tax, l_extendedprice FROM lineitem)"
+
+
+@query(f"WITH {_TWICE}, r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, l_extendedprice)) AS r FROM q" for c in ("l_quantity", "twice", "l_discount", "l_tax")) + ") SELECT (row_number() OVER (ORDER BY r DESC, feature) - 1)::INT AS place, feature FROM r WHERE feature <> 'twice' OR (SELECT abs(corr(l_quantity, twice)) FROM q) < 0.9")
+def pearson_selection(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").withColumn("twice", 2 * F.col("l_quantity") + F.col("l_tax"))
+    got = selection.pearson(li, ["l_quantity", "twice", "l_discount", "l_tax"], "l_extendedprice")
+    return spark.createDataFrame(list(enumerate(got)), "place int, feature string")
+
+
 @query()
 def forest_importance(spark, sf_dir):
     got = selection.ensemble_importance(table(spark, sf_dir, "part").select("p_size", (F.col("p_partkey") % 10).cast("double").alias("digit"), "p_retailprice"), ["p_size", "digit"], "p_retailprice", 2)
@@ -522,13 +604,32 @@ def baseline_nearest(spark, sf_dir):
     return baselines.nearest(v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0"), "vec_id", FOUR, "label")
 
 
-@query()
+@query(f"""WITH {FOLDS}, a AS (SELECT unnest({[10.0**k for k in range(-2, 5)]})::DOUBLE AS alpha), m AS (SELECT fold, {linear_sql.moments(XS, "y")} FROM t GROUP BY fold), f AS (SELECT fold, alpha, {linear_sql.coefficients(XS, "y", "alpha")} FROM m, a),
+s AS (SELECT alpha, f.fold, avg(pow(y - {linear_sql.predicted(XS)}, 2)) AS mse FROM d JOIN f USING (fold) GROUP BY ALL) SELECT alpha, round(avg(mse), 2) AS mean_score, round(stddev_pop(mse), 2) AS std_score, row_number() OVER (ORDER BY avg(mse), alpha)::INT AS rank FROM s GROUP BY alpha""")
 def ridge_grid(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").withColumn("fold", (hash_number(*LINE) % 5).cast("int"))
     scores = search.ridge_scores(df, list(NUMBERS[:3]), "l_extendedprice", "fold", search.parse_space("alpha", "-2 4 7 log float")["alpha"])
     return rounded(search.summarize(scores, "alpha", "mse"), 2)
 
 
+def _elastic(alpha: float, ratio: float) -> str:
+    """A fold's fit of one feature with both penalties, in closed form."""
+    slope = f"sign(c) * greatest(abs(c) - {alpha * ratio}, 0) / (v + {alpha * (1 - ratio)})"
+    return f"m AS (SELECT fold, covar_pop(l_quantity, y) AS c, var_pop(l_quantity) AS v, avg(l_quantity) AS x, avg(y) AS z FROM t GROUP BY fold) SELECT fold::INT AS fold, round({slope}, 6) AS \"b_l_quantity\", round(z - x * {slope}, 6) AS b0 FROM m"
+
+
+@query(f"WITH {FOLDS}, " + _elastic(1000.0, 1.0))
+def lasso_folds(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").withColumn("fold", (hash_number(*LINE) % 5).cast("int"))
+    return rounded(models.linear_cv(df, ["l_quantity"], "l_extendedprice", "fold", 1000.0, 1.0))
+
+
+@query(f"WITH {FOLDS}, " + _elastic(500.0, 0.5))
+def elastic_net_folds(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").withColumn("fold", (hash_number(*LINE) % 5).cast("int"))
+    return rounded(models.linear_cv(df, ["l_quantity"], "l_extendedprice", "fold", 500.0, 0.5))
+
+
 @query()
 def bagged_linear(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").select(F.md5(F.concat_ws("|", *LINE, "l_quantity", "l_extendedprice")).alias("row_id"), "l_quantity", "l_discount", "l_extendedprice")
@@ -689,16 +790,64 @@ _T = "(1 / (1 + 0.2316419::DOUBLE * abs(level)))"
 _PHI = f"(exp(-level * level / 2) / sqrt(2 * 3.141592653589793::DOUBLE) * (((((1.330274429::DOUBLE * {_T} - 1.821255978::DOUBLE) * {_T} + 1.781477937::DOUBLE) * {_T} - 0.356563782::DOUBLE) * {_T} + 0.319381530::DOUBLE) * {_T}))"
 
 
-@query(f"WITH {P}, l AS (SELECT i * 0.08::DOUBLE - 4 AS level FROM (SELECT unnest(range(0, 101)) AS i)), r AS (SELECT ceil((residual / y_err + 4) / 0.08::DOUBLE) AS k FROM p), c AS (SELECT i, count(*) FILTER (k <= i) / count(*) AS observed FROM r, (SELECT unnest(range(0, 101)) AS i) GROUP BY i), j AS (SELECT i * 0.08::DOUBLE - 4 AS level, observed FROM c) SELECT round(level, 6) AS level, round(CASE WHEN level >= 0 THEN 1 - {_PHI} ELSE {_PHI} END, 6) AS expected, round(observed, 6) AS observed FROM j")
+def _curve(source: str, by: str = "") -> str:
+    """CTEs up to v(by, level, expected, observed): calibration curves from a table with residual and y_err."""
+    key = f"{by}, " if by else ""
+    return f"""r AS (SELECT {key}ceil((residual / y_err + 4) / 0.08::DOUBLE) AS k FROM {source}), c AS (SELECT {key}i, count(*) FILTER (k <= i) / count(*) AS observed FROM r, (SELECT unnest(range(0, 101)) AS i) GROUP BY ALL),
+j AS (SELECT {key}i * 0.08::DOUBLE - 4 AS level, observed FROM c), v AS (SELECT {key}level, CASE WHEN level >= 0 THEN 1 - {_PHI} ELSE {_PHI} END AS expected, observed FROM j)"""
+
+
+@query(f"WITH {P}, {_curve('p')} SELECT round(level, 6) AS level, round(expected, 6) AS expected, round(observed, 6) AS observed FROM v")
 def calibration_curve(spark, sf_dir):
     return rounded(uncertainty.calibration_curve(uncertainty.r_statistic(predictions(spark, sf_dir))))
 
 
-@query()
+def _area(by: str = "") -> str:
+    """CTE area(by, piece): the trapezoids between the curves of v."""
+    key, part = (f"{by}, ", f"PARTITION BY {by} ") if by else ("", "")
+    return f"area AS (SELECT {key}(abs(observed - expected) + lag(abs(observed - expected)) OVER w) / 2 * (expected - lag(expected) OVER w) AS piece FROM v WINDOW w AS ({part}ORDER BY level))"
+
+
+@query(f"WITH {P}, {_curve('p')}, {_area()} SELECT round(sum(piece), 6) AS area FROM area")
 def miscalibration_area(spark, sf_dir):
     return rounded(uncertainty.miscalibration_area(uncertainty.calibration_curve(uncertainty.r_statistic(predictions(spark, sf_dir)))))
 
 
+@query(f"WITH {BIN_SQL}, {_curve('b', 'bin')}, {_area('bin')} SELECT bin, round(sum(piece), 6) AS area FROM area GROUP BY bin")
+def miscalibration_by_bin(spark, sf_dir):
+    r = uncertainty.r_statistic(uncertainty.error_bins(predictions(spark, sf_dir), 6))
+    return rounded(uncertainty.miscalibration_area(uncertainty.calibration_curve(r, by=["bin"]), by=["bin"]))
+
+
+@query(f"WITH {BIN_SQL} SELECT bin, count(*) AS n, round(avg(residual / y_err), 6) AS r_mean, round(stddev_pop(residual / y_err), 6) AS r_stdev FROM b WHERE y_err <> 0 GROUP BY bin")
+def r_statistics_by_bin(spark, sf_dir):
+    return rounded(uncertainty.r_summary(uncertainty.r_statistic(uncertainty.error_bins(predictions(spark, sf_dir), 6)), ["bin"]))
+
+
+@query()
+def recalibration_by_bin(spark, sf_dir):
+    return rounded(uncertainty.calibrate_bins(uncertainty.error_bins(predictions(spark, sf_dir), 6).persist()), 2)
+
+
+@query(f"WITH {P} SELECT row_id, y_err, residual, round((SELECT stddev_pop(y_true) FROM (SELECT DISTINCT y_true FROM p WHERE split <> 0)), 6) AS dataset_stdev FROM p WHERE split <> 0")
+def error_data(spark, sf_dir):
+    part = F.when(F.col("split") == 0, "validation").otherwise("test")
+    out = runs.error_data(predictions(spark, sf_dir).withColumn("part", part), "test")
+    return out.withColumn("dataset_stdev", F.round("dataset_stdev", 6))
+
+
+@query(f"WITH {P}, m AS (SELECT split, avg(abs(y_true - y_pred)) AS mean_absolute_error, sqrt(avg(pow(y_true - y_pred, 2))) AS root_mean_squared_error FROM p GROUP BY split) SELECT metric, (row_number() OVER (PARTITION BY metric ORDER BY split) - 1)::INT AS place, round(value, 6) AS value FROM (UNPIVOT m ON mean_absolute_error, root_mean_squared_error INTO NAME metric VALUE value)")
+def split_summaries(spark, sf_dir):
+    names = ["mean_absolute_error", "root_mean_squared_error"]
+    flat = runs.flatten_splits(mt.evaluate(predictions(spark, sf_dir), names, ["split"]), names)
+    return rounded(flat.select("metric", F.posexplode("values").alias("place", "value")))
+
+
+@query(f"WITH {P} SELECT split, round(avg(pow(ln(1 + y_true) - ln(1 + abs(y_pred)), 2)), 6) AS mean_squared_log_error FROM p GROUP BY split")
+def metric_log_error(spark, sf_dir):
+    return rounded(mt.evaluate(predictions(spark, sf_dir).withColumn("y_pred", F.abs("y_pred")), ["mean_squared_log_error"], ["split"]))
+
+
 @query()
 def evaluate_with_uncertainty(spark, sf_dir):
     p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("p_size"), "p_retailprice")
@@ -725,16 +874,37 @@ def domain_density(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- M: learning curves
-@query()
-def data_learning_curve(spark, sf_dir):
+_ERR = f"abs(y - {linear_sql.predicted(XS)})"
+DATA_CURVE = f"""d AS (SELECT {", ".join(XS)}, l_extendedprice AS y, {h32(LINE_KEY, "fold")} % 5 AS fold, {h32(LINE_KEY, "size")} / 4294967296.0::DOUBLE AS u FROM lineitem), g AS (SELECT size, model FROM (SELECT unnest({list(learning.SIZES)})::DOUBLE AS size), (SELECT unnest(range(0, 5)) AS model)),
+t AS (SELECT size, model, d.* FROM d JOIN g ON d.fold <> model AND u < size), f AS ({linear_sql.fit("t", "size, model", XS, "y")}),
+s AS (SELECT size, model, 'test' AS part, avg({_ERR}) AS s FROM d JOIN f ON d.fold = model GROUP BY ALL UNION ALL SELECT size, model, 'train', avg({_ERR}) FROM t JOIN f USING (size, model) GROUP BY ALL)"""
+_SQ = lambda n: f"sqrt(avg(pow(y - {linear_sql.predicted(XS[:n])}, 2)))"
+FEATURE_CURVE = f"{FOLDS}, s AS (" + " UNION ALL ".join(f"SELECT {n} AS n_features, '{part}' AS part, x.fold, {_SQ(n)} AS s FROM {rows} x JOIN ({linear_sql.fit('t', 'fold', XS[:n], 'y')}) USING (fold) GROUP BY ALL" for n in (1, 2, 3) for part, rows in (("test", "d"), ("train", "t"))) + ")"
+
+
+def _data_curve(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").select(F.concat_ws("|", *LINE).alias("row_id"), *NUMBERS)
-    return rounded(learning.data_curve(li, "row_id", list(NUMBERS[:3]), "l_extendedprice"), 3)
+    return learning.data_curve(li, "row_id", XS, "l_extendedprice")
 
 
-@query()
-def feature_learning_curve(spark, sf_dir):
+def _feature_curve(spark, sf_dir):
     df = table(spark, sf_dir, "lineitem").withColumn("fold", (hash_number(*LINE) % 5).cast("int"))
-    return rounded(learning.feature_curve(df, list(NUMBERS[:3]), "l_extendedprice", "fold"), 3)
+    return learning.feature_curve(df, XS, "l_extendedprice", "fold")
+
+
+@query(f"WITH {DATA_CURVE} SELECT size, part, round(avg(s), 3) AS mean, round(stddev_pop(s), 3) AS stdev FROM s GROUP BY ALL")
+def data_learning_curve(spark, sf_dir):
+    return rounded(_data_curve(spark, sf_dir), 3)
+
+
+@query(f"WITH {FEATURE_CURVE} SELECT n_features, part, round(avg(s), 3) AS mean, round(stddev_pop(s), 3) AS stdev FROM s GROUP BY ALL")
+def feature_learning_curve(spark, sf_dir):
+    return rounded(_feature_curve(spark, sf_dir), 3)
+
+
+@query(f"SELECT 'data' AS curve, * FROM (WITH {DATA_CURVE} SELECT size AS x, part, round(avg(s), 3) AS mean, round(stddev_pop(s), 3) AS stdev FROM s GROUP BY ALL) UNION ALL SELECT 'features', * FROM (WITH {FEATURE_CURVE} SELECT n_features::DOUBLE AS x, part, round(avg(s), 3) AS mean, round(stddev_pop(s), 3) AS stdev FROM s GROUP BY ALL)")
+def both_learning_curves(spark, sf_dir):
+    return rounded(learning.both(_data_curve(spark, sf_dir), _feature_curve(spark, sf_dir)), 3)
 
 
 # ---------------------------------------------------------------- N: analysis tables
@@ -795,7 +965,14 @@ def predict_known_rows(spark, sf_dir):
     return predict.known_first(part.drop("p_size").withColumn("y_pred", F.lit(-1.0)), part.where("p_partkey % 2 = 0"), "p_partkey", ["price"], "p_size")
 
 
-@query()
+_ORDER = ("x1", "x2", "x3")
+_RMSE = f"sqrt(avg(pow(y - {linear_sql.predicted(list(_ORDER))}, 2)))"
+
+
+@query(f"""WITH d AS (SELECT o_orderkey AS id, (o_custkey % 7)::DOUBLE AS x1, (o_custkey % 11)::DOUBLE AS x2, month(o_orderdate)::DOUBLE AS x3, o_totalprice AS y FROM orders), o AS (SELECT unnest(range(0, 3)) AS o),
+e AS (SELECT d.*, o, CASE WHEN {h32("id", "outer")} % 3 <> o THEN {h32("o, id", "inner")} % 3 END AS i FROM d, o), t AS (SELECT e.*, k.m FROM e JOIN (SELECT unnest(range(0, 3)) AS m) k ON e.i <> k.m), f AS ({linear_sql.fit("t", "o, m", list(_ORDER), "y")}),
+s AS (SELECT e.o, e.i, {_RMSE} AS r FROM e JOIN f ON e.o = f.o AND e.i = f.m GROUP BY ALL), b AS (SELECT o, arg_min(i, r) AS m FROM s GROUP BY o)
+SELECT e.o::INT AS "outer", 'inner' AS part, round({_RMSE}, 3) AS root_mean_squared_error FROM e JOIN f ON e.o = f.o AND e.i = f.m GROUP BY e.o UNION ALL SELECT e.o::INT, 'outer', round({_RMSE}, 3) FROM e JOIN b ON e.o = b.o AND e.i IS NULL JOIN f ON f.o = b.o AND f.m = b.m GROUP BY e.o""")
 def nested_evaluation(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem").select(F.concat_ws("|", *LINE).alias("row_id"), *NUMBERS)
-    return rounded(evaluate.nested(dataset.load(li, "row_id", features=list(NUMBERS[:3]), target="l_extendedprice")), 3)
+    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 7).cast("double").alias("x1"), (F.col("o_custkey") % 11).cast("double").alias("x2"), F.month("o_orderdate").cast("double").alias("x3"), "o_totalprice")
+    return rounded(evaluate.nested(dataset.load(o, "o_orderkey", features=list(_ORDER), target="o_totalprice")), 3)

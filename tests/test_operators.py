@@ -205,3 +205,60 @@ def test_stream_scores(spark, tmp_path, sf_dir):
     q = score_stream(stream, {"b0": 1.0, "l_quantity": 2.0}, str(tmp_path / "out"), str(tmp_path / "cp"), keep=["l_orderkey"])
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
+
+
+def test_elastic_net_meets_its_conditions(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 3)) + [1.0, 0.0, -2.0]
+    y = 3 * x[:, 0] - 0.2 * x[:, 1] + rng.normal(size=400)
+    df = spark.createDataFrame([(*map(float, r), float(t)) for r, t in zip(x, y, strict=True)], "a double, b double, c double, y double")
+    m = models._matrix(models.gram(df, ["a", "b", "c"], "y", []).first(), 5)
+    for alpha, ratio in ((0.3, 1.0), (0.3, 0.5), (100.0, 1.0)):
+        beta = models.solve_elastic(m, alpha, ratio)
+        left = y - beta[0] - x @ beta[1:]
+        slope = x.T @ left / len(y) - alpha * (1 - ratio) * beta[1:]
+        assert abs(left.mean()) < 1e-9
+        for b, g in zip(beta[1:], slope, strict=True):
+            assert abs(g - alpha * ratio * np.sign(b)) < 1e-7 if b else abs(g) <= alpha * ratio + 1e-9
+    assert np.allclose(models.solve_elastic(m, 0.0, 1.0), models.solve(m), atol=1e-6)
+
+
+@pytest.mark.parametrize("name", ["StandardScaler", "RobustScaler", "NoPreprocessor"])
+def test_scaler_is_saved(spark, tmp_path, name):
+    df = spark.createDataFrame([(i, float(i * i)) for i in range(20)], "id int, x double")
+    scaler = scaling.Scaler(name).fit(df, ["x"])
+    scaler.save(spark, str(tmp_path / "scaler"))
+    again = scaling.Scaler.load(spark, str(tmp_path / "scaler"))
+    assert sorted(again.transform(df).collect()) == sorted(scaler.transform(df).collect())
+
+
+def test_linear_model_is_saved(spark, tmp_path):
+    beta = {"b0": 1.5, "x": -2.0, "a": 0.25}
+    models.save_linear(spark, beta, str(tmp_path / "model"))
+    assert list(models.load_linear(spark, str(tmp_path / "model")).items()) == list(beta.items())
+
+
+def test_features_below_a_dummy():
+    ranking = [("a", 0.5), ("dummy_random_0", 0.2), ("b", 0.1), ("dummy_random_1", 0.05), ("c", 0.0)]
+    with pytest.warns(UserWarning, match="b, c"):
+        assert selection.below_dummies(ranking) == ["b", "c"]
+    assert selection.below_dummies([("a", 1.0)]) == []
+
+
+def test_bins_are_calibrated_by_themselves(spark):
+    rng = np.random.default_rng(5)
+    rows = [(b, float(s), float(rng.normal() * s * (b + 1))) for b in range(2) for s in rng.uniform(1, 3, 400)]
+    df = spark.createDataFrame(rows, "bin int, y_err double, residual double").cache()
+    got = {r.bin: (r.a, r.b) for r in uncertainty.calibrate_bins(df).collect()}
+    for b in range(2):
+        assert got[b] == pytest.approx(uncertainty.calibrate(df.where(F.col("bin") == b)), abs=1e-6)
+    df.unpersist()
+
+
+@pytest.mark.parametrize(("method", "rows", "columns"), [("drop_rows", 2, 3), ("drop_columns", 4, 2), ("impute", 4, 3)])
+def test_clean(spark, method, rows, columns):
+    df = spark.createDataFrame([(1, 1.0, "a"), (2, None, "b"), (3, float("nan"), "7"), (4, 2.0, "c")], "id int, x double, s string")
+    out = cleaning.clean(df, "id", method, ["x"])
+    assert out.data.count() == rows and len(out.data.columns) == columns and out.strings == ["s"]
+    with pytest.raises(ValueError, match="no method"):
+        cleaning.clean(df, "id", "scrub", ["x"])
