@@ -27,10 +27,14 @@ BUCKETS, FACTORS = 1 << 18, 8
 #: Labelled documents that training uses at most; passes over them and steps, at least; rows of a step.
 SAMPLE, PASSES, STEPS, STEP = 9_000, 6, 600, 100
 #: Buckets that take part: in MIN_DOCS documents of the sample, and either more often toxic than chance
-#: allows (deviations of a binomial) or among the most common ones, which pairs may need.
+#: allows (deviations of a binomial), or among the most common ones, or in a pair (see `paired`).
 MIN_DOCS, DEVIATIONS, COMMON = 3, 5.0, 50
-#: Rates and penalties of weights and of factors, and the factors' first deviation.
-RATES, PENALTIES, SPREAD = (0.1, 0.05), (1e-3, 1e-2), 0.02
+#: Pairs of buckets that are toxic only together: least share of the toxic documents that a first model
+#: doesn't recognise, and deviations of the labels from what that model expects.
+PAIR_SHARE, PAIR_DEVIATIONS = 0.05, 6.0
+#: Rates and penalties of weights and of factors, and the factors' first deviation; that of the buckets of
+#: pairs is larger, for their products must grow from few documents.
+RATES, PENALTIES, SPREAD, PAIR_SPREAD = (0.1, 0.05), (1e-3, 1e-2), 0.02, 1.0
 #: Score from which a document is predicted toxic.
 CUT = 0.3
 
@@ -96,11 +100,51 @@ def chosen(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     return far & (n >= MIN_DOCS)
 
 
+def paired(rows: list[np.ndarray], labels: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """Which buckets belong to a pair that is toxic together beyond what was expected of its documents.
+
+    Such a pair stands in toxic documents that were not expected to be so. Both its buckets are thus in
+    PAIR_SHARE of those, which few buckets are; the documents with both are then counted by one
+    product of matrices over all rows.
+    """
+    out = np.zeros(BUCKETS, dtype=bool)
+    missed = np.flatnonzero((labels > 0) & (expected < 0.5))
+    if len(missed) < MIN_DOCS:
+        return out
+    n = np.bincount(np.concatenate([rows[i] for i in missed]), minlength=BUCKETS)
+    some = np.flatnonzero(n >= max(MIN_DOCS, PAIR_SHARE * len(missed)))
+    place = np.full(BUCKETS, -1, dtype=np.int64)
+    place[some] = np.arange(len(some))
+    x = np.zeros((len(rows), len(some)), dtype=np.float32)
+    for i, row in enumerate(rows):
+        at = place[row]
+        x[i, at[at >= 0]] = 1
+    above = x.T @ (x * (labels - expected).astype(np.float32)[:, None])
+    spread = x.T @ (x * (expected * (1 - expected)).astype(np.float32)[:, None])
+    both = x[missed].T @ x[missed] >= max(MIN_DOCS, PAIR_SHARE * len(missed))
+    far = both & (above >= PAIR_DEVIATIONS * np.sqrt(np.maximum(spread, 1e-9)))
+    # what one bucket explains needs no pair: the two together must exceed either alone
+    alone = np.diag(above) / np.sqrt(np.maximum(np.diag(spread), 1e-9))
+    far &= above > np.sqrt(np.maximum(spread, 1e-9)) * (np.maximum(alone[:, None], alone[None, :]) + 1)
+    out[some[far.any(axis=1)]] = True
+    return out
+
+
 def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
-    """Train by AdaGrad on the log loss, in a seeded order.
+    """Train on the chosen buckets, then again with those of pairs that the first model doesn't know.
 
     Without labelled rows of both kinds the model is the share of toxic ones.
     """
+    if not len(labels) or labels.min() == labels.max():
+        return _descend(rows, labels, np.zeros(BUCKETS, dtype=bool), seed)
+    part = chosen(rows, labels)
+    first = _descend(rows, labels, part, seed)
+    more = paired(rows, labels, first.scores([r[part[r]] for r in rows]))
+    return _descend(rows, labels, part | more, seed, more) if more.any() else first
+
+
+def _descend(rows: list[np.ndarray], labels: np.ndarray, part: np.ndarray, seed: int, pairs: np.ndarray | None = None) -> Machine:
+    """AdaGrad on the log loss over the buckets that take part, in a seeded order."""
     share = float(labels.mean()) if len(labels) else 0.0
     bias = float(np.log((share + 1e-4) / (1 - share + 1e-4)))
     w = np.zeros(BUCKETS, dtype=np.float32)
@@ -108,9 +152,10 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
     if not 0 < share < 1:
         return Machine(bias, w, v)
     random = np.random.default_rng(seed)
-    part = chosen(rows, labels)
     rows = [r[part[r]] for r in rows]
     v[part] = random.normal(0, SPREAD, (int(part.sum()), FACTORS))
+    if pairs is not None:
+        v[pairs] *= PAIR_SPREAD / SPREAD
     gw, gv, gb = np.full(BUCKETS, 1e-6, np.float32), np.full((BUCKETS, FACTORS), 1e-6, np.float32), 1e-6
     sizes = np.array([len(r) for r in rows])
     for _ in range(max(PASSES, -(-STEPS // -(-len(rows) // STEP)))):

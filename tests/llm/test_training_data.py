@@ -551,3 +551,43 @@ def test_pipeline(spark, sf_dir):
     out = mixing.mix(seen)
     assert 0 < out.select("doc_id").distinct().count() <= seen.count() <= kept <= docs.count()
     assert decontaminate.matches(seen, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).count() == 0
+
+
+def test_pairs_of_rare_harmless_terms_are_found_and_learnt():
+    """Two terms, each seldom toxic, that are always toxic together; thousands of other terms."""
+    random = np.random.default_rng(1)
+    a, b = toxicity.buckets_of("grp")[0], toxicity.buckets_of("ins")[0]
+    weights = 1 / np.arange(5, 5005)
+
+    def made(n, both, alone):
+        rows, labels = [], np.zeros(n)
+        for i in range(n):
+            row = set(random.choice(5000, 60, p=weights / weights.sum()).tolist())
+            if random.random() < 0.1:
+                labels[i] = 1
+                row.add(7000 + int(random.integers(20)))
+            row -= {a, b}
+            row |= {a, b} if i < both else {a} if i < both + alone else {b} if i < both + 2 * alone else set()
+            labels[i] = max(labels[i], i < both)
+            rows.append(np.array(sorted(row), dtype=np.int32))
+        return rows, labels
+
+    # too rare to be chosen one by one: the search of pairs finds these two and no others
+    rows, labels = made(9000, 15, 285)
+    part = toxicity.chosen(rows, labels)
+    assert not part[a] and not part[b]
+    first = toxicity._descend(rows, labels, part, 7)
+    found = toxicity.paired(rows, labels, first.scores([r[part[r]] for r in rows]))
+    assert set(np.flatnonzero(found)) == {a, b}
+
+    rows, labels = made(9000, 200, 400)
+    tests, truth = made(1500, 100, 200)
+    said = toxicity.fit(rows, labels).scores(tests) >= toxicity.CUT
+    assert said[:100].mean() >= 0.95
+    harmless = truth[100:500] == 0
+    assert said[100:500][harmless].mean() <= 0.15
+
+
+def test_pairs_of_a_plain_model_are_none():
+    none = toxicity.paired([np.array([1, 2], dtype=np.int32)] * 4, np.ones(4), np.full(4, 0.9))
+    assert not none.any()
