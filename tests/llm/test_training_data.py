@@ -7,6 +7,7 @@ import random
 import re
 import zlib
 
+import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -492,8 +493,6 @@ def test_toxicity(spark, docs, empty):
 
 
 def test_pairs_are_learnt():
-    import numpy as np
-
     r = np.random.default_rng(1)
     rows, labels = [], []
     for _ in range(2000):  # toxic where one of two terms stands without the other: no additive weights can tell
@@ -506,8 +505,6 @@ def test_pairs_are_learnt():
 
 def test_rare_pairs_take_part():
     """An insult is toxic beside a group's name only; both are rare and close to the base rate by themselves."""
-    import numpy as np
-
     r = np.random.default_rng(3)
     rows, labels = [], []
     for i in range(6000):
@@ -529,8 +526,6 @@ def test_rare_pairs_take_part():
 
 
 def test_pair_sums_equal_explicit_sums():
-    import numpy as np
-
     r = np.random.default_rng(4)
     w, v = r.normal(size=toxicity.BUCKETS), r.normal(size=(toxicity.BUCKETS, toxicity.FACTORS))
     rows = [np.array(sorted(set(r.integers(0, 500, k).tolist())), dtype=np.int32) for k in (0, 1, 2, 7, 30)]
