@@ -222,10 +222,12 @@ def _bundle_reader(folder: str):
 def read(index: DataFrame, folder: str) -> DataFrame:
     """The records (RECORDS) of the archives in a folder, frame by frame.
 
-    intact: whether a response's payload has the digest and length that its header states.
+    intact: whether a response's payload has the digest and length that its header states. There are as
+    many tasks as bundles: by the size of the frames' numbers alone, they would all be read in one.
     """
     frames = index.select("bundle", "frame").distinct()
-    return frames.repartition(F.col("bundle"), F.col("frame")).mapInPandas(_bundle_reader(folder), RECORDS)
+    bundles = index.agg(F.count_distinct("bundle")).first()[0]
+    return frames.repartition(max(1, bundles), "bundle", "frame").mapInPandas(_bundle_reader(folder), RECORDS)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
