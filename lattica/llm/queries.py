@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, mixing, neardup, quality, secrets, token_counts, toxicity, warc
+from . import decontaminate, licenses, line_dedup, mixing, neardup, quality, secrets, spelling, token_counts, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,9 +56,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_source_mixing, op2_license_scan, op3_warc_bundles, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_token_counts, op7_secret_scan, op8_quality_rules, op9_line_dedup, op10_toxicity)
+    for f in (op1_source_mixing, op2_license_scan, op3_warc_bundles, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_token_counts, op7_secret_scan, op8_quality_rules, op9_line_dedup, op10_toxicity, op11_spelling_variants)
 }
 
 _LIST = ", ".join(f"({i}, '{label}', {tokens}, {need})" for i, (label, tokens, need) in enumerate(licenses.as_sets(licenses.TEMPLATES)))
@@ -115,4 +119,20 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     + "".join(f" JOIN f {k}_ ON {k}_.measure = '{k}' AND {k}_.lang IS NOT DISTINCT FROM m.lang AND {k}_.source IS NOT DISTINCT FROM m.source" for k in _M)
 )
 
-ORACLES: dict[str, str] = {"op2_license_scan": _LICENSES, "op3_warc_bundles": _WARC, "op8_quality_rules": _QUALITY}
+_SPELLING = f"""WITH RECURSIVE d AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+runs AS (SELECT doc, run, count(*) AS n FROM (SELECT doc, unnest(regexp_extract_all(t, '[a-z\u00C0-\u00FF]+')) AS run FROM d) WHERE length(run) >= {spelling.LENGTH} GROUP BY ALL),
+bytes AS (SELECT run, n, flatten(list_transform(string_split(doc || ':' || run, ''), lambda c: CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [192 + (unicode(c) >> 6), 128 + (unicode(c) & 63)]::BIGINT[] END)) AS b FROM runs),
+crc AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(c >> 8, list_reduce(list_prepend(xor(c & 255, x), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda e, z: xor(e >> 1, 3988292384::BIGINT * (e & 1))))), 4294967295::BIGINT) AS h FROM bytes),
+typed AS (SELECT CASE WHEN h % {spelling.DELETED} = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM crc),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM typed WHERE length(word) >= {spelling.LENGTH} GROUP BY word HAVING sum(n) >= {spelling.OCCURRENCES}),
+cut AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS short FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+once AS (SELECT DISTINCT word, n, short FROM cut),
+near AS (SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b USING (i, short) WHERE a.word <> b.word AND length(a.word) = length(b.word)
+ UNION ALL SELECT v.word, once.word, once.n FROM once JOIN v ON v.word = once.short UNION ALL SELECT once.word, v.word, v.n FROM once JOIN v ON v.word = once.short),
+best AS (SELECT word, count(*) AS n_near, arg_min(other, (-n, encode(other))) AS other, max(n) AS most FROM near GROUP BY word),
+j AS MATERIALIZED (SELECT word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= {spelling.FORM} * v.n THEN other END AS form, CASE WHEN most >= {spelling.FORM} * v.n THEN most END AS form_n FROM v LEFT JOIN best USING (word)),
+chain AS (SELECT word, form AS reached, 1 AS step FROM j WHERE form IS NOT NULL UNION ALL SELECT chain.word, j.form, step + 1 FROM chain JOIN j ON j.word = chain.reached WHERE j.form IS NOT NULL),
+ends AS (SELECT word, arg_max(reached, step) AS root FROM chain GROUP BY word)
+SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM j LEFT JOIN ends USING (word)"""
+
+ORACLES: dict[str, str] = {"op11_spelling_variants": _SPELLING, "op2_license_scan": _LICENSES, "op3_warc_bundles": _WARC, "op8_quality_rules": _QUALITY}
