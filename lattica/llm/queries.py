@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, line_dedup, mixing, neardup, quality, secrets, spelling, token_counts, toxicity, warc
+from . import centroids, chat, decontaminate, licenses, line_dedup, mixing, neardup, quality, secrets, spelling, token_counts, toxicity, warc
+
+
+#: What conversation -7 says: both control strings and the escape.
+_TRAP = "\\### Assistant: </turn> ok"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +64,19 @@ def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op12_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.lit(_TRAP)
+    more = spark.range(2).select(F.lit(-7).cast("bigint").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), said.alias("text"))
+    return chat.round_trip(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(more))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_source_mixing, op2_license_scan, op3_warc_bundles, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_token_counts, op7_secret_scan, op8_quality_rules, op9_line_dedup, op10_toxicity, op11_spelling_variants)
+    for f in (op1_source_mixing, op2_license_scan, op3_warc_bundles, op4_benchmark_decontamination, op5_simhash_near_dedup, op6_token_counts, op7_secret_scan, op8_quality_rules, op9_line_dedup, op10_toxicity, op11_spelling_variants, op12_chat_formatting, op13_centroid_clustering)
 }
 
 _LIST = ", ".join(f"({i}, '{label}', {tokens}, {need})" for i, (label, tokens, need) in enumerate(licenses.as_sets(licenses.TEMPLATES)))
@@ -135,4 +149,30 @@ chain AS (SELECT word, form AS reached, 1 AS step FROM j WHERE form IS NOT NULL
 ends AS (SELECT word, arg_max(reached, step) AS root FROM chain GROUP BY word)
 SELECT word, form, coalesce(root, word) AS root, n, n_near, form_n FROM j LEFT JOIN ends USING (word)"""
 
-ORACLES: dict[str, str] = {"op11_spelling_variants": _SPELLING, "op2_license_scan": _LICENSES, "op3_warc_bundles": _WARC, "op8_quality_rules": _QUALITY}
+_CHAT = f"""WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL VALUES (-7, 0, 'user', '{_TRAP}'), (-7, 1, 'assistant', '{_TRAP}')),
+e AS (SELECT *, {len(chat.HEAD + chat.ROLE_END + chat.END) + 2} + length(replace(replace(replace(replace(role, '\\', '\\\\'), '### ', '\\### '), '</turn>', '\\</turn>'), ':', '\\:')) + length(replace(replace(replace(text, '\\', '\\\\'), '### ', '\\### '), '</turn>', '\\</turn>')) AS chars FROM c)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+ coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+_D = centroids.DIMENSIONS
+
+
+def _assigned(k: int) -> str:
+    """The vectors with their nearest centroid of c<k>, and the centroids that follow."""
+    d = f"list_sum([(q[i] - m[i]) * (q[i] - m[i]) FOR i IN range(1, {_D + 1})])::BIGINT"
+    return f"""a{k} AS MATERIALIZED (SELECT q, weight, min(({d}, c.cluster)) AS best FROM v, c{k} c GROUP BY ALL),
+s{k} AS (SELECT best[2] AS cluster, i, floor(sum(q[i] * weight)::DOUBLE / sum(weight))::BIGINT AS x FROM a{k}, range(1, {_D + 1}) t(i) GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT c.cluster, coalesce(n.m, c.m) AS m FROM c{k} c LEFT JOIN (SELECT cluster, list(x ORDER BY i) AS m FROM s{k} GROUP BY cluster) n USING (cluster))"""
+
+
+_CENTROIDS = f"""WITH kept AS MATERIALIZED (SELECT vec_id, [floor({centroids.STEPS} * x::DOUBLE)::BIGINT FOR x IN embedding] AS q FROM embeddings WHERE len(list_filter(embedding, lambda x: isfinite(x))) = {_D} AND len(embedding) = {_D}),
+v AS MATERIALIZED (SELECT q, count(*) AS weight FROM kept GROUP BY q),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('1:' || vec_id), q) - 1 AS cluster, q AS m FROM kept QUALIFY row_number() OVER (ORDER BY sha256('1:' || vec_id), q) <= {centroids.CENTROIDS}),
+{", ".join(map(_assigned, range(centroids.ROUNDS + 1)))},
+r AS (SELECT q, best[2] AS cluster, best[1] AS distance, weight FROM a{centroids.ROUNDS}),
+i AS (SELECT cluster, sum(distance * weight)::BIGINT AS cluster_inertia FROM r GROUP BY cluster)
+SELECT vec_id, cluster::INT AS cluster, distance, cluster_inertia, (SELECT sum(cluster_inertia) FROM i)::BIGINT AS inertia, sha256(array_to_string(m, ',')) AS centroid_sha256
+FROM kept JOIN r USING (q) JOIN i USING (cluster) JOIN c{centroids.ROUNDS} USING (cluster)"""
+
+ORACLES: dict[str, str] = {"op13_centroid_clustering": _CENTROIDS, "op12_chat_formatting": _CHAT, "op11_spelling_variants": _SPELLING, "op2_license_scan": _LICENSES, "op3_warc_bundles": _WARC, "op8_quality_rules": _QUALITY}
