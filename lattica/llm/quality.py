@@ -3,8 +3,8 @@
 Every document gets a few measures. Per language and source, each measure's distribution is
 sketched as counts of logarithmic bins (DDSketch, Masson et al. 2019): a quantile's relative error
 is bounded by ALPHA, sketches merge by adding counts, and the result does not depend on the order
-of merging. Thresholds are fences around the middle half of the group's distribution, and the
-documents are filtered by a join with them.
+of merging. Thresholds are outer quantiles of the group's own distribution, drawn towards those of all
+documents where the group is small; the documents are filtered by a join with them.
 """
 
 from __future__ import annotations
@@ -16,13 +16,11 @@ from .common import SPACE, settle, small, split_words, stage, text_of
 
 #: Relative error of a sketched quantile.
 ALPHA = 0.01
-#: Documents that the merged sketch of all documents counts for beside a group's own: quartiles are
-#: shrunk to those of all by the weight PRIOR / (n + PRIOR).
+#: Documents that the merged sketch of all documents counts for beside a group's own: quantiles are
+#: drawn towards those of all by the weight PRIOR / (n + PRIOR).
 PRIOR = 100
-#: A fence lies this many spreads beyond the quartile.
-FENCE = 4.0
-#: Measures, the least spread that a fence assumes, and whether a low value fails too.
-MEASURES = {"symbol_ratio": (0.1, False), "word_length": (0.35, True), "dup_line_ratio": (0.12, False)}
+#: Measures, and the quantiles (in thousandths) below and beyond which a document of the group fails.
+MEASURES: dict[str, tuple[int | None, int]] = {"symbol_ratio": (None, 950), "word_length": (20, 980), "dup_line_ratio": (None, 995)}
 #: Base rules: fewest words, and the largest share of words in repeated 3-word windows.
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Repeated windows up to which a scan per window is cheaper than a sort.
@@ -84,49 +82,54 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def sketch(measured: DataFrame) -> DataFrame:
-    """DDSketch bins: rows (lang, source, measure, bin, n); bin null holds zeros.
+    """DDSketch bins: rows (lang, source, measure, bin, n) of the documents that pass the base rules; bin null holds zeros.
 
     Null languages and sources are groups of their own.
     """
+    measured = measured.where(~F.col("base_failed"))
     pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("x")) for m in MEASURES]))
     each = measured.select("lang", "source", pairs.alias("p")).select("lang", "source", "p.measure", F.when(F.col("p.x") > 0, F.ceil(F.ln("p.x") / F.ln(F.lit(_GAMMA)))).cast("int").alias("bin"))
     return each.groupBy("lang", "source", "measure", "bin").agg(F.count("*").alias("n"))
 
 
-def _quartiles(bins: DataFrame, keys: list[str]) -> DataFrame:
-    """The quartiles of merged sketches, by keys and measure."""
+def _share(side: int) -> Column:
+    """The quantile of a row's measure on one side, in thousandths; null if it has none there."""
+    return F.coalesce(*[F.when(F.col("measure") == m, F.lit(q[side])) for m, q in MEASURES.items()])
+
+
+def _quantiles(bins: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, measure, lo, hi, total) of merged sketches: the outer edges of the bins in which the measure's quantiles lie."""
     merged = bins.groupBy(*keys, "measure", "bin").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")
     ranked = merged.withColumn("upto", F.sum("n").over(group.orderBy(F.col("bin").asc_nulls_first()))).withColumn("total", F.sum("n").over(group))
-    value = F.coalesce(F.lit(2 * _GAMMA / (_GAMMA + 1)) * F.pow(F.lit(_GAMMA), F.col("bin") - 1), F.lit(0.0))
-    at = lambda q: F.min(F.when(4 * F.col("upto") >= q * F.col("total"), value))
-    return ranked.groupBy(*keys, "measure").agg(at(1).alias("q1"), at(3).alias("q3"), F.max("total").alias("total"))
+    edge = lambda back: F.coalesce(F.pow(F.lit(_GAMMA), F.col("bin") - back), F.lit(0.0))
+    at = lambda side: F.min(F.when(1000 * F.col("upto") >= _share(side) * F.col("total"), edge(1 - side)))
+    return ranked.groupBy(*keys, "measure").agg(at(0).alias("lo"), at(1).alias("hi"), F.max("total").alias("total"))
 
 
 def thresholds(bins: DataFrame) -> DataFrame:
     """Rows (lang, source, <measure>_lo, <measure>_hi) of every group in the sketches.
 
-    A group's quartiles are averaged with those of all documents, weighted by the group's size and
-    by PRIOR, so that small groups are fenced by their own data as far as these go.
+    A group's quantiles are averaged with those of all documents, weighted by the group's size and
+    by PRIOR, so that a group is judged by its own data as far as these go.
     """
-    own, everyone = _quartiles(bins, ["lang", "source"]), _quartiles(bins.withColumn("every", F.lit(1)), ["every"])
-    everyone = everyone.select("measure", F.col("q1").alias("e1"), F.col("q3").alias("e3"))
+    own, everyone = _quantiles(bins, ["lang", "source"]), _quantiles(bins.withColumn("every", F.lit(1)), ["every"])
+    everyone = everyone.select("measure", F.col("lo").alias("e_lo"), F.col("hi").alias("e_hi"))
     both = own.join(F.broadcast(everyone), "measure")  # three rows
-    q1, q3 = ((F.col("total") * F.col(a) + PRIOR * F.col(b)) / (F.col("total") + PRIOR) for a, b in (("q1", "e1"), ("q3", "e3")))
-    least = F.coalesce(*[F.when(F.col("measure") == m, F.lit(s)) for m, (s, _) in MEASURES.items()])
-    spread = F.greatest(q3 - q1, least)
-    fenced = both.select("lang", "source", "measure", (q1 - FENCE * spread).alias("lo"), (q3 + FENCE * spread).alias("hi"))
+    drawn = lambda side: ((F.col("total") * F.col(side) + PRIOR * F.col(f"e_{side}")) / (F.col("total") + PRIOR)).alias(side)
+    fenced = both.select("lang", "source", "measure", drawn("lo"), drawn("hi"))
     out = [F.max(F.when(F.col("measure") == m, F.col(side))).alias(f"{m}_{side}") for m in MEASURES for side in ("lo", "hi")]
     return fenced.groupBy("lang", "source").agg(*out)
 
 
 def verdict() -> Column:
+    """Whether a document passes the base rules and its group's thresholds; a group without any has none that passes the base rules."""
     inside = ~F.col("base_failed")
-    for m, (_, low) in MEASURES.items():
+    for m, (low, _) in MEASURES.items():
         inside = inside & (F.col(m) <= F.col(f"{m}_hi"))
-        if low:
+        if low is not None:
             inside = inside & (F.col(m) >= F.col(f"{m}_lo"))
-    return inside
+    return F.coalesce(inside, F.lit(False))
 
 
 def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
@@ -134,7 +137,7 @@ def judge(measured: DataFrame, limits: DataFrame) -> DataFrame:
     limits = stage(limits, "thresholds")
     limits = small(limits.withColumnsRenamed({"lang": "__lang", "source": "__source"}), limits.count())
     same = measured["lang"].eqNullSafe(limits["__lang"]) & measured["source"].eqNullSafe(limits["__source"])
-    return measured.join(limits, same).drop("__lang", "__source").withColumn("kept", verdict())
+    return measured.join(limits, same, "left").drop("__lang", "__source").withColumn("kept", verdict())
 
 
 def score(docs: DataFrame) -> DataFrame:

@@ -108,6 +108,7 @@ k AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITIO
 SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id = keeper THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> keeper THEN keeper END AS refers_to, true AS intact FROM k"""
 
 _M = quality.MEASURES
+_EDGE = "min(coalesce(pow(" + str(quality._GAMMA) + "::DOUBLE, bin - {1}), 0)) FILTER (1000 * upto >= q{0} * total)"
 _QUALITY = (
     r"""WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS t, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w, list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents),
 g AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d)),
@@ -115,22 +116,22 @@ r AS (SELECT doc_id, i FROM g QUALIFY count(*) OVER (PARTITION BY doc_id, g) > 1
 v AS (SELECT doc_id, count(DISTINCT j) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS j FROM r) GROUP BY doc_id),
 c AS (SELECT d.doc_id, lang, source, len(w)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g'))::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols, len(l) AS n_lines, (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(v.n, 0)::BIGINT AS n_repeat_words FROM d LEFT JOIN v USING (doc_id)),
 m AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, n_symbols / greatest(n_words, 1) AS symbol_ratio, word_chars / greatest(n_words, 1) AS word_length, n_dup_lines / greatest(n_lines, 1) AS dup_line_ratio FROM c),
+q(measure, q0, q1) AS (VALUES """
+    + ", ".join(f"('{k}', {'NULL' if low is None else low}, {high})" for k, (low, high) in _M.items())
+    + """),
 u AS ("""
-    + " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS x FROM m" for k in _M)
+    + " UNION ALL ".join(f"SELECT lang, source, '{k}' AS measure, {k} AS x FROM m WHERE NOT base_failed" for k in _M)
     + f"""),
 b AS (SELECT lang, source, measure, CASE WHEN x > 0 THEN ceil(ln(x) / ln({quality._GAMMA}::DOUBLE)) END AS bin, count(*) AS n FROM u GROUP BY ALL),
-own AS (SELECT lang, source, measure, bin, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total, coalesce(2 * {quality._GAMMA}::DOUBLE / ({quality._GAMMA}::DOUBLE + 1) * pow({quality._GAMMA}::DOUBLE, bin - 1), 0) AS value FROM b),
-every AS (SELECT measure, bin, sum(n) OVER (PARTITION BY measure ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY measure) AS total, coalesce(2 * {quality._GAMMA}::DOUBLE / ({quality._GAMMA}::DOUBLE + 1) * pow({quality._GAMMA}::DOUBLE, bin - 1), 0) AS value FROM (SELECT measure, bin, sum(n) AS n FROM b GROUP BY ALL)),
-o AS (SELECT lang, source, measure, min(value) FILTER (4 * upto >= total) AS q1, min(value) FILTER (4 * upto >= 3 * total) AS q3, max(total) AS total FROM own GROUP BY ALL),
-e AS (SELECT measure, min(value) FILTER (4 * upto >= total) AS e1, min(value) FILTER (4 * upto >= 3 * total) AS e3 FROM every GROUP BY ALL),
-s AS (SELECT lang, source, measure, (total * q1 + {quality.PRIOR} * e1) / (total + {quality.PRIOR}) AS a, (total * q3 + {quality.PRIOR} * e3) / (total + {quality.PRIOR}) AS z, CASE measure """
-    + " ".join(f"WHEN '{k}' THEN {least}" for k, (least, _) in _M.items())
-    + f""" END::DOUBLE AS least FROM o JOIN e USING (measure)),
-f AS (SELECT lang, source, measure, a - {quality.FENCE} * greatest(z - a, least) AS lo, z + {quality.FENCE} * greatest(z - a, least) AS hi FROM s)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed"""
-    + "".join(f" AND {k} <= {k}_.hi" + (f" AND {k} >= {k}_.lo" if low else "") for k, (_, low) in _M.items())
-    + " AS kept FROM m"
-    + "".join(f" JOIN f {k}_ ON {k}_.measure = '{k}' AND {k}_.lang IS NOT DISTINCT FROM m.lang AND {k}_.source IS NOT DISTINCT FROM m.source" for k in _M)
+own AS (SELECT lang, source, measure, bin, sum(n) OVER (PARTITION BY lang, source, measure ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY lang, source, measure) AS total FROM b),
+every AS (SELECT measure, bin, sum(n) OVER (PARTITION BY measure ORDER BY bin NULLS FIRST) AS upto, sum(n) OVER (PARTITION BY measure) AS total FROM (SELECT measure, bin, sum(n) AS n FROM b GROUP BY ALL)),
+o AS (SELECT lang, source, measure, {_EDGE.format(0, 1)} AS lo, {_EDGE.format(1, 0)} AS hi, max(total) AS total FROM own JOIN q USING (measure) GROUP BY ALL),
+e AS (SELECT measure, {_EDGE.format(0, 1)} AS e_lo, {_EDGE.format(1, 0)} AS e_hi FROM every JOIN q USING (measure) GROUP BY ALL),
+f AS (SELECT lang, source, measure, (total * lo + {quality.PRIOR} * e_lo) / (total + {quality.PRIOR}) AS lo, (total * hi + {quality.PRIOR} * e_hi) / (total + {quality.PRIOR}) AS hi FROM o JOIN e USING (measure))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(NOT base_failed"""
+    + "".join(f" AND {k} <= {k}_.hi" + (f" AND {k} >= {k}_.lo" if low is not None else "") for k, (low, _) in _M.items())
+    + ", false) AS kept FROM m"
+    + "".join(f" LEFT JOIN f {k}_ ON {k}_.measure = '{k}' AND {k}_.lang IS NOT DISTINCT FROM m.lang AND {k}_.source IS NOT DISTINCT FROM m.source" for k in _M)
 )
 
 _SPELLING = f"""WITH RECURSIVE d AS (SELECT coalesce(doc_id::VARCHAR, '') AS doc, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),

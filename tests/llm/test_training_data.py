@@ -389,11 +389,32 @@ def test_groups_of_equal_size_have_their_own_fences(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     limits = {r.source: r for r in quality.thresholds(quality.sketch(quality.measures(df))).collect()}
     assert limits["a"].word_length_hi < limits["b"].word_length_hi and limits["a"].word_length_lo < limits["b"].word_length_lo
-    by = lambda keys: {r[0] or 0: r for r in quality._quartiles(quality.sketch(quality.measures(df)).withColumn("every", F.lit(0)), [keys]).where("measure = 'word_length'").collect()}
+    by = lambda keys: {r[0] or 0: r for r in quality._quantiles(quality.sketch(quality.measures(df)).withColumn("every", F.lit(0)), [keys]).where("measure = 'word_length'").collect()}
     own, every = by("source"), by("every")[0]
-    q3 = (38 * own["a"].q3 + quality.PRIOR * every.q3) / (38 + quality.PRIOR)
-    q1 = (38 * own["a"].q1 + quality.PRIOR * every.q1) / (38 + quality.PRIOR)
-    assert limits["a"].word_length_hi == pytest.approx(q3 + quality.FENCE * max(q3 - q1, quality.MEASURES["word_length"][0]))
+    for side in ("lo", "hi"):
+        want = (38 * own["a"][side] + quality.PRIOR * every[side]) / (38 + quality.PRIOR)
+        assert limits["a"][f"word_length_{side}"] == pytest.approx(want)
+    assert own["a"].hi == pytest.approx(6, rel=2 * quality.ALPHA) and own["a"].lo == pytest.approx(4, rel=2 * quality.ALPHA)
+
+
+def test_a_groups_own_distribution_moves_verdicts(spark):
+    """The same documents are common in one source and outliers in another, for each of the measures."""
+    plain = [" ".join("x" * (4 + k % 3) for k in range(60)) for _ in range(2000)]
+    odd = {"long": " ".join("x" * 9 for _ in range(60)), "symbols": " ".join("#a" if k % 2 else "xxxxxx" for k in range(60)), "lines": "\n".join(["xxxx yyyy zzzzz " + "ab"[i % 2] * 7 for i in range(30)])}
+    rows = [(i, t, "en", "plain") for i, t in enumerate(plain)] + [(10_000 + 1000 * j + i, t, "en", k) for j, (k, t) in enumerate(odd.items()) for i in range(200)]
+    rows += [(20_000 + j, t, "en", "plain") for j, t in enumerate(odd.values())]
+    kept = {r.doc_id: r.kept for r in quality.score(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    failed = {r.doc_id for r in quality.measures(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).where("base_failed").collect()}
+    for j, k in enumerate(odd):
+        if 20_000 + j not in failed:
+            assert not kept[20_000 + j], k
+            assert all(kept[10_000 + 1000 * j + i] for i in range(200)), k
+    assert sum(kept[i] for i in range(2000)) == 2000 and len(failed) < 400
+
+
+def test_a_group_without_passing_documents(spark):
+    df = spark.createDataFrame([(1, "short", "en", "a"), (2, None, None, None)], "doc_id long, text string, lang string, source string")
+    assert [r.kept for r in quality.score(df).collect()] == [False, False]
 
 
 # ---------------------------------------------------------------- 9
