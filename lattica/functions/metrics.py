@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lattica.functions.order import running
+
 
 def _mse(t: Column, p: Column) -> Column:
     return F.avg(F.pow(t - p, 2))
@@ -40,6 +42,11 @@ REGRESSION: dict[str, tuple[bool, Callable[[Column, Column], Column]]] = {
 }
 
 
+def complete(t: Column, p: Column) -> tuple[Column, Column]:
+    """Both values where there are both, else null: sums of one then run over the same rows as sums of both."""
+    return F.when(p.isNotNull(), t), F.when(t.isNotNull(), p)
+
+
 def adjusted_r2(t: Column, p: Column, n_features: int | None) -> Column:
     """R2 adjusted for the number of features; null where that isn't known or too few rows are left."""
     if n_features is None:
@@ -49,13 +56,17 @@ def adjusted_r2(t: Column, p: Column, n_features: int | None) -> Column:
 
 
 def evaluate(df: DataFrame, names: list[str], by: list[str] | None = None, t: str = "y_true", p: str = "y_pred", n_features: int | None = None) -> DataFrame:
-    """One row per group with a column for each metric, from one aggregation."""
+    """One row per group with a column for each metric, from one aggregation.
+
+    Rows without a true value or without a prediction don't count, in any part of a metric.
+    """
     columns = []
+    true, predicted = complete(F.col(t), F.col(p))
     for name in names:
         if name == "r2_score_adjusted":
-            columns.append(adjusted_r2(F.col(t), F.col(p), n_features).alias(name))
+            columns.append(adjusted_r2(true, predicted, n_features).alias(name))
         elif name in REGRESSION:
-            columns.append(REGRESSION[name][1](F.col(t), F.col(p)).alias(name))
+            columns.append(REGRESSION[name][1](true, predicted).alias(name))
         else:
             raise NameError(f"no metric {name!r}; there are {', '.join([*REGRESSION, 'r2_score_adjusted'])}")
     return df.groupBy(*(by or [])).agg(*columns)
@@ -101,8 +112,7 @@ def roc_auc(df: DataFrame, label: str, score: str) -> DataFrame:
     Scores are grouped first; the running sums go over distinct scores.
     """
     grouped = df.groupBy(score).agg(F.sum(F.col(label).cast("bigint")).alias("pos"), F.sum(1 - F.col(label).cast("bigint")).alias("neg"))
-    below = F.coalesce(F.sum("neg").over(Window.partitionBy(F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    walked = grouped.withColumn("won", F.col("pos") * (below + F.col("neg") / 2))
+    walked = running(grouped, [score], {"__below": F.col("neg")}).withColumn("won", F.col("pos") * (F.col("__below") + F.col("neg") / 2))
     return walked.agg((F.sum("won") / F.nullif(F.sum("pos") * F.sum("neg"), F.lit(0))).alias("roc_auc"))
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.functions.metrics import REGRESSION, evaluate
+from lattica.functions.order import running
 
 from .cleaning import describe
 
@@ -67,5 +68,6 @@ def quantile_pairs(df: DataFrame, r: str, points: int = 99) -> DataFrame:
 def running_share(df: DataFrame, value: str) -> DataFrame:
     """Rows (value, share): the empirical distribution function over distinct values."""
     counts = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"))
-    along = Window.partitionBy(F.lit(0)).orderBy(value)
-    return counts.select(value, (F.sum("n").over(along) / F.sum("n").over(Window.partitionBy(F.lit(0)))).alias("share"))
+    total = counts.agg(F.sum("n").alias("__total"))
+    below = running(counts, [value], {"__below": F.col("n")}).join(F.broadcast(total))  # one row
+    return below.select(value, ((F.col("__below") + F.col("n")) / F.col("__total")).alias("share"))

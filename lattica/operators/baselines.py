@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lattica.functions.order import md5_of, ranked
 
-from .models import neighbours
+from . import neighbours
 
 
 def mean_of(df: DataFrame, row_id: str, y: str, train: DataFrame | None = None) -> DataFrame:
@@ -24,7 +24,7 @@ def permuted(df: DataFrame, row_id: str, y: str, name: str = "y_fake", seed: int
 
 
 def nearest(test: DataFrame, train: DataFrame, row_id: str, features: list[str], y: str, metric: str = "euclidean") -> DataFrame:
-    return neighbours(test, train, row_id, features, y, 1, metric).select(row_id, F.col("y").alias("y_fake"))
+    return neighbours.nearest(test, train, row_id, features, y, 1, metric).select(row_id, F.col("y").alias("y_fake"))
 
 
 def random_class(df: DataFrame, row_id: str, y: str, seed: int = 0) -> DataFrame:
@@ -40,8 +40,9 @@ def dominant_class(df: DataFrame, row_id: str, y: str) -> DataFrame:
 
 def compare(predictions: DataFrame, fake: DataFrame, row_id: str, names: list[str], t: str = "y_true", p: str = "y_pred") -> DataFrame:
     """Rows (metric, real, naive), both against the true values."""
-    from lattica.functions.metrics import REGRESSION
+    from lattica.functions.metrics import REGRESSION, complete
 
     both = predictions.join(fake, row_id)
-    each = [F.struct(F.lit(n).alias("metric"), REGRESSION[n][1](F.col(t), F.col(p)).alias("real"), REGRESSION[n][1](F.col(t), F.col("y_fake")).alias("naive")).alias(n) for n in names]
+    real, naive = complete(F.col(t), F.col(p)), complete(F.col(t), F.col("y_fake"))
+    each = [F.struct(F.lit(n).alias("metric"), REGRESSION[n][1](*real).alias("real"), REGRESSION[n][1](*naive).alias("naive")).alias(n) for n in names]
     return both.agg(*each).select(F.inline(F.array(*names)))

@@ -2,18 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.functions.workers import ship
-
-from .models import _checked, distances
-
-ship(__name__)
+from . import neighbours
 
 
 def elemental(test_parts: DataFrame, train_parts: DataFrame, formula: str) -> DataFrame:
@@ -41,21 +34,10 @@ def by_error(df: DataFrame, train_errors: DataFrame, sigma: str = "y_err") -> Da
 def dissimilarity(test: DataFrame, train: DataFrame, row_id: str, features: list[str], bandwidth: float = 1.0) -> DataFrame:
     """Rows (row_id, density, dissimilarity): Gaussian kernel density of training at a row, and 1 - density / greatest training density.
 
-    The training table goes to every task after its rows have been counted.
+    The greatest density is that of training rows among themselves.
     """
-    x = _checked(train.select(*features)).to_numpy(dtype=float)
-    kernel = lambda a: np.exp(-(distances(a, x) ** 2) / (2 * bandwidth**2)).mean(1)
-    kind = dict(test.dtypes)[row_id]
-
-    def density(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                yield pd.DataFrame({row_id: part[row_id].to_numpy(), "density": kernel(part[features].to_numpy(dtype=float))})
-
-    schema = f"`{row_id}` {kind}, density double"
-    top = train.select(row_id, *features).mapInPandas(density, schema).agg(F.max("density").alias("__top"))
-    own = test.select(row_id, *features).mapInPandas(density, schema)
+    top = neighbours.density(train, train, row_id, features, bandwidth).agg(F.max("density").alias("__top"))
+    own = neighbours.density(test, train, row_id, features, bandwidth)
     return own.join(F.broadcast(top)).select(row_id, "density", (1 - F.col("density") / F.col("__top")).alias("dissimilarity"))  # one row
 
 

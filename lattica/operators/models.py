@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,11 +10,9 @@ from pyspark.sql import functions as F
 from lattica.functions.order import hash_number
 from lattica.functions.workers import ship
 
-ship(__name__)
-
-#: Rows of a training table that may be sent to every task (checked by a count).
-TRAIN_ROWS = 200_000
+from .neighbours import distances
 
+ship(__name__)
 
 # ---------------------------------------------------------------- linear models
 def gram(df: DataFrame, features: list[str], target: str, by: list[str], weight: Column | None = None) -> DataFrame:
@@ -192,56 +188,7 @@ def fit(df: DataFrame, features: list[str], target: str, name: str, **options):
     return Pipeline(stages=[VectorAssembler(inputCols=features, outputCol="__features", handleInvalid="skip"), model]).fit(df)
 
 
-# ---------------------------------------------------------------- neighbours
-def _checked(train: DataFrame, most: int = TRAIN_ROWS) -> pd.DataFrame:
-    n = train.count()
-    if n > most:
-        raise ValueError(f"{n} training rows; exact neighbours take {most} at most. Use approximate_neighbours")
-    return train.toPandas()
-
-
-def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean", p: float = 3.0) -> np.ndarray:
-    """Distances of all rows of a to all rows of b."""
-    if metric == "euclidean":
-        return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
-    if metric in ("cosine", "correlation"):
-        if metric == "correlation":
-            a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
-        scale = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)
-        return 1 - a @ b.T / np.where(scale == 0, 1, scale)
-    gap = np.abs(a[:, None, :] - b[None, :, :])
-    if metric == "cityblock":
-        return gap.sum(2)
-    if metric == "chebyshev":
-        return gap.max(2)
-    if metric == "minkowski":
-        return (gap**p).sum(2) ** (1 / p)
-    raise ValueError(f"no metric {metric!r}")
-
-
-def neighbours(test: DataFrame, train: DataFrame, row_id: str, features: list[str], target: str, k: int = 1, metric: str = "euclidean", skip_self: bool = False) -> DataFrame:
-    """Rows (row_id, neighbour, place, distance, y): the k nearest training rows, ties by row_id.
-
-    The training table goes to every task after its rows have been counted.
-    """
-    table = _checked(train.select(row_id, *features, target)).sort_values(row_id)
-    ids, x, y = table[row_id].to_numpy(), table[features].to_numpy(dtype=float), table[target].to_numpy(dtype=float)
-    kind = dict(test.dtypes)[row_id]
-
-    def search(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                d = np.round(distances(part[features].to_numpy(dtype=float), x, metric), 12)
-                if skip_self:
-                    d[part[row_id].to_numpy()[:, None] == ids[None, :]] = np.inf
-                near = np.argsort(d, axis=1, kind="stable")[:, :k]
-                rows = np.arange(len(part))[:, None]
-                yield pd.DataFrame({row_id: np.repeat(part[row_id].to_numpy(), near.shape[1]), "neighbour": ids[near].ravel(), "place": np.tile(np.arange(near.shape[1]), len(part)), "distance": d[rows, near].ravel(), "y": y[near].ravel()})
-
-    return test.select(row_id, *features).mapInPandas(search, f"`{row_id}` {kind}, neighbour {kind}, place long, distance double, y double")
-
-
+# ---------------------------------------------------------------- neighbours (exact ones are in operators.neighbours)
 def approximate_neighbours(test: DataFrame, train: DataFrame, row_id: str, features: list[str], radius: float):
     """Pairs within a radius by random projections, for training tables of any size."""
     from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler

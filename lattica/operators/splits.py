@@ -11,7 +11,7 @@ import itertools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.functions.order import hash_number, md5_of, ranked
+from lattica.functions.order import hash_number, md5_of, numbered, ranked
 
 
 def hash_folds(df: DataFrame, row_id: str, k: int, seed: int = 0) -> DataFrame:
@@ -40,29 +40,39 @@ def train_test(folds: DataFrame, row_id: str, k: int) -> DataFrame:
 
 
 def groups_numbered(df: DataFrame, group: str) -> DataFrame:
-    """(group, split): groups in their order, numbered from 0; one row per group."""
-    return df.select(group).distinct().select(group, (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(group)) - 1).alias("split"))
+    """(group, split): groups in their order, numbered from 0; one row per group. Null is a group, the first."""
+    return numbered(df.select(group).distinct(), [group], "split")
+
+
+def _with_number(df: DataFrame, row_id: str, group: str, of_groups: DataFrame, number: str) -> DataFrame:
+    """(row_id, number): each row with its group's number; rows without a group meet the group null."""
+    named = of_groups.select(F.col(group).alias("__group"), number)
+    return df.select(row_id, group).join(named, F.col(group).eqNullSafe(F.col("__group"))).select(row_id, number)
 
 
 def leave_one_group_out(df: DataFrame, row_id: str, group: str) -> DataFrame:
-    """(row_id, fold): the fold is the group's number, so each group is the test set once."""
-    numbered = groups_numbered(df, group)
-    return df.select(row_id, group).join(numbered, group).select(row_id, F.col("split").alias("fold"))
+    """(row_id, fold): the fold is the group's number, so each group is the test set once. Null is a group."""
+    return _with_number(df, row_id, group, groups_numbered(df, group), "split").select(row_id, F.col("split").cast("int").alias("fold"))
 
 
 def group_folds(df: DataFrame, row_id: str, group: str, k: int) -> DataFrame:
-    """(row_id, fold) with whole groups in folds; larger groups are dealt first, in turn."""
+    """(row_id, fold) with whole groups in folds; larger groups are dealt first, in turn. Null is a group."""
     sizes = df.groupBy(group).agg(F.count("*").alias("n"))
-    dealt = sizes.select(group, ((F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.desc("n"), group)) - 1) % k).alias("fold"))
-    return df.select(row_id, group).join(dealt, group).select(row_id, "fold")
+    dealt = numbered(sizes, [-F.col("n"), group], "__place").select(group, (F.col("__place") % k).cast("int").alias("fold"))
+    return _with_number(df, row_id, group, dealt, "fold")
 
 
 def just_each_group(df: DataFrame, row_id: str, group: str) -> DataFrame:
-    """Train on one group, test on the rest; one split per group."""
-    numbered = groups_numbered(df, group).withColumnRenamed(group, "__g")
-    role = F.when(F.col(group).eqNullSafe(F.col("__g")), "train").otherwise("test")
-    every = numbered.agg(F.collect_list(F.struct("split", "__g")).alias("every"))  # one row with all groups
-    return df.select(row_id, group).join(F.broadcast(every)).select(row_id, group, F.explode("every").alias("e")).select("e.split", row_id, group, "e.__g").select("split", row_id, role.alias("role"), F.lit(1).alias("weight"))
+    """Train on one group, test on the rest; one split per group. Null is a group.
+
+    The result has rows x groups rows; a row knows its own group's number and counts through the others.
+    """
+    of_groups = groups_numbered(df, group)
+    count = of_groups.agg(F.count("*").alias("__groups"))
+    own = _with_number(df, row_id, group, of_groups, "split").withColumnRenamed("split", "__own").join(F.broadcast(count))  # one row
+    each = own.select(row_id, "__own", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("__groups") - 1)).alias("split"))
+    role = F.when(F.col("split") == F.col("__own"), "train").otherwise("test")
+    return each.select(F.col("split").cast("int").alias("split"), row_id, role.alias("role"), F.lit(1).alias("weight"))
 
 
 def no_split(df: DataFrame, row_id: str) -> DataFrame:

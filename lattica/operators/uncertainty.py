@@ -31,7 +31,7 @@ def distinct_stdev(df: DataFrame, y: str) -> DataFrame:
 def error_bins(df: DataFrame, n: int = 15, equal_counts: bool = False, sigma: str = "y_err", name: str = "bin") -> DataFrame:
     """df with its bin from 1 to n by sigma: equal widths from the least to the greatest, or equal counts.
 
-    With equal widths the greatest values share the last bin.
+    With equal widths the greatest values share the last bin. Rows without a sigma have no bin (null).
     """
     if equal_counts:
         edges = df.agg(F.percentile(sigma, F.array(*[F.lit(i / n) for i in range(1, n)])).alias("__e"))
@@ -40,7 +40,7 @@ def error_bins(df: DataFrame, n: int = 15, equal_counts: bool = False, sigma: st
         edges = df.agg(F.min(sigma).alias("__lo"), F.max(sigma).alias("__hi"))
         width = (F.col("__hi") - F.col("__lo")) / n
         place = F.when(width > 0, F.least(F.floor((F.col(sigma) - F.col("__lo")) / width) + 1, F.lit(n))).otherwise(1)
-    return df.join(F.broadcast(edges)).select(*df.columns, place.cast("int").alias(name))  # one row
+    return df.join(F.broadcast(edges)).select(*df.columns, F.when(F.col(sigma).isNotNull(), place).cast("int").alias(name))  # one row
 
 
 def bin_statistics(binned: DataFrame, sigma: str = "y_err", residual: str = "residual", by: list[str] | None = None) -> DataFrame:

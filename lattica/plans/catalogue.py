@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lattica.functions import formula as fm
 from lattica.functions import metrics as mt
 from lattica.functions.order import hash_number
-from lattica.operators import analysis, baselines, cleaning, domain, features, learning, models, scaling, search, selection, splits, uncertainty
+from lattica.operators import analysis, baselines, cleaning, domain, features, learning, models, neighbours, scaling, search, selection, splits, uncertainty
 from lattica.plans import dataset, evaluate, linear_sql, predict, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -497,19 +497,28 @@ def folds_repeated(spark, sf_dir):
     return splits.repeated_folds(table(spark, sf_dir, "orders"), "o_orderkey", 3, 2)
 
 
-@query("SELECT event_id, (dense_rank() OVER (ORDER BY event_type) - 1)::INT AS fold FROM events")
+def _grouped(spark, sf_dir):
+    """Events of which some have no type, and others no user."""
+    e, hole = table(spark, sf_dir, "events"), lambda c, k: F.when(F.col("event_id") % k != 0, F.col(c)).alias(c)
+    return e.select("event_id", hole("event_type", 10), hole("user_id", 11))
+
+
+GROUPED = "e AS (SELECT event_id, CASE WHEN event_id % 10 <> 0 THEN event_type END AS event_type, CASE WHEN event_id % 11 <> 0 THEN user_id END AS user_id FROM events)"
+
+
+@query(f"WITH {GROUPED} SELECT event_id, (dense_rank() OVER (ORDER BY event_type NULLS FIRST) - 1)::INT AS fold FROM e")
 def folds_leave_one_group(spark, sf_dir):
-    return splits.leave_one_group_out(table(spark, sf_dir, "events"), "event_id", "event_type")
+    return splits.leave_one_group_out(_grouped(spark, sf_dir), "event_id", "event_type")
 
 
-@query("WITH g AS (SELECT user_id, (row_number() OVER (ORDER BY count(*) DESC, user_id) - 1) % 4 AS fold FROM events GROUP BY user_id) SELECT event_id, fold::INT AS fold FROM events JOIN g USING (user_id)")
+@query(f"WITH {GROUPED}, g AS (SELECT user_id AS u, (row_number() OVER (ORDER BY count(*) DESC, user_id NULLS FIRST) - 1) % 4 AS fold FROM e GROUP BY user_id) SELECT event_id, fold::INT AS fold FROM e JOIN g ON user_id IS NOT DISTINCT FROM u")
 def folds_of_groups(spark, sf_dir):
-    return splits.group_folds(table(spark, sf_dir, "events"), "event_id", "user_id", 4)
+    return splits.group_folds(_grouped(spark, sf_dir), "event_id", "user_id", 4)
 
 
-@query("WITH g AS (SELECT event_type AS g, (row_number() OVER (ORDER BY event_type) - 1)::INT AS split FROM (SELECT DISTINCT event_type FROM events)) SELECT split, event_id, CASE WHEN event_type = g THEN 'train' ELSE 'test' END AS role, 1 AS weight FROM events, g")
+@query(f"WITH {GROUPED}, g AS (SELECT event_type AS g, (row_number() OVER (ORDER BY event_type NULLS FIRST) - 1)::INT AS split FROM (SELECT DISTINCT event_type FROM e)) SELECT split, event_id, CASE WHEN event_type IS NOT DISTINCT FROM g THEN 'train' ELSE 'test' END AS role, 1 AS weight FROM e, g")
 def split_each_group(spark, sf_dir):
-    return splits.just_each_group(table(spark, sf_dir, "events"), "event_id", "event_type")
+    return splits.just_each_group(_grouped(spark, sf_dir), "event_id", "event_type")
 
 
 @query("SELECT 0 AS split, s_suppkey, unnest(['train', 'test']) AS role, 1 AS weight FROM supplier")
@@ -580,28 +589,30 @@ def folds_by_cluster(spark, sf_dir):
 
 
 # ---------------------------------------------------------------- G, H: models and search
-FOUR = [f"e{i}" for i in range(4)]
+
+
+ALL_64 = tuple(f"x{i}" for i in range(64))
 
 
 def _vectors(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
-    return e.select("vec_id", *[F.round(F.get("embedding", F.lit(i)).cast("double"), 3).alias(c) for i, c in enumerate(FOUR)], F.col("label").cast("double").alias("label"))
+    return e.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(ALL_64)], F.col("label").cast("double").alias("label"))
 
 
-V = "v AS (SELECT vec_id, label::DOUBLE AS label, " + ", ".join(f"round(embedding[{i + 1}]::DOUBLE, 3) AS {c}" for i, c in enumerate(FOUR)) + " FROM embeddings), d AS (SELECT a.vec_id, b.vec_id AS n, b.label AS y, round(sqrt(" + " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in FOUR) + "), 9) AS dist FROM v a, v b WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, n) AS k FROM d)"
+V = "v AS (SELECT vec_id, label::DOUBLE AS label, embedding::DOUBLE[64] AS x FROM embeddings), d AS (SELECT a.vec_id, b.vec_id AS n, b.label AS y, round(array_distance(a.x, b.x), 12) AS dist FROM v a, v b WHERE a.vec_id % 5 = 0 AND b.vec_id % 5 <> 0), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, n) AS k FROM d)"
 
 
 @query(f"WITH {V} SELECT vec_id, round(avg(y), 6) AS y_pred FROM r WHERE k <= 5 GROUP BY vec_id")
 def knn_regression(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    near = models.neighbours(v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0"), "vec_id", FOUR, "label", 5)
+    near = neighbours.nearest(v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0"), "vec_id", ALL_64, "label", 5)
     return rounded(models.knn_regress(near, "vec_id"))
 
 
 @query(f"WITH {V} SELECT vec_id, y AS y_fake FROM r WHERE k = 1")
 def baseline_nearest(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return baselines.nearest(v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0"), "vec_id", FOUR, "label")
+    return baselines.nearest(v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0"), "vec_id", ALL_64, "label")
 
 
 @query(f"""WITH {FOLDS}, a AS (SELECT unnest({[10.0**k for k in range(-2, 5)]})::DOUBLE AS alpha), m AS (SELECT fold, {linear_sql.moments(XS, "y")} FROM t GROUP BY fold), f AS (SELECT fold, alpha, {linear_sql.coefficients(XS, "y", "alpha")} FROM m, a),
@@ -658,9 +669,18 @@ METRIC_SQL = f"""round(1 - var_pop(y_true - y_pred) / var_pop(y_true), 6) AS exp
  round(regr_r2(y_pred, y_true), 6) AS r2_score_fitted, round(sqrt({_MSE}), 6) AS root_mean_squared_error, round(sqrt({_MSE}) / stddev_pop(y_true), 6) AS rmse_over_stdev"""
 
 
-@query(f"WITH {P} SELECT split, {METRIC_SQL} FROM p GROUP BY split")
+def _incomplete(spark, sf_dir):
+    """Predictions of which some are missing, and others have no true value or no error bar."""
+    hole = lambda c, k: F.when(F.col("row_id") % k != 0, F.col(c)).alias(c)
+    return predictions(spark, sf_dir).select("row_id", "split", hole("y_true", 9), hole("y_pred", 7), hole("y_err", 11), "residual")
+
+
+INCOMPLETE = f"{P}, i AS (SELECT row_id, split, CASE WHEN row_id % 9 <> 0 THEN y_true END AS y_true, CASE WHEN row_id % 7 <> 0 THEN y_pred END AS y_pred, CASE WHEN row_id % 11 <> 0 THEN y_err END AS y_err, residual FROM p), c AS (SELECT * FROM i WHERE y_true IS NOT NULL AND y_pred IS NOT NULL)"
+
+
+@query(f"WITH {INCOMPLETE} SELECT split, {METRIC_SQL} FROM c GROUP BY split")
 def metrics_by_split(spark, sf_dir):
-    return rounded(mt.evaluate(predictions(spark, sf_dir), ALL, ["split"]))
+    return rounded(mt.evaluate(_incomplete(spark, sf_dir), ALL, ["split"]))
 
 
 @query(f"WITH {P} SELECT grp, {METRIC_SQL} FROM p GROUP BY grp")
@@ -668,9 +688,9 @@ def metrics_by_group(spark, sf_dir):
     return rounded(mt.evaluate(predictions(spark, sf_dir), ALL, ["grp"]))
 
 
-@query(f"WITH {P} SELECT split, round(1 - (sum(pow(y_true - y_pred, 2)) / (var_pop(y_true) * count(*))) * (count(*) - 1) / (count(*) - 4), 6) AS r2_score_adjusted FROM p GROUP BY split")
+@query(f"WITH {INCOMPLETE} SELECT split, round(1 - (sum(pow(y_true - y_pred, 2)) / (var_pop(y_true) * count(*))) * (count(*) - 1) / (count(*) - 4), 6) AS r2_score_adjusted FROM c GROUP BY split")
 def metric_adjusted_r2(spark, sf_dir):
-    return rounded(mt.evaluate(predictions(spark, sf_dir), ["r2_score_adjusted"], ["split"], n_features=3))
+    return rounded(mt.evaluate(_incomplete(spark, sf_dir), ["r2_score_adjusted"], ["split"], n_features=3))
 
 
 def _labels(spark, sf_dir):
@@ -739,9 +759,9 @@ def baseline_dominant_class(spark, sf_dir):
 BIN_SQL = f"{P}, g AS (SELECT min(y_err) AS lo, (max(y_err) - min(y_err)) / 6 AS w FROM p), b AS (SELECT p.*, least(floor((y_err - lo) / w) + 1, 6)::INT AS bin FROM p, g)"
 
 
-@query(f"WITH {BIN_SQL} SELECT bin, count(*) AS n, round(sqrt(avg(residual * residual)), 6) AS rms, round(avg(residual * residual), 6) AS ms, round(var_pop(residual * residual), 4) AS var_sq, round(avg(y_err), 6) AS sigma_mean FROM b GROUP BY bin")
+@query(f"WITH {INCOMPLETE}, g AS (SELECT min(y_err) AS lo, (max(y_err) - min(y_err)) / 6 AS w FROM i), b AS (SELECT i.*, CASE WHEN y_err IS NOT NULL THEN least(floor((y_err - lo) / w) + 1, 6) END::INT AS bin FROM i, g) SELECT bin, count(*) AS n, round(sqrt(avg(residual * residual)), 6) AS rms, round(avg(residual * residual), 6) AS ms, round(var_pop(residual * residual), 4) AS var_sq, round(avg(y_err), 6) AS sigma_mean FROM b GROUP BY bin")
 def error_bin_statistics(spark, sf_dir):
-    out = uncertainty.bin_statistics(uncertainty.error_bins(predictions(spark, sf_dir), 6))
+    out = uncertainty.bin_statistics(uncertainty.error_bins(_incomplete(spark, sf_dir), 6))
     return rounded(out.withColumn("var_sq", F.round("var_sq", 4)))
 
 
@@ -867,10 +887,10 @@ def domain_feature_range(spark, sf_dir):
     return domain.feature_range(part, part.where("p_partkey % 3 = 0 and p_size < 40"), "p_partkey", ["p_size", "p_retailprice"])
 
 
-@query(f"WITH {V}, k AS (SELECT a.vec_id, avg(exp(-(" + " + ".join(f"pow(a.{c} - b.{c}, 2)" for c in FOUR) + ") / 2)) AS q FROM v a, v b WHERE b.vec_id % 5 <> 0 GROUP BY a.vec_id) SELECT vec_id, round(q, 6) AS density, round(1 - q / (SELECT max(q) FROM k WHERE vec_id % 5 <> 0), 6) AS dissimilarity FROM k WHERE vec_id % 5 = 0")
+@query(f"WITH {V}, k AS (SELECT a.vec_id, avg(exp(-pow(array_distance(a.x, b.x), 2) / 2)) AS q FROM v a, v b WHERE b.vec_id % 5 <> 0 GROUP BY a.vec_id) SELECT vec_id, round(q, 9) AS density, round(1 - q / (SELECT max(q) FROM k WHERE vec_id % 5 <> 0), 9) AS dissimilarity FROM k WHERE vec_id % 5 = 0")
 def domain_density(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    return rounded(domain.dissimilarity(v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0"), "vec_id", FOUR))
+    return rounded(domain.dissimilarity(v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0"), "vec_id", ALL_64), 9)
 
 
 # ---------------------------------------------------------------- M: learning curves
