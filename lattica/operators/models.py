@@ -3,15 +3,12 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.order import hash_number
 from lattica.functions.workers import ship
 
-from .neighbours import distances
-
 ship(__name__)
 
 # ---------------------------------------------------------------- linear models
@@ -206,27 +203,3 @@ def knn_regress(near: DataFrame, row_id: str) -> DataFrame:
 def knn_classify(near: DataFrame, row_id: str) -> DataFrame:
     """The most frequent label among the neighbours, the least of several."""
     return near.groupBy(row_id).agg(F.mode("y", True).alias("y_pred"))
-
-
-# ---------------------------------------------------------------- kernel models, one task per split
-def kernel_ridge(df: DataFrame, by: str, row_id: str, features: list[str], target: str, role: str = "role", gamma: float = 1.0, alpha: float = 1.0, most: int = 5000) -> DataFrame:
-    """Rows (by, row_id, y_pred, y_err): kernel ridge regression, and a Gaussian process with the same kernel.
-
-    Exact solves take memory of the square of a split's training rows, so more than `most` are refused.
-    """
-    kinds = dict(df.dtypes)
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        train, test = pdf[pdf[role] == "train"], pdf[pdf[role] == "test"]
-        if len(train) > most:
-            raise ValueError(f"{len(train)} training rows in a split; at most {most}")
-        x, z = train[features].to_numpy(dtype=float), test[features].to_numpy(dtype=float)
-        kernel = lambda a, b: np.exp(-gamma * distances(a, b) ** 2)
-        y = train[target].to_numpy(dtype=float)
-        mean = y.mean() if len(y) else 0.0
-        solved = np.linalg.solve(kernel(x, x) + alpha * np.eye(len(x)), np.column_stack([y - mean, kernel(x, z)]))
-        cross = kernel(z, x)
-        variance = np.maximum(1 - np.einsum("ij,ji->i", cross, solved[:, 1:]), 0)
-        return pd.DataFrame({by: test[by].to_numpy(), row_id: test[row_id].to_numpy(), "y_pred": cross @ solved[:, 0] + mean, "y_err": np.sqrt(variance)})
-
-    return df.groupBy(by).applyInPandas(one, f"`{by}` {kinds[by]}, `{row_id}` {kinds[row_id]}, y_pred double, y_err double")

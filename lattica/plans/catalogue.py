@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lattica.functions import formula as fm
 from lattica.functions import metrics as mt
 from lattica.functions.order import hash_number
-from lattica.operators import analysis, baselines, cleaning, domain, features, learning, models, neighbours, scaling, search, selection, splits, uncertainty
+from lattica.operators import analysis, baselines, cleaning, domain, features, kernels, learning, models, neighbours, scaling, search, selection, splits, uncertainty
 from lattica.plans import dataset, evaluate, linear_sql, predict, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -648,11 +648,29 @@ def bagged_linear(spark, sf_dir):
     return rounded(models.predict_bags(df, fitted, ["l_quantity", "l_discount"]).select("row_id", "y_pred", "y_err"), 4)
 
 
+def _priced(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    return li.select(F.md5(F.concat_ws("|", *LINE)).alias("row_id"), (F.col("l_quantity") / 10).alias("a"), (F.col("l_discount") * 20).alias("b"), (F.col("l_extendedprice") / 10000).alias("y"), (hash_number(*LINE) % 3).cast("int").alias("fold"))
+
+
 @query()
 def kernel_ridge_folds(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 1000).alias("x"), F.col("s_nationkey").cast("double").alias("y"), (F.col("s_suppkey") % 3).cast("int").alias("fold"))
-    roles = splits.train_test(s.select("s_suppkey", "fold"), "s_suppkey", 3).join(s, "s_suppkey")
-    return rounded(models.kernel_ridge(roles, "split", "s_suppkey", ["x"], "y"), 6)
+    return rounded(kernels.kernel_ridge(_priced(spark, sf_dir), "row_id", ["a", "b"], "y", "fold", 0.5, 1.0, 100), 6)
+
+
+@query()
+def gaussian_process_folds(spark, sf_dir):
+    return rounded(kernels.cross_validated(_priced(spark, sf_dir), "row_id", ["a", "b"], "y", "fold", "ConstantKernel*RBF+WhiteKernel", most=100), 6)
+
+
+@query()
+def gaussian_process_domain(spark, sf_dir):
+    """Rows with a large discount, by the greatest deviation of cross-validated rows without one."""
+    df = _priced(spark, sf_dir)
+    train, test = df.where("b < 1.5"), df.where("b >= 1.5")
+    errors = kernels.cross_validated(train, "row_id", ["a", "b"], "y", "fold", "RBF+WhiteKernel", most=100)
+    model = kernels.fit(train, ["a", "b"], "y", "RBF+WhiteKernel", most=100, lengths=(0.5, 1.0, 2.0))
+    return domain.by_error(kernels.predict(test, model, "row_id", ["a", "b"]), errors).select("row_id", "domain", F.round("y_err", 6).alias("y_err"))
 
 
 @query()
