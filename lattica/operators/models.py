@@ -114,9 +114,13 @@ def predict_linear(df: DataFrame, models: DataFrame, features: list[str], by: st
     return wide.withColumn(name, y).drop("b0", *[f"b_{c}" for c in features])
 
 
-def bag_weight(row_id: str, bag: Column) -> Column:
-    """How often a bag draws a row: a Poisson(1) number from a hash, as bootstraps of large tables tend to."""
-    u = hash_number(row_id, bag, seed="bag") / F.lit(4294967296.0)
+def bag_uniform(row_id: str, bag: Column) -> Column:
+    """A number from 0 to 1 by the hash of a row and a bag."""
+    return hash_number(row_id, bag, seed="bag") / F.lit(4294967296.0)
+
+
+def poisson(u: Column) -> Column:
+    """The Poisson(1) number at a share u of the distribution, as bootstraps of large tables tend to draw a row."""
     cumulative, term, out = 0.0, 0.36787944117144233, F.lit(0)
     for k in range(1, 9):
         cumulative += term
@@ -125,6 +129,11 @@ def bag_weight(row_id: str, bag: Column) -> Column:
     return out
 
 
+def bag_weight(row_id: str, bag: Column) -> Column:
+    """How often a bag draws a row."""
+    return poisson(bag_uniform(row_id, bag))
+
+
 def bagged_linear(df: DataFrame, row_id: str, features: list[str], target: str, bags: int) -> DataFrame:
     """Rows (bag, b0, b_...): a linear model for each bag, from one aggregation."""
     expanded = df.select(row_id, *features, target, F.explode(F.sequence(F.lit(0), F.lit(bags - 1))).alias("bag"))

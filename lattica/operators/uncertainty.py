@@ -195,17 +195,3 @@ def residual_against_error(bins: DataFrame, least: int = 30) -> DataFrame:
 def with_standard_errors(bins: DataFrame) -> DataFrame:
     """Standard error of each bin's rms: sqrt(var) / (2 sqrt(n) rms), 1 for bins of one row."""
     return bins.withColumn("rms_se", F.when((F.col("n") <= 1) | (F.col("rms") == 0), F.lit(1.0)).otherwise(F.sqrt("var_sq") / (2 * F.sqrt("n") * F.col("rms"))))
-
-
-def jackknife_variance(draws: DataFrame, learners: DataFrame) -> DataFrame:
-    """Rows (row_id, variance): infinitesimal jackknife (Wager et al. 2014) of bagged predictions.
-
-    draws: (train_id, bag, weight) with zero weights left out; learners: (row_id, bag, y). The sum over
-    training rows of squared covariances of weight and prediction over the bags.
-    """
-    bags = learners.select("bag").distinct().agg(F.count("*").alias("__b"))
-    means = draws.join(F.broadcast(bags)).groupBy("train_id").agg((F.sum("weight") / F.max("__b")).alias("__mean"))  # one row
-    centred = learners.join(learners.groupBy("row_id").agg(F.avg("y").alias("__y")), "row_id").select("row_id", "bag", (F.col("y") - F.col("__y")).alias("c"))
-    # centred predictions sum to zero over the bags, so weights needn't be centred
-    products = draws.join(centred, "bag").groupBy("row_id", "train_id").agg(F.sum(F.col("weight") * F.col("c")).alias("__s"))
-    return products.join(F.broadcast(bags)).join(means, "train_id", "left_semi").groupBy("row_id").agg(F.sum(F.pow(F.col("__s") / F.col("__b"), 2)).alias("variance"))

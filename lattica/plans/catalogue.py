@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from lattica.functions import formula as fm
 from lattica.functions import metrics as mt
 from lattica.functions.order import hash_number
-from lattica.operators import analysis, baselines, cleaning, domain, features, kernels, learning, models, neighbours, scaling, search, selection, splits, uncertainty
+from lattica.operators import analysis, baselines, cleaning, domain, features, kernels, learning, models, neighbours, scaling, search, selection, splits, trees, uncertainty
 from lattica.plans import dataset, evaluate, linear_sql, predict, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -470,12 +470,6 @@ def pearson_selection(spark, sf_dir):
     return spark.createDataFrame(list(enumerate(got)), "place int, feature string")
 
 
-@query()
-def forest_importance(spark, sf_dir):
-    got = selection.ensemble_importance(table(spark, sf_dir, "part").select("p_size", (F.col("p_partkey") % 10).cast("double").alias("digit"), "p_retailprice"), ["p_size", "digit"], "p_retailprice", 2)
-    return spark.createDataFrame(got, "feature string, importance double")
-
-
 # ---------------------------------------------------------------- F: splits
 @query(f"SELECT o_orderkey, ({h32('o_orderkey')} % 5)::INT AS fold FROM orders")
 def folds_by_hash(spark, sf_dir):
@@ -673,10 +667,68 @@ def gaussian_process_domain(spark, sf_dir):
     return domain.by_error(kernels.predict(test, model, "row_id", ["a", "b"]), errors).select("row_id", "domain", F.round("y_err", 6).alias("y_err"))
 
 
-@query()
+def _sized(spark, sf_dir):
+    return table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 10).cast("int").alias("digit"), F.round(F.col("p_retailprice") * 100).alias("cents"))
+
+
+def _forest_sql(n_trees: int, depth: int) -> str:
+    """Trees over bags, a level after the other: sums by value, running sums, the best cut of each node."""
+    cumulative, term, steps = 0.0, 0.36787944117144233, []
+    for k in range(1, 9):
+        cumulative += term
+        steps.append(f"(u >= {cumulative!r}::DOUBLE)::INT")
+        term /= k
+    out = f"""r0 AS MATERIALIZED (SELECT p_partkey, tree, 0 AS node, p_size::DOUBLE AS x0, (p_partkey % 10)::DOUBLE AS x1, round(p_retailprice * 100)::DOUBLE AS y, ({" + ".join(steps)})::DOUBLE AS w
+ FROM (SELECT *, {h32("p_partkey, tree", "bag")} / 4294967296.0::DOUBLE AS u FROM part, (SELECT unnest(range({n_trees})) AS tree)))"""
+    for k in range(depth):
+        out += f""", h{k} AS (SELECT tree, node, f, x, sum(w) AS w, sum(w * y) AS s FROM (SELECT tree, node, 0 AS f, x0 AS x, w, y FROM r{k} UNION ALL SELECT tree, node, 1, x1, w, y FROM r{k}) WHERE w > 0 GROUP BY ALL),
+ u{k} AS (SELECT tree, node, f, x, sum(w) OVER c AS wl, sum(s) OVER c AS sl, sum(w) OVER a AS wt, sum(s) OVER a AS st FROM h{k} WINDOW c AS (PARTITION BY tree, node, f ORDER BY x), a AS (PARTITION BY tree, node, f)),
+ g{k} AS (SELECT *, sl * sl / wl + (st - sl) * (st - sl) / (wt - wl) - st * st / wt AS gain FROM u{k} WHERE wl >= 1 AND wt - wl >= 1),
+ b{k} AS MATERIALIZED (SELECT tree, node, f, x AS cut, gain FROM g{k} WHERE gain > 1e-9 * abs(st * st / wt) + 1e-12 QUALIFY row_number() OVER (PARTITION BY tree, node ORDER BY gain DESC, f, x) = 1),
+ r{k + 1} AS MATERIALIZED (SELECT p_partkey, tree, CASE WHEN f IS NULL THEN node ELSE 2 * node + 1 + ((CASE f WHEN 0 THEN x0 ELSE x1 END) > cut)::INT END AS node, x0, x1, y, w FROM r{k} LEFT JOIN b{k} USING (tree, node))"""
+    return out
+
+
+@query(f"WITH {_forest_sql(4, 2)}, v AS (SELECT tree, node, sum(w * y) / sum(w) AS value FROM r2 GROUP BY ALL) SELECT p_partkey, round(avg(value), 4) AS y_pred, round(stddev_pop(value), 4) AS y_err FROM r2 JOIN v USING (tree, node) GROUP BY p_partkey")
 def forest_regression(spark, sf_dir):
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 10).alias("digit"), "p_retailprice")
-    return models.fit(part, ["p_size", "digit"], "p_retailprice", "RandomForestRegressor", numTrees=8, seed=1).transform(part).select("p_partkey", "y_pred")
+    df = _sized(spark, sf_dir)
+    forest = trees.random_forest(df, "p_partkey", ["p_size", "digit"], "cents", 4, 2)
+    return rounded(trees.predict(df, forest).select("p_partkey", "y_pred", "y_err"), 4)
+
+
+@query(f"WITH {_forest_sql(4, 2)}, g AS (SELECT tree, f, gain FROM b0 UNION ALL SELECT tree, f, gain FROM b1), t AS (SELECT tree, f, sum(gain) / sum(sum(gain)) OVER (PARTITION BY tree) AS share FROM g GROUP BY tree, f), a AS (SELECT unnest(range(4)) AS tree), n AS (SELECT unnest([0, 1]) AS f) SELECT CASE f WHEN 0 THEN 'p_size' ELSE 'digit' END AS feature, round(avg(coalesce(share, 0)), 6) AS importance FROM a CROSS JOIN n LEFT JOIN t USING (tree, f) GROUP BY f")
+def forest_importance(spark, sf_dir):
+    forest = trees.random_forest(_sized(spark, sf_dir), "p_partkey", ["p_size", "digit"], "cents", 4, 2)
+    return rounded(spark.createDataFrame(list(forest.importance().items()), "feature string, importance double"))
+
+
+@query()
+def extra_trees_regression(spark, sf_dir):
+    df = _sized(spark, sf_dir)
+    forest = trees.extra_trees(df, "p_partkey", ["p_size", "digit"], "cents", 5, 3)
+    return rounded(trees.predict(df, forest).select("p_partkey", "y_pred", "y_err"), 4)
+
+
+@query()
+def ada_boost_regression(spark, sf_dir):
+    df = _sized(spark, sf_dir)
+    forest = trees.ada_boost(df, "p_partkey", ["p_size", "digit"], "cents", 4, 3)
+    return rounded(trees.predict(df, forest).select("p_partkey", "y_pred", "y_err"), 4)
+
+
+@query()
+def forest_jackknife(spark, sf_dir):
+    df = _sized(spark, sf_dir)
+    forest = trees.random_forest(df, "p_partkey", ["p_size", "digit"], "cents", 10, 3)
+    products, n = trees.bag_products(df, "p_partkey", 10)
+    return rounded(trees.jackknife(trees.predict(df, forest), products, n).select("p_partkey", "y_pred", "variance"), 4)
+
+
+@query()
+def forest_shapley(spark, sf_dir):
+    df = _sized(spark, sf_dir)
+    forest = trees.random_forest(df, "p_partkey", ["p_size", "digit"], "cents", 4, 3)
+    return rounded(trees.shapley_importance(df, forest, "p_partkey"), 2)
 
 
 # ---------------------------------------------------------------- I: metrics

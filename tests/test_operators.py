@@ -137,15 +137,6 @@ def test_calibration_recovers_a_scale(spark):
     assert a * 1.0 + b == pytest.approx(2.0, abs=0.15)
 
 
-def test_jackknife_needs_learners(spark):
-    draws = spark.createDataFrame([(t, b, (t + b) % 3) for t in range(4) for b in range(5) if (t + b) % 3], "train_id int, bag int, weight int")
-    learners = spark.createDataFrame([(0, b, float(b)) for b in range(5)], "row_id int, bag int, y double")
-    weight = np.array([[(t + b) % 3 for b in range(5)] for t in range(4)], dtype=float)
-    c = np.arange(5) - 2.0
-    expected = sum(((w - w.mean()) @ c / 5) ** 2 for w in weight)
-    assert uncertainty.jackknife_variance(draws, learners).first().variance == pytest.approx(expected)
-
-
 def test_search_space():
     space = search.parse_space("alpha ; kernel ; depth", "-1 1 3 log float ; rbf linear str ; 1 9 3 lin int")
     assert space["alpha"] == pytest.approx([0.1, 1, 10]) and space["kernel"] == ["rbf", "linear"] and space["depth"] == [1, 5, 9]
