@@ -12,6 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.order import hash_number, md5_of, numbered, ranked
+from lattica.functions.scratch import Kept
+
+from . import neighbours
 
 
 def hash_folds(df: DataFrame, row_id: str, k: int, seed: int = 0) -> DataFrame:
@@ -165,6 +168,33 @@ def twins(df: DataFrame, row_id: str, features: list[str], threshold: float = 0.
     return a.join(b, "__cell").where((F.col(row_id) != F.col("__other")) & near).select(row_id).distinct()
 
 
+def auto_twins(df: DataFrame, row_id: str, features: list[str], threshold: float = 0.0, order: float = 2.0, ceiling: float = 0.0) -> tuple[float, DataFrame, DataFrame]:
+    """(threshold, twins, counts) with the threshold raised until enough rows have a twin.
+
+    The threshold starts as given, goes on from 0.11 if that is 0, and grows by a tenth at a time until
+    max(floor(ceiling * rows), 2) rows have another within it. counts: rows (threshold, n_twins) of the
+    steps. Every row's distance to its nearest neighbour is found once; the steps then only count.
+    """
+    metric = {1.0: "cityblock", 2.0: "euclidean", float("inf"): "chebyshev"}.get(float(order), "minkowski")
+    same = df.select(row_id, *features, F.lit(0.0).alias("__y"))
+    near = Kept(neighbours.nearest(same, same, row_id, features, "__y", 1, metric, skip_self=True, p=order).select(row_id, "distance"), "twins")
+    found = near.df.agg(F.count("*").alias("n"), F.max("distance").alias("most")).first()
+    want = max(int(ceiling * df.count()), 2)
+    steps = [float(threshold)]
+    while found.most is not None and steps[-1] < found.most:
+        steps.append((steps[-1] if steps[-1] > 0 else 0.1) * 1.1)
+    place = F.size(F.filter(F.array(*[F.lit(t) for t in steps]), lambda t: t < F.col("distance")))  # a logarithm of the largest distance
+    per = {r.k: r.n for r in near.df.groupBy(place.alias("k")).agg(F.count("*").alias("n")).collect()}
+    counts, total = [], 0
+    for k, t in enumerate(steps):
+        total += per.get(k, 0)
+        counts.append((t, total))
+        if total >= want:
+            break
+    table = df.sparkSession.createDataFrame(counts, "threshold double, n_twins bigint")
+    return counts[-1][0], near.df.where(F.col("distance") <= counts[-1][0]).select(row_id), table
+
+
 def leave_out_twins(df: DataFrame, row_id: str, features: list[str], threshold: float = 0.0, order: float = 2.0) -> DataFrame:
     """Two splits: train on rows without twins and test on twins, and the other way round."""
     marked = df.select(row_id).join(twins(df, row_id, features, threshold, order).withColumn("__twin", F.lit(True)), row_id, "left")

@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 
 from lattica.functions import formula as fm
 from lattica.functions import metrics as mt
+from lattica.functions import oxidation
 from lattica.functions.order import hash_number
-from lattica.operators import analysis, baselines, cleaning, domain, features, kernels, learning, models, neighbours, scaling, search, selection, splits, trees, uncertainty
-from lattica.plans import dataset, evaluate, linear_sql, predict, runs
+from lattica.operators import analysis, baselines, cleaning, clustering, domain, features, kernels, learning, models, neighbours, scaling, search, selection, splits, trees, uncertainty
+from lattica.plans import dataset, evaluate, experiment, linear_sql, predict, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -463,6 +464,22 @@ def forward_selection(spark, sf_dir):
 _TWICE = "q AS (SELECT l_quantity, 2 * l_quantity + l_tax AS twice, l_discount, l_tax, l_extendedprice FROM lineitem)"
 
 
+SALTS = ("NaCl", "Al2O3", "SrTiO3", "Fe3O4", "Fe2O3", "FeO", "La2CuO4", "MnO2", "KMnO4", "SO3", "H2SO4", "NH4Cl", "Cu", "XeF6", "V2O5", "CaCO3", "Mn2O7", "CuZn", "PbO2", "La0.5Sr0.5MnO3")
+
+
+@query(f"""WITH RECURSIVE s(element, q) AS (VALUES {", ".join(f"('{e}', {q})" for e, qs in oxidation.STATES.items() for q in qs)}), f AS (SELECT p_partkey, ({list(SALTS)})[p_partkey % {len(SALTS)} + 1] AS formula FROM part),
+raw AS (SELECT formula, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*[.]?[0-9]*)', 1)) AS element, unnest(regexp_extract_all(formula, '([A-Z][a-z]?)([0-9]*[.]?[0-9]*)', 2)) AS a FROM (SELECT DISTINCT formula FROM f)),
+e AS (SELECT formula, element, sum(CASE WHEN a = '' THEN 1.0::DOUBLE ELSE a::DOUBLE END) AS amount, row_number() OVER (PARTITION BY formula ORDER BY element) AS k, count(*) OVER (PARTITION BY formula) AS n FROM raw GROUP BY formula, element),
+w AS (SELECT formula, 0::BIGINT AS k, 0.0::DOUBLE AS total, []::INT[] AS qs FROM (SELECT DISTINCT formula FROM e) UNION ALL SELECT w.formula, e.k, w.total + e.amount * s.q, list_append(w.qs, s.q) FROM w JOIN e ON e.formula = w.formula AND e.k = w.k + 1 JOIN s USING (element)),
+g AS (SELECT w.formula, arg_min(qs, (list_max(qs) - list_min(qs), qs)) AS qs FROM w JOIN (SELECT DISTINCT formula, n FROM e) USING (formula) WHERE w.k = n AND abs(total) <= 1e-6 GROUP BY w.formula)
+SELECT p_partkey, f.formula, CASE WHEN n = 1 THEN element || ':0' ELSE (SELECT string_agg(element || ':' || g.qs[k], ',' ORDER BY k) FROM e WHERE e.formula = f.formula AND g.qs IS NOT NULL) END AS charges FROM f JOIN (SELECT formula, any_value(n) AS n, any_value(element) AS element FROM e GROUP BY formula) USING (formula) LEFT JOIN g ON g.formula = f.formula""")
+def oxidation_states(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select("p_partkey", F.element_at(F.array(*[F.lit(x) for x in SALTS]), (F.col("p_partkey") % len(SALTS) + 1).cast("int")).alias("formula"))
+    found = oxidation.guess(fm.elements(part, "formula"), "formula")
+    text = F.array_join(F.transform(F.array_sort(F.map_entries("charges")), lambda e: F.concat(e["key"], F.lit(":"), e["value"].cast("string"))), ",")
+    return part.join(found.select("formula", text.alias("charges")), "formula").select("p_partkey", "formula", "charges")
+
+
 @query(f"WITH {_TWICE}, r AS (" + " UNION ALL ".join(f"SELECT '{c}' AS feature, abs(corr({c}, l_extendedprice)) AS r FROM q" for c in ("l_quantity", "twice", "l_discount", "l_tax")) + ") SELECT (row_number() OVER (ORDER BY r DESC, feature) - 1)::INT AS place, feature FROM r WHERE feature <> 'twice' OR (SELECT abs(corr(l_quantity, twice)) FROM q) < 0.9")
 def pearson_selection(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem").withColumn("twice", 2 * F.col("l_quantity") + F.col("l_tax"))
@@ -552,6 +569,32 @@ def twins_within(spark, sf_dir):
     return splits.twins(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"], 20.0)
 
 
+_STEPS = [0.0]
+while _STEPS[-1] < 20_000:
+    _STEPS.append((_STEPS[-1] or 0.1) * 1.1)
+
+
+@query(f"WITH d AS (SELECT a.s_suppkey, min(round(sqrt(pow(a.s_acctbal - b.s_acctbal, 2) + pow(a.s_nationkey - b.s_nationkey, 2)), 12)) AS d FROM supplier a JOIN supplier b ON a.s_suppkey <> b.s_suppkey GROUP BY a.s_suppkey), t AS (SELECT unnest({_STEPS})::DOUBLE AS t), c AS (SELECT t, count(*) AS n FROM t JOIN d ON d <= t GROUP BY t), b AS (SELECT min(t) AS t FROM c WHERE n >= greatest(floor(0.3 * (SELECT count(*) FROM supplier)), 2)) SELECT s_suppkey, round(t, 6) AS threshold FROM d, b WHERE d <= t")
+def twins_automatic(spark, sf_dir):
+    threshold, found, _ = splits.auto_twins(table(spark, sf_dir, "supplier"), "s_suppkey", ["s_acctbal", "s_nationkey"], ceiling=0.3)
+    return found.select("s_suppkey", F.lit(round(threshold, 6)).alias("threshold"))
+
+
+_PAIRS = "x AS (SELECT s_suppkey AS id, s_acctbal / 100 AS a, s_nationkey::DOUBLE AS b FROM supplier), d AS (SELECT p.id AS u, q.id AS v, round(sqrt(pow(p.a - q.a, 2) + pow(p.b - q.b, 2)), 12) AS d FROM x p, x q)"
+
+
+@query(f"WITH RECURSIVE {_PAIRS}, n AS (SELECT u, v, d FROM d WHERE d <= 5), core AS (SELECT u FROM n GROUP BY u HAVING count(*) >= 3), r AS (SELECT u AS a, u AS b FROM core UNION SELECT r.a, n.v FROM r JOIN n ON n.u = r.b WHERE n.v IN (SELECT u FROM core)), c AS (SELECT a AS u, min(b) AS cluster FROM r GROUP BY a), e AS (SELECT n.u, arg_min(c.cluster, (n.d, n.v)) AS cluster FROM n JOIN c ON c.u = n.v WHERE n.u NOT IN (SELECT u FROM core) GROUP BY n.u) SELECT id AS s_suppkey, coalesce(c.cluster, e.cluster) AS cluster, c.u IS NOT NULL AS core FROM x LEFT JOIN c ON c.u = id LEFT JOIN e ON e.u = id")
+def clusters_by_density(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("a"), "s_nationkey")
+    return clustering.dbscan(s, "s_suppkey", ["a", "s_nationkey"], 5.0, 3)
+
+
+@query(f"WITH RECURSIVE {_PAIRS}, n AS (SELECT u, v FROM d WHERE d <= 4), r AS (SELECT id AS a, id AS b FROM x UNION SELECT r.a, n.v FROM r JOIN n ON n.u = r.b) SELECT a AS s_suppkey, min(b) AS cluster FROM r GROUP BY a")
+def clusters_by_links(spark, sf_dir):
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_acctbal") / 100).alias("a"), "s_nationkey")
+    return clustering.single_link(s, "s_suppkey", ["a", "s_nationkey"], distance=4.0)
+
+
 @query(f"WITH o AS (SELECT unnest(range(0, 3)) AS outer_) SELECT outer_::INT AS \"outer\", s_suppkey, CASE WHEN {h32('s_suppkey', 'outer')} % 3 <> outer_ THEN {h32('outer_, s_suppkey', 'inner')} % 2 END::INT AS \"inner\" FROM supplier, o")
 def split_nested(spark, sf_dir):
     return splits.nested(table(spark, sf_dir, "supplier"), "s_suppkey", 3, 2)
@@ -731,6 +774,37 @@ def forest_shapley(spark, sf_dir):
     return rounded(trees.shapley_importance(df, forest, "p_partkey"), 2)
 
 
+_BASE = f"{FOLDS}, m AS (SELECT fold, {linear_sql.moments(XS, 'y')} FROM t GROUP BY fold)"
+_SCORED = "sqrt(avg(pow(y - p, 2))) AS root_mean_squared_error, 1 - sum(pow(y - p, 2)) / (var_pop(y) * count(*)) AS r2_score, avg(abs(y - p)) AS mean_absolute_error"
+
+
+def _member(name: str, selector: str, alpha: float) -> str:
+    if selector == "all":
+        return f"SELECT '{name}' AS model, 'all' AS selector, d.fold AS split, {_SCORED} FROM (SELECT d.fold, d.y, {linear_sql.predicted(XS)} AS p FROM d JOIN (SELECT fold, {linear_sql.coefficients(XS, 'y', str(alpha))} FROM m) USING (fold)) d GROUP BY d.fold"
+    best = "CASE WHEN r0 >= r1 AND r0 >= r2 THEN 0 WHEN r1 >= r2 THEN 1 ELSE 2 END"
+    corr = ", ".join(f"abs(c_{x}_y) / sqrt(c_{x}_{x} * c_y_y) AS r{i}" for i, x in enumerate(XS))
+    slope = "CASE b " + " ".join(f"WHEN {i} THEN c_{x}_y / (c_{x}_{x} + {alpha})" for i, x in enumerate(XS)) + " END"
+    mean = "CASE b " + " ".join(f"WHEN {i} THEN m_{x}" for i, x in enumerate(XS)) + " END"
+    value = "CASE b " + " ".join(f"WHEN {i} THEN {x}" for i, x in enumerate(XS)) + " END"
+    return f"SELECT '{name}' AS model, 'best' AS selector, fold AS split, {_SCORED} FROM (SELECT d.fold, y, m_y + {slope} * ({value} - {mean}) AS p FROM d JOIN (SELECT *, {best} AS b FROM (SELECT *, {corr} FROM m)) USING (fold)) GROUP BY fold"
+
+
+@query(f"WITH {_BASE}, s AS (" + " UNION ALL ".join(_member(n, s, a) for n, a in (("plain", 0.0), ("ridge", 5000.0)) for s in ("all", "best")) + ") SELECT model, selector, split::INT AS split, metric, round(value, 4) AS value FROM (UNPIVOT s ON root_mean_squared_error, r2_score, mean_absolute_error INTO NAME metric VALUE value)")
+def experiment_linear(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem").select(F.concat_ws("|", *LINE).alias("row_id"), *NUMBERS)
+    data = dataset.load(li, "row_id", features=XS, target="l_extendedprice")
+    members = {"plain": experiment.Linear(), "ridge": experiment.Linear(5000.0)}
+    return rounded(experiment.Experiment(data, members, {"all": experiment.all_features, "best": experiment.best_correlated(1)}, ("root_mean_squared_error", "r2_score", "mean_absolute_error")).run(), 4)
+
+
+@query()
+def experiment_kinds(spark, sf_dir):
+    """A linear model, a forest, extra trees, a Gaussian process and neighbours on the same folds."""
+    data = dataset.load(_sized(spark, sf_dir), "p_partkey", features=["p_size", "digit"], target="cents")
+    members = {"linear": experiment.Linear(), "forest": experiment.forest(trees=4, depth=3), "gaussian": experiment.gaussian_process(kernel="RBF+WhiteKernel", most=60), "nearest": experiment.nearest(3)}
+    return rounded(experiment.Experiment(data, members, k=2).run(), 4)
+
+
 # ---------------------------------------------------------------- I: metrics
 ALL = [m for m in mt.REGRESSION if m != "mean_squared_log_error"]
 _MSE = "avg(pow(y_true - y_pred, 2))"
