@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.workers import ship
 
+from .sums import matrix_sums
+
 ship(__name__)
 
 NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
@@ -146,66 +151,122 @@ def some_columns(columns: list[str], share: float, seed: int = 42) -> list[str]:
     return [c for c in columns if c in picked]
 
 
-def ppca(df: DataFrame, row_id: str, columns: list[str], components: int | None = None, tolerance: float = 1e-4, rounds: int = 100, least_values: int = 1) -> DataFrame:
-    """Fill nulls by probabilistic principal components (Roweis 1998, EM with missing values).
+@dataclass(frozen=True)
+class PPCA:
+    """Probabilistic principal components of standardized columns.
 
-    Columns with fewer than `least_values` values are left as they are. Each round is one
-    aggregation of D x D sums over the rows; only those and the loadings pass the driver, rows
-    are filled where they lie.
+    loadings and noise are the model's; axes are the orthonormal principal axes of its space, explained the
+    cumulative share of the columns' variance that rows with their gaps filled have along them.
     """
-    import numpy as np
-    import pandas as pd
 
+    columns: list[str]
+    mean: np.ndarray
+    scale: np.ndarray
+    loadings: np.ndarray
+    noise: float
+    axes: np.ndarray
+    explained: np.ndarray
+
+    def standardized(self, pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        return _filled(pdf[self.columns].to_numpy(dtype=float), self.mean, self.scale, self.loadings, self.noise)
+
+    def impute(self, df: DataFrame, row_id: str) -> DataFrame:
+        """df with the columns' nulls filled; only rows that have any pass through Python."""
+
+        def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = pd.DataFrame(self.standardized(pdf)[0] * self.scale + self.mean, columns=self.columns)
+                out.insert(0, row_id, pdf[row_id].to_numpy())
+                yield out
+
+        kind, used = dict(df.dtypes)[row_id], self.columns
+        data = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in used])
+        fills = data.where(" or ".join(f"`{c}` is null" for c in used)).mapInPandas(fill, f"`{row_id}` {kind}, " + ", ".join(f"`{c}` double" for c in used))
+        fills = fills.select(row_id, *[F.col(c).alias(f"__{c}") for c in used])
+        return df.join(fills, row_id, "left").select(*[F.coalesce(c, f"__{c}").alias(c) if c in used else F.col(c) for c in df.columns])
+
+    def transform(self, df: DataFrame, row_id: str) -> DataFrame:
+        """Rows (row_id, components): each row's coordinates along the principal axes, its gaps filled."""
+
+        def project(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pd.DataFrame({row_id: pdf[row_id], "components": list(self.standardized(pdf)[0] @ self.axes)})
+
+        data = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in self.columns])
+        return data.mapInPandas(project, f"`{row_id}` {dict(df.dtypes)[row_id]}, components array<double>")
+
+    def save(self, spark: SparkSession, path: str) -> None:
+        rows = [(self.columns, self.mean.tolist(), self.scale.tolist(), self.loadings.tolist(), float(self.noise), self.axes.tolist(), self.explained.tolist())]
+        spark.createDataFrame(rows, "columns array<string>, mean array<double>, scale array<double>, loadings array<array<double>>, noise double, axes array<array<double>>, explained array<double>").coalesce(1).write.mode("overwrite").parquet(path)
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> PPCA:
+        r = spark.read.parquet(path).first()
+        return PPCA(list(r.columns), *(np.array(v) for v in (r.mean, r.scale, r.loadings)), r.noise, np.array(r.axes), np.array(r.explained))
+
+
+def _filled(values: np.ndarray, mean: np.ndarray, scale: np.ndarray, c: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Standardized rows with their gaps at the projection, latent places, their covariances' sum, and what was seen."""
+    y = (values - mean) / scale
+    seen = ~np.isnan(y)
+    y = np.where(seen, y, 0.0)
+    own = np.einsum("ij,jk,jl->ikl", seen.astype(float), c, c) + noise * np.eye(c.shape[1])
+    x = np.linalg.solve(own, (y @ c)[:, :, None])[:, :, 0]
+    y = np.where(seen, y, x @ c.T)
+    return y, x, noise * np.linalg.inv(own).sum(0), seen
+
+
+def fit_ppca(df: DataFrame, columns: list[str], components: int | None = None, tolerance: float = 1e-4, rounds: int = 100, least_values: int = 1) -> PPCA | None:
+    """Probabilistic principal components of rows with nulls (Roweis 1998, EM with missing values).
+
+    Columns with fewer than `least_values` values take no part; None if no column is left. Each round is one
+    aggregation of columns x components sums over the rows; only those and the loadings pass the driver.
+    """
     counts = df.agg(*[F.count(c).alias(c) for c in columns], *[F.avg(c).alias(f"m_{c}") for c in columns], *[F.stddev_pop(c).alias(f"s_{c}") for c in columns]).first()
     used = [c for c in columns if counts[c] >= max(1, least_values)]
     if not used:
-        return df
+        return None
     mean = np.array([counts[f"m_{c}"] for c in used])
     scale = np.array([counts[f"s_{c}"] or 1.0 for c in used])
     d = min(components or len(used), len(used))
     loadings = np.linalg.qr(np.random.default_rng(0).normal(size=(len(used), d)))[0]
     width = len(used)
-    data = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in used])
-
-    def filled(pdf: pd.DataFrame, c: np.ndarray, noise: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Standardized rows with their gaps at the projection, latent places, their covariances' sum, and what was seen."""
-        y = (pdf[used].to_numpy(dtype=float) - mean) / scale
-        seen = ~np.isnan(y)
-        y = np.where(seen, y, 0.0)
-        own = np.einsum("ij,jk,jl->ikl", seen.astype(float), c, c) + noise * np.eye(c.shape[1])
-        x = np.linalg.solve(own, (y @ c)[:, :, None])[:, :, 0]
-        y = np.where(seen, y, x @ c.T)
-        return y, x, noise * np.linalg.inv(own).sum(0), seen
+    data = df.select(*[F.col(c).cast("double").alias(c) for c in used])
 
     before, noise = None, 1.0
     for _ in range(rounds):
 
-        def sums(batches, c=loadings, noise=noise):
-            yx, xx, err, n = np.zeros((width, c.shape[1])), np.zeros((c.shape[1], c.shape[1])), 0.0, 0
-            for pdf in batches:
-                y, x, spread, seen = filled(pdf, c, noise)
-                yx, xx, err, n = yx + y.T @ x, xx + x.T @ x + spread, err + float((((y - x @ c.T) ** 2) * seen).sum()), n + int(seen.sum())
-            yield pd.DataFrame({"k": range(yx.size + xx.size + 2), "v": np.concatenate([yx.ravel(), xx.ravel(), [err, n]])})
+        def sums(pdf: pd.DataFrame, c=loadings, noise=noise) -> Iterator[tuple[str, np.ndarray]]:
+            y, x, spread, seen = _filled(pdf[used].to_numpy(dtype=float), mean, scale, c, noise)
+            last = np.zeros((1, c.shape[1] + 1))
+            last[0, :2] = float((((y - x @ c.T) ** 2) * seen).sum()), int(seen.sum())
+            yield "all", np.vstack([np.pad(y.T @ x, ((0, 0), (0, 1))), np.pad(x.T @ x + spread, ((0, 0), (0, 1))), last])
 
-        got = {r.k: r.v for r in data.mapInPandas(sums, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect()}
-        flat = np.array([got[k] for k in range(len(got))])
-        yx, xx, (err, n) = flat[: width * d].reshape(width, d), flat[width * d : -2].reshape(d, d), flat[-2:]
+        got = matrix_sums(data, "string", sums)["all"]
+        yx, xx, (err, n) = got[:width, :d], got[width : width + d, :d], got[-1, :2]
         loadings, noise = yx @ np.linalg.pinv(xx), max(err / max(n, 1), 1e-6)
         if before is not None and abs(before - err) <= tolerance * max(before, 1e-12):
             break
         before = err
 
-    def fill(batches):
-        for pdf in batches:
-            y = filled(pdf, loadings, noise)[0]
-            out = pd.DataFrame(y * scale + mean, columns=used)
-            out.insert(0, row_id, pdf[row_id].to_numpy())
-            yield out
-
-    kind = dict(df.dtypes)[row_id]
-    fills = data.where(" or ".join(f"`{c}` is null" for c in used)).mapInPandas(fill, f"`{row_id}` {kind}, " + ", ".join(f"`{c}` double" for c in used))
-    fills = fills.select(row_id, *[F.col(c).alias(f"__{c}") for c in used])
-    return df.join(fills, row_id, "left").select(*[F.coalesce(c, f"__{c}").alias(c) if c in used else F.col(c) for c in df.columns])
+    span = np.linalg.qr(loadings)[0]
+
+    def spread(pdf: pd.DataFrame) -> Iterator[tuple[str, np.ndarray]]:
+        y = _filled(pdf[used].to_numpy(dtype=float), mean, scale, loadings, noise)[0]
+        wide = np.column_stack([np.ones(len(y)), y])
+        yield "all", wide.T @ wide
+
+    m = matrix_sums(data, "string", spread)["all"]
+    covariance = m[1:, 1:] / m[0, 0] - np.outer(m[0, 1:], m[0, 1:]) / m[0, 0] ** 2
+    values, vectors = np.linalg.eigh(span.T @ covariance @ span)
+    order = np.argsort(-values)
+    return PPCA(used, mean, scale, loadings, float(noise), span @ vectors[:, order], np.cumsum(values[order]) / np.trace(covariance))
+
+
+def ppca(df: DataFrame, row_id: str, columns: list[str], components: int | None = None, tolerance: float = 1e-4, rounds: int = 100, least_values: int = 1) -> DataFrame:
+    """df with nulls filled by probabilistic principal components; columns with too few values are left as they are."""
+    model = fit_ppca(df, columns, components, tolerance, rounds, least_values)
+    return df if model is None else model.impute(df, row_id)
 
 
 @dataclass(frozen=True)

@@ -16,7 +16,7 @@ from lattica.functions import metrics as mt
 from lattica.functions import oxidation
 from lattica.functions.order import hash_number
 from lattica.operators import analysis, baselines, cleaning, clustering, domain, features, kernels, learning, models, neighbours, scaling, search, selection, splits, trees, uncertainty
-from lattica.plans import dataset, evaluate, experiment, linear_sql, predict, runs
+from lattica.plans import applicability, dataset, evaluate, experiment, linear_sql, predict, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -678,13 +678,6 @@ def elastic_net_folds(spark, sf_dir):
     return rounded(models.linear_cv(df, ["l_quantity"], "l_extendedprice", "fold", 500.0, 0.5))
 
 
-@query()
-def bagged_linear(spark, sf_dir):
-    df = table(spark, sf_dir, "lineitem").select(F.md5(F.concat_ws("|", *LINE, "l_quantity", "l_extendedprice")).alias("row_id"), "l_quantity", "l_discount", "l_extendedprice")
-    fitted = models.bagged_linear(df, "row_id", ["l_quantity", "l_discount"], "l_extendedprice", 8)
-    return rounded(models.predict_bags(df, fitted, ["l_quantity", "l_discount"]).select("row_id", "y_pred", "y_err"), 4)
-
-
 def _priced(spark, sf_dir):
     li = table(spark, sf_dir, "lineitem")
     return li.select(F.md5(F.concat_ws("|", *LINE)).alias("row_id"), (F.col("l_quantity") / 10).alias("a"), (F.col("l_discount") * 20).alias("b"), (F.col("l_extendedprice") / 10000).alias("y"), (hash_number(*LINE) % 3).cast("int").alias("fold"))
@@ -714,14 +707,19 @@ def _sized(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", "p_size", (F.col("p_partkey") % 10).cast("int").alias("digit"), F.round(F.col("p_retailprice") * 100).alias("cents"))
 
 
-def _forest_sql(n_trees: int, depth: int) -> str:
-    """Trees over bags, a level after the other: sums by value, running sums, the best cut of each node."""
+def _draws_sql() -> str:
+    """The Poisson(1) number at a share u of the distribution."""
     cumulative, term, steps = 0.0, 0.36787944117144233, []
     for k in range(1, 9):
         cumulative += term
         steps.append(f"(u >= {cumulative!r}::DOUBLE)::INT")
         term /= k
-    out = f"""r0 AS MATERIALIZED (SELECT p_partkey, tree, 0 AS node, p_size::DOUBLE AS x0, (p_partkey % 10)::DOUBLE AS x1, round(p_retailprice * 100)::DOUBLE AS y, ({" + ".join(steps)})::DOUBLE AS w
+    return "(" + " + ".join(steps) + ")::DOUBLE"
+
+
+def _forest_sql(n_trees: int, depth: int) -> str:
+    """Trees over bags, a level after the other: sums by value, running sums, the best cut of each node."""
+    out = f"""r0 AS MATERIALIZED (SELECT p_partkey, tree, 0 AS node, p_size::DOUBLE AS x0, (p_partkey % 10)::DOUBLE AS x1, round(p_retailprice * 100)::DOUBLE AS y, {_draws_sql()} AS w
  FROM (SELECT *, {h32("p_partkey, tree", "bag")} / 4294967296.0::DOUBLE AS u FROM part, (SELECT unnest(range({n_trees})) AS tree)))"""
     for k in range(depth):
         out += f""", h{k} AS (SELECT tree, node, f, x, sum(w) AS w, sum(w * y) AS s FROM (SELECT tree, node, 0 AS f, x0 AS x, w, y FROM r{k} UNION ALL SELECT tree, node, 1, x1, w, y FROM r{k}) WHERE w > 0 GROUP BY ALL),
@@ -732,6 +730,17 @@ def _forest_sql(n_trees: int, depth: int) -> str:
     return out
 
 
+_BAG_X = ("l_quantity", "l_discount")
+_BAG_SUMS = ", ".join(["sum(w) AS n", *[f"sum(w * {c}) / sum(w) AS m_{c}" for c in (*_BAG_X, "y")], *[f"sum(w * {a} * {b}) - sum(w * {a}) * sum(w * {b}) / sum(w) AS c_{a}_{b}" for i, a in enumerate((*_BAG_X, "y")) for b in (*_BAG_X, "y")[i:]]])
+
+
+@query(f"WITH d AS (SELECT md5(concat_ws('|', {LINE_KEY}, l_quantity, l_extendedprice)) AS row_id, l_quantity, l_discount, l_extendedprice AS y FROM lineitem), e AS (SELECT *, {h32('row_id, bag', 'bag')} / 4294967296.0::DOUBLE AS u FROM d, (SELECT unnest(range(8)) AS bag)), f AS (SELECT bag, {linear_sql.coefficients(list(_BAG_X), 'y')} FROM (SELECT bag, {_BAG_SUMS} FROM (SELECT *, {_draws_sql()} AS w FROM e) GROUP BY bag)) SELECT row_id, round(avg({linear_sql.predicted(list(_BAG_X))}), 3) AS y_pred, round(stddev_pop({linear_sql.predicted(list(_BAG_X))}), 3) AS y_err FROM d, f GROUP BY row_id")
+def bagged_linear(spark, sf_dir):
+    df = table(spark, sf_dir, "lineitem").select(F.md5(F.concat_ws("|", *LINE, "l_quantity", "l_extendedprice")).alias("row_id"), "l_quantity", "l_discount", "l_extendedprice")
+    fitted = models.bagged_linear(df, "row_id", ["l_quantity", "l_discount"], "l_extendedprice", 8)
+    return rounded(models.predict_bags(df, fitted, ["l_quantity", "l_discount"]).select("row_id", "y_pred", "y_err"), 3)
+
+
 @query(f"WITH {_forest_sql(4, 2)}, v AS (SELECT tree, node, sum(w * y) / sum(w) AS value FROM r2 GROUP BY ALL) SELECT p_partkey, round(avg(value), 4) AS y_pred, round(stddev_pop(value), 4) AS y_err FROM r2 JOIN v USING (tree, node) GROUP BY p_partkey")
 def forest_regression(spark, sf_dir):
     df = _sized(spark, sf_dir)
@@ -1037,6 +1046,24 @@ def domain_density(spark, sf_dir):
     return rounded(domain.dissimilarity(v.where("vec_id % 5 = 0"), v.where("vec_id % 5 <> 0"), "vec_id", ALL_64), 9)
 
 
+_FAR = "q AS (SELECT *, (row_id % 97) / 97::DOUBLE AS dissimilarity, residual * (1 + (row_id % 97)) AS r2 FROM p), b AS (SELECT row_id, y_true, y_err, dissimilarity, r2 AS residual, 1 + len(list_filter(e, lambda x: x <= dissimilarity)) AS bin FROM q, (SELECT quantile_cont(dissimilarity, [0.2, 0.4, 0.6, 0.8]) AS e FROM q))"
+
+
+@query(f"WITH {P}, {_FAR}, {_curve('b', 'bin')}, {_area('bin')}, a AS (SELECT bin, sum(piece) AS area FROM area GROUP BY bin), m AS (SELECT bin, count(*) AS n, min(dissimilarity) AS least, max(dissimilarity) AS most, sqrt(avg(residual * residual)) / (SELECT stddev_pop(y_true) FROM p) AS rmse FROM b GROUP BY bin) SELECT bin::INT AS bin, n, round(least, 6) AS least, round(most, 6) AS most, round(rmse, 6) AS rmse, round(area, 6) AS area, (rmse <= 1)::INT AS inside_error, (area <= 0.4)::INT AS inside_area FROM m JOIN a USING (bin)")
+def domain_bins(spark, sf_dir):
+    far = predictions(spark, sf_dir).select("row_id", "y_true", "y_err", ((F.col("row_id") % 97) / 97).alias("dissimilarity"), (F.col("residual") * (1 + F.col("row_id") % 97)).alias("residual"))
+    return rounded(applicability.by_bins(far, 5, 1.0, 0.4))
+
+
+@query()
+def domain_applicability(spark, sf_dir):
+    """Parts of even keys, by a model and a domain that are fitted to the others."""
+    df = _sized(spark, sf_dir)
+    data = dataset.load(df.where("p_partkey % 2 = 1"), "p_partkey", features=["p_size", "digit"], target="cents")
+    fitted = applicability.fit(data, k=2, n_clusters=(2,), bandwidth=0.5, n_trees=4, depth=3, bins=5, most_area=0.3)
+    return rounded(fitted.predict(df.where("p_partkey % 2 = 0")), 4)
+
+
 # ---------------------------------------------------------------- M: learning curves
 _ERR = f"abs(y - {linear_sql.predicted(XS)})"
 DATA_CURVE = f"""d AS (SELECT {", ".join(XS)}, l_extendedprice AS y, {h32(LINE_KEY, "fold")} % 5 AS fold, {h32(LINE_KEY, "size")} / 4294967296.0::DOUBLE AS u FROM lineitem), g AS (SELECT size, model FROM (SELECT unnest({list(learning.SIZES)})::DOUBLE AS size), (SELECT unnest(range(0, 5)) AS model)),
