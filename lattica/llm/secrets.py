@@ -83,16 +83,36 @@ def random_samples(spark: SparkSession, n: int = RANDOM_SAMPLES) -> DataFrame:
 
 
 def identifier_samples(docs: DataFrame, most: int = SAMPLE_DOCS) -> DataFrame:
-    """Labelled identifiers: words of letters, from a bounded sample of documents and the list IDENTIFIERS.
+    """Labelled identifiers: words of letters, identifiers with numbers made of them, and the list IDENTIFIERS.
 
-    The sample is the `most` documents with the least hashes of their doc_id, so it is the same
-    in every run. Words with digits are left out, for they may be secrets themselves.
+    The words come from a bounded sample of documents, the `most` rows with the least hashes of their
+    doc_id and text, so it is the same in every run. Words with digits are left out, for they may be
+    secrets themselves; what ordinary identifiers look like that have digits is known from joining words
+    with counters, dates, versions and sizes, as file names, tables and tags do.
     """
-    ids = docs.select("doc_id").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(most).distinct()
-    few = docs.join(F.broadcast(ids), "doc_id")  # at most `most` rows
+    few = docs.select("doc_id", "text").orderBy(F.xxhash64(F.col("doc_id").cast("string"), "text"), "doc_id").limit(most)
     words = F.array_distinct(F.filter(F.split(text_of(few), r"[^A-Za-z0-9+/_=-]+"), lambda w: w.rlike("^[A-Za-z_/-]{4,}$")))
     listed = docs.sparkSession.range(200).select(F.explode(F.array(*[F.lit(w) for w in IDENTIFIERS])).alias("token"))
-    return few.select(F.explode(words).alias("token")).unionByName(listed)
+    named = few.select(words.alias("w")).unionByName(listed.select(F.array("token").alias("w")))
+    return few.select(F.explode(words).alias("token")).unionByName(listed).unionByName(named.select(F.explode(F.transform("w", lambda w, i: numbered(w, F.coalesce(F.get("w", i + 1), w)))).alias("token")))
+
+
+def numbered(word: Column, other: Column) -> Column:
+    """An identifier with numbers made of two words, in one of the ways below, by their hash."""
+    h = F.xxhash64(word, other)
+    number = lambda at, least, count: (F.pmod(F.shiftright(h, at), F.lit(count)) + least).cast("string")
+    two = lambda at, count: F.lpad(number(at, 1, count), 2, "0")
+    date = F.concat(number(5, 1990, 45), F.lit("-"), two(12, 12), F.lit("-"), two(17, 28))
+    ways = (
+        F.concat(date, F.lit("_"), word, F.lit("_"), other),
+        F.concat(word, F.lit("-"), other, F.lit("-"), F.translate(date, "-", "")),
+        F.concat(word, F.lit("_v"), number(5, 0, 30), F.lit("_"), number(12, 0, 20), F.lit("_"), other),
+        F.concat(word, F.lit("_"), F.lpad(number(5, 0, 10_000), 5, "0"), F.lit("_"), other),
+        F.concat(other, word, F.lit("-"), number(5, 1, 2000), F.lit("x"), number(20, 1, 2000)),
+        F.concat(word, number(5, 1, 64), F.lit("/"), other, F.lit("/"), number(20, 1, 100_000)),
+    )
+    way = F.pmod(h, F.lit(len(ways)))
+    return F.coalesce(*[F.when(way == k, x) for k, x in enumerate(ways)])
 
 
 def transitions(samples: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lattica.llm import centroids, chat, spelling
+from lattica.llm import centroids, chat, secrets, spelling
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -209,3 +209,34 @@ def test_sums_beyond_64_bits():
     (out,) = centroids._summing(np.array([[0, 0]]))(iter([batch]))
     n = 2**40 + 2**41 + 1
     assert [int(x) for x in out.column(2).to_pylist()] == [(2**27 - 1) * n, -3 * n, n]
+
+
+# ---------------------------------------------------------------- secrets: labelled tokens
+WORDS = "customer order payment invoice session handler report backup daily weekly server client request image thumb upload region storage bucket column index primary metrics service account profile release build deploy cache worker thread message stream cluster replica snapshot".split()
+
+
+def random_token(r):
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "0123456789"
+    kinds = (letters + letters.lower(), letters, letters + letters.lower() + "-_")
+    return "".join(r.choice(r.choice(kinds)) for _ in range(r.randint(20, 44)))
+
+
+def ordinary_token(r):
+    a, b, c = (r.choice(WORDS) for _ in range(3))
+    y, m, d, n = r.randint(2000, 2030), r.randint(1, 12), r.randint(1, 28), r.randint(0, 99_999)
+    return r.choice([f"{y}-{m:02}-{d:02}_{a}_{b}_full", f"{a}_{b}_{c}_{n}", f"{a}-{b}-{y}{m:02}{d:02}-{c}", f"{a}{b.title()}{c.title()}V{m}", f"{a}_v{m}_{d}_{b}_{c}", f"src/{a}/{b}/{c}_{n}", f"{a.upper()}_{b.upper()}_{c.upper()}_{n}"])
+
+
+def test_secrets_among_labelled_tokens(spark):
+    """500 random strings and 500 identifiers with digits, each in a text of its own."""
+    r = random.Random(11)
+    usable = lambda t: len(t) >= 20 and re.search("[0-9]", t) and re.search("[A-Za-z]", t) and not re.search("AKIA|[0-9a-f]{24}", t)
+    draw = lambda make: [t for t in (make(r) for _ in range(3000)) if usable(t)][:500]
+    tokens = [(t, True) for t in draw(random_token)] + [(t, False) for t in draw(ordinary_token)]
+    assert len(tokens) == 1000
+    prose = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 9))) for _ in range(300))
+    rows = [(i, f"see {t} there") for i, (t, _) in enumerate(tokens)] + [(2000 + i, prose) for i in range(20)]
+    found = {x.doc_id for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("n_random > 0").collect()}
+    hits = sum(secret for i, (_, secret) in enumerate(tokens) if i in found)
+    assert hits / 500 >= 0.9 and hits / len([i for i in found if i < 1000]) >= 0.9
+    assert not any(i >= 2000 for i in found)
