@@ -6,8 +6,6 @@ where a fold number suffices: `train_test` expands fold tables only for callers
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,6 +15,10 @@ from lattica.functions.scratch import Kept
 from . import neighbours
 
 
+#: Combinations of groups up to which they are broadcast.
+COMBINATIONS = 100_000
+
+
 def hash_folds(df: DataFrame, row_id: str, k: int, seed: int = 0) -> DataFrame:
     """(row_id, fold): about equal folds by hash; a projection without a shuffle."""
     return df.select(row_id, (hash_number(row_id, seed=seed) % k).cast("int").alias("fold"))
@@ -121,18 +123,21 @@ def predefined(df: DataFrame, row_id: str, fold: str) -> DataFrame:
 
 
 def leave_multi_groups_out(df: DataFrame, row_id: str, group: str, size: int = 2) -> DataFrame:
-    """(split, row_id, role, weight): every combination of `size` groups is the test set once.
+    """(split, row_id, role, weight): every combination of `size` groups is the test set once. Null is a group.
 
-    The combinations come from the group list; each row is then matched with them all.
+    The combinations are numbered in their order by ranges; nothing of them comes to the driver. The result has
+    rows x combinations rows: every row is matched with all of them, which are broadcast up to COMBINATIONS.
     """
-    names = [r[0] for r in df.select(group).distinct().orderBy(group).collect()]
-    table = [(i, list(c)) for i, c in enumerate(itertools.combinations(names, size))]
-    if not table:
-        return no_split(df, row_id).limit(0)
-    kind = dict(df.dtypes)[group]
-    combos = df.sparkSession.createDataFrame(table, f"split int, groups array<{kind}>").agg(F.collect_list(F.struct("split", "groups")).alias("every"))
-    role = F.when(F.array_contains("groups", F.col(group)), "test").otherwise("train")
-    return df.select(row_id, group).join(F.broadcast(combos)).select(row_id, group, F.inline("every")).select("split", row_id, role.alias("role"), F.lit(1).alias("weight"))
+    of_groups = groups_numbered(df, group)
+    combos = of_groups.select(F.col("split").alias("g0"))
+    for i in range(1, size):
+        combos = combos.join(of_groups.select(F.col("split").alias(f"g{i}")), F.col(f"g{i}") > F.col(f"g{i - 1}"))
+    names = [f"g{i}" for i in range(size)]
+    combos = numbered(combos, names, "split").select(F.col("split").cast("int").alias("split"), F.array(*names).alias("__test"))
+    combos = F.broadcast(combos) if combos.count() <= COMBINATIONS else combos
+    own = _with_number(df, row_id, group, of_groups, "split").withColumnRenamed("split", "__own")
+    role = F.when(F.array_contains("__test", F.col("__own")), "test").otherwise("train")
+    return own.join(combos).select("split", row_id, role.alias("role"), F.lit(1).alias("weight"))
 
 
 def bootstrap(df: DataFrame, row_id: str, n_bootstraps: int = 3, train_share: float = 0.5, seed: int = 0) -> DataFrame:
