@@ -91,9 +91,15 @@ def polynomial(df: DataFrame, columns: list[str], degree: int = 2, interaction_o
     return df.select("*", *[x.alias(n) for n, x in out.items()])
 
 
+#: Columns that a column's values may become.
+MOST_COLUMNS = 1000
+
+
 def one_hot_group(df: DataFrame, column: str) -> DataFrame:
     """df with <column>_0, <column>_1, ... for the column's values in order."""
-    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).collect()]
+    values = [r[0] for r in df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(MOST_COLUMNS + 1).collect()]
+    if len(values) > MOST_COLUMNS:
+        raise ValueError(f"{column} has more than {MOST_COLUMNS} values, too many for columns")
     return df.withColumns({f"{column}_{i}": F.coalesce((F.col(column) == v).cast("double"), F.lit(0.0)) for i, v in enumerate(values)})
 
 
@@ -106,10 +112,12 @@ def one_hot_elements(parts: DataFrame, formula: str) -> DataFrame:
 def composition_statistics(parts: DataFrame, table: DataFrame, formula: str, sums: bool = False) -> DataFrame:
     """Long rows (formula, feature, value): avg, dev, range, max, min and mode of properties, weighted by fraction.
 
-    mode: the least value among the elements of the greatest fraction. Missing properties are zero.
+    mode: the least value among the elements of the greatest fraction. Missing properties are zero, and so are
+    all properties of an element that the table doesn't have.
     """
     parts = parts.where(~F.col(formula).contains("x"))
-    f = fractions(parts, formula).join(F.broadcast(table.select("element", "property", "value")), "element").withColumn("value", F.coalesce("value", F.lit(0.0)))
+    named = table.select("property").distinct()  # as many rows as properties
+    f = fractions(parts, formula).join(F.broadcast(named)).join(F.broadcast(table.select("element", "property", "value")), ["element", "property"], "left").withColumn("value", F.coalesce("value", F.lit(0.0)))
     keys = [formula, "property"]
     stats = f.groupBy(*keys).agg(F.sum(F.col("fraction") * F.col("value")).alias("avg"), F.max("value").alias("max"), F.min("value").alias("min"), F.max("fraction").alias("__top"), F.sum(F.col("amount") * F.col("value")).alias("sum"), F.collect_list(F.struct("fraction", "value")).alias("__each"))
     dev = F.aggregate("__each", F.lit(0.0), lambda s, x: s + x["fraction"] * F.abs(x["value"] - F.col("avg")))

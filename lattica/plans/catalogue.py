@@ -65,7 +65,7 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fm.elements(with_formula(spark, sf_dir), "formula")
 
 
-PROPERTIES = ("Number", "Row", "NValence")
+PROPERTIES = tuple(sorted({p for _, _, p, _ in fm.element_rows()}))
 
 
 def properties(spark: SparkSession) -> DataFrame:
