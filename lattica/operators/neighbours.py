@@ -174,6 +174,8 @@ def _routed(queries: DataFrame, cells: Cells, choose: Callable[[pd.DataFrame, np
             for at in range(0, len(pdf), QUERIES):
                 part = pdf.iloc[at : at + QUERIES]
                 row, cell = np.nonzero(choose(part, _frame(part)))
+                if not len(row):
+                    continue
                 yield pd.DataFrame({"id": part["id"].to_numpy()[row], "x": part["x"].to_numpy()[row], "bound": part["bound"].to_numpy(dtype=float)[row], "cell": np.where(cell == len(cells.count), -1, cell)})
 
     return queries.mapInPandas(route, f"id {kind}, x array<double>, bound double, cell int")
