@@ -86,7 +86,7 @@ def _cross_fitted(df: DataFrame, data: Dataset, kind: str, grow: Callable[[DataF
     return out
 
 
-def fit(data: Dataset, k: int = 5, n_clusters: tuple[int, ...] = (2, 3), bandwidth: float = 1.0, n_trees: int = 10, depth: int = 5, bins: int = 10, most_rmse: float = 1.0, most_area: float = 0.1, cluster: str = "BisectingKMeans") -> Applicability:
+def fit(data: Dataset, k: int = 5, n_clusters: tuple[int, ...] = (2, 3), bandwidth: float = 1.0, n_trees: int = 10, depth: int = 5, bins: int = 10, most_rmse: float = 1.0, most_area: float = 0.1, cluster: str = "KMeans") -> Applicability:
     """Grow the forest, calibrate its error bars on random folds, and find both thresholds on random folds and cluster folds.
 
     bandwidth is of the standardized features' kernel density. Rows that miss a feature or the target are left out.
