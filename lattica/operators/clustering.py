@@ -22,7 +22,7 @@ from .neighbours import _SLACK, Cells, _blocks, _frame, _routed, build, distance
 
 ship(__name__)
 
-_KEYS = ["cell", "block", "part"]
+_KEYS = ["grp", "block", "part"]
 
 
 def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
@@ -37,7 +37,7 @@ def _near(a: np.ndarray, b: np.ndarray, eps: float) -> np.ndarray:
 def _meet(points: DataFrame, others: DataFrame, cells: Cells, eps: float, work, schema: str) -> DataFrame:
     """What `work` makes of blocks of points (id, x, ...) and of others (id, x, cell, ...) that may be within eps."""
     asked = points.withColumn("bound", F.lit(None).cast("double"))
-    a, b = _blocks(_routed(asked, cells, lambda part, x: cells.open(x, np.full(len(x), eps))), others, cells)
+    a, b = _blocks(_routed(asked, cells, lambda part, x: (np.full(len(x), eps), True)), others, cells)
     return a.groupBy(*_KEYS).cogroup(b.groupBy(*_KEYS)).applyInPandas(work, schema)
 
 
@@ -93,7 +93,7 @@ def dbscan(df: DataFrame, row_id: str, features: list[str], eps: float, least: i
     kind = points.schema["id"].dataType.simpleString()
     if points.isEmpty():
         return points.select(F.col("id").alias(row_id), F.col("id").alias("cluster"), F.lit(False).alias("core"))
-    cells, dealt = build(points)
+    cells, dealt = build(points, alone=True)
 
     def count(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         x, y = _frame(left), _frame(right)
@@ -139,7 +139,7 @@ def spanning_forest(df: DataFrame, row_id: str, features: list[str]) -> DataFram
     empty = df.sparkSession.createDataFrame([], f"u {kind}, v {kind}, distance double")
     if points.isEmpty():
         return empty
-    cells, dealt = build(points)
+    cells, dealt = build(points, alone=True)
     # copies of a point are linked with the least one at once
     same = points.groupBy("x").agg(F.min("id").alias("least"))
     copies = points.join(same, "x").where("id <> least").select(F.col("least").alias("u"), F.col("id").alias("v"), F.lit(0.0).alias("distance"))
@@ -172,18 +172,18 @@ def spanning_forest(df: DataFrame, row_id: str, features: list[str]) -> DataFram
     best = lambda found: found.groupBy("g").agg(F.min(F.struct("d", "u", "v")).alias("e"))
     while groups.df.select("g").distinct().limit(2).count() > 1:
 
-        def home(part: pd.DataFrame, x: np.ndarray) -> np.ndarray:
+        def home(part: pd.DataFrame, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             out = np.zeros((len(x), len(cells.count) + 1), dtype=bool)
             out[np.arange(len(x)), cells.own(x)[0]] = True
-            return out
+            return np.full(len(x), np.inf), out
 
         first = best(search(_routed(points.withColumn("bound", F.lit(None).cast("double")), cells, home), groups.df))
         bounds = Kept(groups.df.join(first, "g", "left").select("id", F.col("e.d").alias("bound")), "bounds")
         asked = points.join(bounds.df, "id")
 
-        def rest(part: pd.DataFrame, x: np.ndarray) -> np.ndarray:
+        def rest(part: pd.DataFrame, x: np.ndarray) -> tuple[np.ndarray, bool]:
             bound = part["bound"].to_numpy(dtype=float)
-            return cells.open(x, np.where(np.isnan(bound), np.inf, bound + 1e-12))
+            return np.where(np.isnan(bound), np.inf, bound + 1e-12), True
 
         chosen = Kept(best(search(_routed(asked, cells, rest), groups.df)).select("g", "e.d", "e.u", "e.v"), "chosen")
         tree.append(Kept(chosen.df.select("u", "v", F.col("d").alias("distance")).distinct(), "tree"))
@@ -213,7 +213,7 @@ def single_link(df: DataFrame, row_id: str, features: list[str], n_clusters: int
         cut = edges.df.orderBy(F.desc("distance"), F.desc("u"), F.desc("v")).limit(n_clusters - 1)
         links = edges.df.join(F.broadcast(cut.select("u", "v")), ["u", "v"], "left_anti")  # n_clusters rows
     else:
-        cells, dealt = build(points)
+        cells, dealt = build(points, alone=True)
         links = linked(points, dealt, cells, distance)
     roots = components(links.select("u", "v"))
     return points.select("id").join(roots.withColumnRenamed("node", "id"), "id", "left").select(F.col("id").alias(row_id), F.coalesce("root", "id").alias("cluster"))

@@ -1,9 +1,10 @@
 """Exact nearest neighbours and kernel densities between tables of any size.
 
 Training rows are dealt to the Voronoi cells of a bounded set of pivots. What a cell can hold for a query follows
-from the triangle inequality, so a query is sent only to cells that may hold one of its neighbours: first to its own,
-whose result bounds the distance, then to what is left. Cells are cut into blocks of bounded size, each
-block keeps its own best, and the bests are merged by query. (Lu et al. 2012, for MapReduce.)
+from the triangle inequality, so a query is compared only with cells that may hold one of its neighbours: first near its
+own, whose result bounds the distance, then with what is left. Cells that are close travel as one group of bounded size, so
+that a query is copied once for each block of rows and not for each cell; each block keeps its own best, and the
+bests are merged by query. (Lu et al. 2012, for MapReduce.)
 """
 
 from __future__ import annotations
@@ -15,14 +16,18 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.functions.scratch import Kept
 from lattica.functions.workers import ship
 
 ship(__name__)
 
 #: Pivots at most: with their features, all that every task gets.
 PIVOTS = 1024
-#: Training rows and queries of a block.
-BLOCK, QUERIES = 4096, 4096
+#: Training rows and queries of a block at most, of up to WIDTH features; with more features blocks are smaller. Smaller
+#: tables are cut into SHARES, but not into blocks of fewer than LEAST rows.
+BLOCK, QUERIES, WIDTH, SHARES, LEAST = 32768, 32768, 64, 8, 4096
+#: Queries that are placed or compared at a time, and training rows that are.
+CHUNK, TILE = 256, 2048
 #: A kernel further away than so many bandwidths adds less than 1e-17 of its height.
 REACH = 9.0
 #: Room for the rounding of distances that come from products.
@@ -70,8 +75,8 @@ class Cells:
     taken on directions; rows without a direction are in cell -1, which is never ruled out.
     """
 
-    def __init__(self, pivots: np.ndarray, metric: str, p: float):
-        self.metric, self.p = metric, p
+    def __init__(self, pivots: np.ndarray, metric: str, p: float, alone: bool = False):
+        self.metric, self.p, self.alone = metric, p, alone
         self.pivots = self.placed(pivots)[0]
         self.count = np.zeros(len(pivots), dtype=np.int64)
         self.radius = np.zeros(len(pivots))
@@ -118,10 +123,39 @@ class Cells:
         out = np.take_along_axis(far, np.take_along_axis(order, first[:, None], 1), 1)[:, 0]
         return np.where((upto[:, -1] >= k) & there, out, np.inf)
 
+    def only(self, cells: np.ndarray) -> Cells:
+        """Some of the cells, in this order; cell -1 is left as it is."""
+        out = Cells.__new__(Cells)
+        out.metric, out.p, out.alone, out.loose = self.metric, self.p, self.alone, self.loose
+        out.pivots, out.count, out.radius = self.pivots[cells], self.count[cells], self.radius[cells]
+        return out
+
+    def most(self, rows: int) -> int:
+        """Rows of a block, of `rows` at most."""
+        return max(1, min(rows * WIDTH // max(self.pivots.shape[1], WIDTH), LEAST if self.alone else rows))
+
+    def grouped(self) -> np.ndarray:
+        """The group of each cell, of cell -1 last. A group's cells follow one another on a path of short steps and have a block's rows together, or it is one cell; so is every group if cells stay alone."""
+        if self.alone:
+            return np.arange(len(self.count) + 1)
+        size = min(self.most(BLOCK), max(LEAST, -(-int(self.count.sum()) // SHARES)))
+        d = self.to_pivots(self.pivots)
+        group, at, here, held = np.zeros(len(self.count) + 1, dtype=np.int64), 0, 0, 0
+        for _ in range(len(self.count)):
+            d[:, at] = np.inf
+            if held and held + self.count[at] > size:
+                here, held = here + 1, 0
+            group[at], held = here, held + self.count[at]
+            at = int(d[at].argmin())
+        group[-1] = here + 1
+        return group
+
     def table(self, spark: SparkSession) -> DataFrame:
-        """Rows (cell, n) of the cells that have training rows: PIVOTS and one at most."""
-        rows = [(int(i), int(n)) for i, n in enumerate(self.count) if n] + ([(-1, int(self.loose))] if self.loose else [])
-        return spark.createDataFrame(rows, "cell int, n bigint")
+        """Rows (cell, grp, n) of the cells that have training rows, n counting their group's: PIVOTS and one at most."""
+        group = self.grouped()
+        n = np.bincount(group, np.append(self.count, self.loose)).astype(np.int64)
+        rows = [(int(i), int(group[i]), int(n[group[i]])) for i, c in enumerate(self.count) if c] + ([(-1, int(group[-1]), int(self.loose))] if self.loose else [])
+        return spark.createDataFrame(rows, "cell int, grp bigint, n bigint")
 
 
 def _frame(pdf: pd.DataFrame) -> np.ndarray:
@@ -135,15 +169,15 @@ def packed(df: DataFrame, row_id: str, features: list[str], *more: str) -> DataF
     return values.where(complete).select("id", F.array(*features).alias("x"), *[F.col(f"__{i}").alias(c) for i, c in enumerate(more)])
 
 
-def build(train: DataFrame, metric: str = "euclidean", p: float = 3.0) -> tuple[Cells, DataFrame]:
-    """Cells of training rows (id, x, ...), and the rows with their cell.
+def build(train: DataFrame, metric: str = "euclidean", p: float = 3.0, alone: bool = False) -> tuple[Cells, DataFrame]:
+    """Cells of training rows (id, x, ...), and the rows with their cell. alone: cells don't travel in groups.
 
     The square root of the count of the rows, up to PIVOTS, are pivots: those with the least hashes.
     Pivots and a count and a radius for each come to the driver, whatever the number of rows.
     """
     n = train.count()
     chosen = train.select("x").orderBy(F.xxhash64("id", "x"), "x").limit(int(min(PIVOTS, max(1, n**0.5)))).collect()
-    cells = Cells(np.array([r.x for r in chosen], dtype=float).reshape(len(chosen), -1), metric, p)
+    cells = Cells(np.array([r.x for r in chosen], dtype=float).reshape(len(chosen), -1), metric, p, alone)
     cells.pivots, there = cells.placed(cells.pivots)
     cells.pivots = np.unique(cells.pivots[there], axis=0)
     cells.count, cells.radius = np.zeros(len(cells.pivots), dtype=np.int64), np.zeros(len(cells.pivots))
@@ -156,7 +190,7 @@ def build(train: DataFrame, metric: str = "euclidean", p: float = 3.0) -> tuple[
             cell, d = cells.own(_frame(pdf)) if len(pdf) else (np.zeros(0, dtype=int), np.zeros(0))
             yield pdf.assign(cell=cell, d=d)
 
-    dealt = train.mapInPandas(place, f"{fields}, cell int, d double")
+    dealt = Kept(train.mapInPandas(place, f"{fields}, cell int, d double"), "cells").df
     for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("d").alias("d")).collect():
         if r.cell < 0:
             cells.loose = r.n
@@ -165,62 +199,95 @@ def build(train: DataFrame, metric: str = "euclidean", p: float = 3.0) -> tuple[
     return cells, dealt.drop("d")
 
 
-def _routed(queries: DataFrame, cells: Cells, choose: Callable[[pd.DataFrame, np.ndarray], np.ndarray]) -> DataFrame:
-    """Queries (id, x, bound) by the cells that `choose` opens to them, -1 as cell -1."""
-    kind = queries.schema["id"].dataType.simpleString()
+def _routed(queries: DataFrame, cells: Cells, choose: Callable[[pd.DataFrame, np.ndarray], tuple[np.ndarray, np.ndarray | bool]]) -> DataFrame:
+    """Queries (id, x, bound, reach) by groups of cells.
+
+    choose: gives a reach for each query, within which rows count, and a mask of the groups in question (True: all);
+    of these, a query goes to those with a cell that is open within the reach.
+    """
+    kind, group = queries.schema["id"].dataType.simpleString(), cells.grouped()
+    order = np.argsort(group, kind="stable")
+    starts = np.searchsorted(group[order], np.arange(group[-1] + 1))
 
     def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            for at in range(0, len(pdf), QUERIES):
-                part = pdf.iloc[at : at + QUERIES]
-                row, cell = np.nonzero(choose(part, _frame(part)))
-                if not len(row):
-                    continue
-                yield pd.DataFrame({"id": part["id"].to_numpy()[row], "x": part["x"].to_numpy()[row], "bound": part["bound"].to_numpy(dtype=float)[row], "cell": np.where(cell == len(cells.count), -1, cell)})
+            for at in range(0, len(pdf), CHUNK):
+                part = pdf.iloc[at : at + CHUNK]
+                x = _frame(part)
+                reach, asked = choose(part, x)
+                row, grp = np.nonzero(np.logical_or.reduceat(cells.open(x, reach)[:, order], starts, axis=1) & asked)
+                ids, at_x, bound = part["id"].to_numpy(), part["x"].to_numpy(), part["bound"].to_numpy(dtype=float)
+                for i in range(0, len(row), LEAST):  # a query may be open to many groups
+                    r = row[i : i + LEAST]
+                    yield pd.DataFrame({"id": ids[r], "x": at_x[r], "bound": bound[r], "reach": reach[r], "grp": grp[i : i + LEAST]})
 
-    return queries.mapInPandas(route, f"id {kind}, x array<double>, bound double, cell int")
+    return queries.mapInPandas(route, f"id {kind}, x array<double>, bound double, reach double, grp bigint")
 
 
 def _blocks(routed: DataFrame, dealt: DataFrame, cells: Cells) -> tuple[DataFrame, DataFrame]:
-    """Both sides by (cell, block, part): a cell's training rows in blocks, its queries in parts, each pair of them in one place."""
-    asked = routed.groupBy("cell").agg(F.count("*").alias("asked"))
+    """Both sides by (grp, block, part): a group's training rows in blocks, its queries in parts, each pair of them in one place."""
     held = cells.table(routed.sparkSession)
-    sizes = F.broadcast(held.join(asked, "cell").select("cell", F.ceil(F.col("n") / BLOCK).alias("blocks"), F.ceil(F.col("asked") / QUERIES).alias("parts")))  # PIVOTS rows at most
+    counts = routed.groupBy("grp").agg(F.count("*").alias("asked"))
+    part = F.least(F.lit(cells.most(QUERIES)), F.greatest(F.lit(LEAST), F.ceil(F.col("asked") / SHARES)))
+    sizes = held.join(counts, "grp").select("cell", "grp", F.ceil(F.col("n") / cells.most(BLOCK)).alias("blocks"), F.ceil(F.col("asked") / part).alias("parts"))
+    groups = sizes.select("grp", "blocks", "parts").distinct()
     upto = lambda c: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(c) - 1))
     spread = lambda c: F.pmod(F.xxhash64("id", "x"), F.col(c))
-    a = routed.join(sizes, "cell").select("id", "x", "bound", "cell", upto("blocks").alias("block"), spread("parts").alias("part"))
-    b = dealt.join(sizes, "cell").select(*[c for c in dealt.columns if c != "cell"], "cell", spread("blocks").alias("block"), upto("parts").alias("part"))
+    # as many rows as cells at most, PIVOTS and one
+    a = routed.join(F.broadcast(groups), "grp").select("id", "x", "bound", "reach", "grp", upto("blocks").alias("block"), spread("parts").alias("part"))
+    b = dealt.join(F.broadcast(sizes), "cell").select(*dealt.columns, "grp", spread("blocks").alias("block"), upto("parts").alias("part"))
     return a, b
 
 
+def _chunks(left: pd.DataFrame, right: pd.DataFrame, cells: Cells) -> Iterator[tuple[pd.DataFrame, np.ndarray, np.ndarray]]:
+    """Parts of the queries, those of one cell together, with their places and the numbers of the rows in cells that are open to one of them."""
+    own = right["cell"].to_numpy()
+    held = np.unique(own[own >= 0])
+    some = cells.only(held)
+    x, reach = _frame(left), left["reach"].to_numpy(dtype=float)
+    nearest = np.zeros(len(x), dtype=np.int64)
+    if len(held) > 1:
+        for at in range(0, len(x), CHUNK):
+            nearest[at : at + CHUNK] = some.to_pivots(some.placed(x[at : at + CHUNK])[0]).argmin(1)
+    order = np.argsort(nearest, kind="stable")
+    column = np.where(own >= 0, np.searchsorted(held, own), len(held))
+    for at in range(0, len(x), CHUNK):
+        i = order[at : at + CHUNK]
+        seen = some.open(x[i], reach[i]).any(0)[column]
+        if seen.any():
+            yield left.iloc[i], x[i], np.nonzero(seen)[0]
+
+
 def _search(routed: DataFrame, dealt: DataFrame, cells: Cells, k: int, skip_self: bool) -> DataFrame:
     """Rows (id, neighbour, distance, y): of every block, the k nearest within its bound of each query that it is sent."""
     kind, metric, p = routed.schema["id"].dataType.simpleString(), cells.metric, cells.p
 
     def best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids, y, b = right["id"].to_numpy(), right["y"].to_numpy(dtype=float), _frame(right)
-        rank = np.unique(ids, return_inverse=True)[1] if len(ids) else np.zeros(0, dtype=int)
         found = []
-        for at in range(0, len(left) if len(ids) else 0, 256):
-            part = left.iloc[at : at + 256]
-            a, own = _frame(part), part["id"].to_numpy()
-            d = distances(a, b, metric, p)
-            if skip_self:
-                d[own[:, None] == ids[None, :]] = np.inf
-            limit = np.fmin(np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1], part["bound"].to_numpy(dtype=float))
-            # all that may be among the k nearest, then their distances without the rounding of products
-            room = _SLACK * (1 + np.where(np.isfinite(limit), limit, 0) + np.linalg.norm(a, axis=1) + np.linalg.norm(b, axis=1).max())
-            i, j = np.nonzero((d <= (limit + room)[:, None]) & np.isfinite(d))
-            exact = np.round(paired(a[i], b[j], metric, p), 12)
-            order = np.lexsort((rank[j], exact, i))
-            i, j, exact = i[order], j[order], exact[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            keep = place < k
-            found.append(pd.DataFrame({"id": own[i[keep]], "neighbour": ids[j[keep]], "distance": exact[keep], "y": y[j[keep]]}))
+        if len(left) and len(right):
+            every, ys, rows = right["id"].to_numpy(), right["y"].to_numpy(dtype=float), _frame(right)
+            ranks = np.unique(every, return_inverse=True)[1]
+            for part, a, seen in _chunks(left, right, cells):
+                whole = len(seen) == len(every)
+                ids, y, b, rank = (every, ys, rows, ranks) if whole else (every[seen], ys[seen], rows[seen], ranks[seen])
+                own = part["id"].to_numpy()
+                d = distances(a, b, metric, p)
+                if skip_self:
+                    d[own[:, None] == ids[None, :]] = np.inf
+                limit = np.fmin(np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1], part["bound"].to_numpy(dtype=float))
+                # all that may be among the k nearest, then their distances without the rounding of products
+                room = _SLACK * (1 + np.where(np.isfinite(limit), limit, 0) + np.linalg.norm(a, axis=1) + np.linalg.norm(b, axis=1).max())
+                i, j = np.nonzero((d <= (limit + room)[:, None]) & np.isfinite(d))
+                exact = np.round(paired(a[i], b[j], metric, p), 12)
+                order = np.lexsort((rank[j], exact, i))
+                i, j, exact = i[order], j[order], exact[order]
+                place = np.arange(len(i)) - np.searchsorted(i, i)
+                keep = place < k
+                found.append(pd.DataFrame({"id": own[i[keep]], "neighbour": ids[j[keep]], "distance": exact[keep], "y": y[j[keep]]}))
         return pd.concat(found) if found else pd.DataFrame({"id": left["id"].iloc[:0], "neighbour": left["id"].iloc[:0], "distance": pd.Series(dtype=float), "y": pd.Series(dtype=float)})
 
     a, b = _blocks(routed, dealt, cells)
-    keys = ["cell", "block", "part"]
+    keys = ["grp", "block", "part"]
     return a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(best, f"id {kind}, neighbour {kind}, distance double, y double")
 
 
@@ -245,23 +312,26 @@ def nearest(test: DataFrame, train: DataFrame, row_id: str, features: list[str],
         return queries.limit(0).select(F.col("id").alias(row_id), F.col("id").alias("neighbour"), F.lit(0).cast("bigint").alias("place"), F.lit(0.0).alias("distance"), F.lit(0.0).alias("y"))
     cells, dealt = build(rows, metric, p)
 
-    def home(part: pd.DataFrame, x: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), len(cells.count) + 1), dtype=bool)
+    group = cells.grouped()
+
+    def home(x: np.ndarray) -> np.ndarray:
+        """The group of each row's own cell, as a mask; none for rows without a place."""
+        out = np.zeros((len(x), group[-1] + 1), dtype=bool)
         at, there = cells.placed(x)
         d = cells.to_pivots(at)
         d[:, cells.count == 0] = np.inf
-        out[np.arange(len(x)), d.argmin(1)] = there & (cells.count.max() > 0)
+        out[np.arange(len(x)), group[d.argmin(1)]] = there & (cells.count.max() > 0)
         return out
 
-    first = _merged(_search(_routed(queries, cells, home), dealt, cells, k, skip_self), k)
-    # what the own cell has bounds the distance; a query that it gives no k rows is bounded by the cells' counts
+    upto = lambda x: cells.reach(x, k + int(skip_self))
+    first = Kept(_merged(_search(_routed(queries, cells, lambda part, x: (upto(x), home(x))), dealt, cells, k, skip_self), k), "first").df
+    # what the own group has bounds the distance; a query that it gives no k rows is bounded by the cells' counts
     bound = first.select("id", F.when(F.size("best") >= k, F.element_at("best", -1)["distance"]).alias("bound"))
     asked = queries.drop("bound").join(bound, "id", "left")
 
-    def rest(part: pd.DataFrame, x: np.ndarray) -> np.ndarray:
+    def rest(part: pd.DataFrame, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         known = cells.in_space(part["bound"].to_numpy(dtype=float) + 1e-12)
-        reach = np.fmin(known, cells.reach(x, k + int(skip_self)))
-        return cells.open(x, reach) & ~home(part, x)
+        return np.fmin(known, upto(x)), ~home(x)
 
     more = _search(_routed(asked, cells, rest), dealt, cells, k, skip_self)
     again = first.select("id", F.inline("best")).select("id", "neighbour", "distance", "y")
@@ -269,27 +339,51 @@ def nearest(test: DataFrame, train: DataFrame, row_id: str, features: list[str],
     return out.select(F.col("id").cast(kind).alias(row_id), "b.neighbour", F.col("place").cast("bigint").alias("place"), "b.distance", "b.y")
 
 
+def _points(rows: DataFrame) -> DataFrame:
+    """Rows (id, x, weight): the distinct places of rows (x) with their numbers of rows."""
+    return Kept(rows.groupBy("x").agg(F.count("*").cast("double").alias("weight")).select(F.monotonically_increasing_id().alias("id"), "x", "weight"), "points").df
+
+
 def density(test: DataFrame, train: DataFrame, row_id: str, features: list[str], bandwidth: float = 1.0) -> DataFrame:
     """Rows (row_id, density): the mean of Gaussian kernels of the training rows at each test row.
 
-    Cells beyond REACH bandwidths are left out, which changes the mean by less than 1e-17. Rows with a
+    Rows in one place are one point with a weight, so the work is that of the pairs of distinct points. Cells
+    beyond REACH bandwidths are left out, which changes the mean by less than 1e-17. Rows with a
     missing feature take no part; without training rows the density is null.
     """
-    queries, rows = packed(test, row_id, features).withColumn("bound", F.lit(None).cast("double")), packed(train, row_id, features)
+    queries, rows = packed(test, row_id, features), packed(train, row_id, features)
     if rows.isEmpty():
         return queries.select(F.col("id").alias(row_id), F.lit(None).cast("double").alias("density"))
-    cells, dealt = build(rows)
-    kind, n = queries.schema["id"].dataType.simpleString(), int(cells.count.sum())
+    points = _points(rows)
+    cells, dealt = build(points)
+    asked, n = _points(queries), points.agg(F.sum("weight")).first()[0]
+    scale = 1 / (2 * bandwidth**2)
 
     def kernels(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        b, sums = _frame(right), []
-        for at in range(0, len(left) if len(right) else 0, 256):
-            sums.append(np.exp(-(distances(_frame(left.iloc[at : at + 256]), b) ** 2) / (2 * bandwidth**2)).sum(1))
-        return pd.DataFrame({"id": left["id"] if sums else left["id"].iloc[:0], "part": np.concatenate(sums) if sums else pd.Series(dtype=float)})
-
-    near = lambda part, x: cells.open(x, np.full(len(x), REACH * bandwidth))
-    a, b = _blocks(_routed(queries, cells, near), dealt, cells)
-    keys = ["cell", "block", "part"]
-    summed = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(kernels, f"id {kind}, part double").groupBy("id").agg(F.sum("part").alias("part"))
-    both = queries.select("id").join(summed, "id", "left")
-    return both.select(F.col("id").alias(row_id), (F.coalesce("part", F.lit(0.0)) / n).alias("density"))
+        ids, sums = [left["id"].to_numpy()[:0]], [np.zeros(0)]
+        if len(left) and len(right):
+            rows, weight = _frame(right), right["weight"].to_numpy(dtype=float)
+            for part, a, seen in _chunks(left, right, cells):
+                b, w = (rows, weight) if len(seen) == len(rows) else (rows[seen], weight[seen])
+                own, out = (a * a).sum(1)[:, None], np.zeros(len(a))
+                for at in range(0, len(b), TILE):
+                    tile = b[at : at + TILE]
+                    d = a @ tile.T
+                    d *= -2
+                    d += own
+                    d += (tile * tile).sum(1)
+                    np.maximum(d, 0, out=d)
+                    d *= -scale
+                    np.exp(d, out=d)
+                    out += d @ w[at : at + TILE]
+                ids.append(part["id"].to_numpy())
+                sums.append(out)
+        return pd.DataFrame({"id": np.concatenate(ids), "part": np.concatenate(sums)})
+
+    near = lambda part, x: (np.full(len(x), REACH * bandwidth), True)
+    routed = _routed(asked.select("id", "x", F.lit(None).cast("double").alias("bound")), cells, near)
+    a, b = _blocks(routed, dealt, cells)
+    keys = ["grp", "block", "part"]
+    summed = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(kernels, "id bigint, part double").groupBy("id").agg(F.sum("part").alias("part"))
+    found = asked.join(summed, "id", "left").select("x", (F.coalesce("part", F.lit(0.0)) / n).alias("density"))
+    return queries.select("id", "x").join(found, "x").select(F.col("id").alias(row_id), "density")

@@ -100,3 +100,28 @@ def test_300_000_training_rows(spark):
     x = np.array([r.x for r in neighbours.packed(test, "id", names).collect()])
     searched = (cells.open(x, cells.reach(x, 3)) * np.append(cells.count, cells.loose)).sum() / (n * len(x))
     assert searched < 0.1
+
+
+def test_queries_are_copied_for_blocks_and_not_for_cells(spark):
+    """Where no cell can be ruled out, a query is sent to each group of cells once, in frames of bounded size."""
+    n = 3000
+    data = spark.range(n).select("id", *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000.0).alias(f"f{i}") for i in range(16)])
+    rows = neighbours.packed(data, "id", [f"f{i}" for i in range(16)])
+    cells, dealt = neighbours.build(rows)
+    routed = neighbours._routed(rows.withColumn("bound", F.lit(None).cast("double")), cells, lambda part, x: (np.full(len(x), 9.0), True))
+    assert (cells.count > 0).sum() > 40 and routed.count() == n
+    a, b = neighbours._blocks(routed, dealt, cells)
+    assert a.count() == n and b.count() == n
+
+
+def test_density_counts_copies_once(spark):
+    """60,000 rows in 50 places: as many points meet, with weights."""
+    n = 60_000
+    df = spark.range(n).select("id", (F.col("id") % 50).cast("double").alias("f"), (F.col("id") % 5 * 7).cast("double").alias("g"))
+    points = neighbours._points(neighbours.packed(df, "id", ["f", "g"]))
+    places = points.collect()
+    assert len(places) == 50 and sum(r.weight for r in places) == n
+    x = np.array([r.x for r in places])
+    want = (np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 2) * [r.weight for r in places]).sum(1) / n
+    got = {(r.f, r.g): r.density for r in neighbours.density(df, df, "id", ["f", "g"]).join(df, "id").groupBy("f", "g").agg(F.max("density").alias("density")).collect()}
+    assert np.allclose([got[tuple(p)] for p in x], want, rtol=1e-12)
