@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import cleaning
+from lattica.operators import cleaning, neighbours
 from lattica.plans import applicability, dataset
 
 
@@ -45,3 +45,13 @@ def test_far_rows_are_outside(spark):
     assert got[1].domain_residual == 1 and got[2].domain_residual == -1
     bins = fitted.bins.orderBy("bin").collect()
     assert sum(b.n for b in bins) == 600 and all(b.inside_error in (0, 1) for b in bins)
+
+
+def test_densities_are_of_places(spark, monkeypatch):
+    """Densities of training rows among themselves grow with the distinct rows of the features and not with the square of the table."""
+    sizes, build = [], neighbours.build
+    monkeypatch.setattr(neighbours, "build", lambda train, *a, **k: (sizes.append(train.count()), build(train, *a, **k))[1])
+    df = spark.range(900).select("id", (F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 4).cast("double").alias("b"), (F.pmod(F.xxhash64("id"), F.lit(100)) / 10).alias("y"))
+    data = dataset.load(df, "id", features=["a", "b"], target="y")
+    fitted = applicability.fit(data, k=2, n_clusters=(2,), n_trees=2, depth=2, bins=2)
+    assert fitted.predict(df).count() == 900 and sizes and max(sizes) <= 20
