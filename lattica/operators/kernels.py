@@ -25,6 +25,8 @@ ship(__name__)
 
 #: Landmarks if none are asked for, and the least noise.
 LANDMARKS, LEAST = 256, 1e-10
+#: Distinct rows of the features, for each fold, up to which each is worked on once and joined back by a broadcast.
+PLACES = 50_000
 #: What a landmark adds must be at least this share of the largest direction.
 _RANK = 1e-12
 
@@ -104,15 +106,22 @@ class Features:
     def __call__(self, x: np.ndarray) -> np.ndarray:
         return self.kernel.cross(x, self.landmarks) @ self.root
 
-    def products(self, x: np.ndarray, y: np.ndarray, alpha: float) -> np.ndarray:
-        """Weighted sums of products of (phi, y, 1), and a last row of plain sums: rows, y, log weights."""
+    def products(self, x: np.ndarray, y: np.ndarray, alpha: float, n: np.ndarray | None = None, yy: np.ndarray | None = None) -> np.ndarray:
+        """Weighted sums of products of (phi, y, 1), and a last row of plain sums: rows, y, log weights.
+
+        n: how many rows each row of x stands for; y and yy are the sums of their values and squares then.
+        """
+        n, yy = np.ones(len(x)) if n is None else n, y * y if yy is None else yy
         weight = 1 / (alpha + self.kernel.noise(x))
-        columns = np.column_stack([self(x), y, np.ones(len(x))])
-        last = np.zeros(columns.shape[1])
-        last = np.append(last, np.zeros(max(0, 3 - len(last))))[: max(3, len(last))]
-        last[:3] = len(x), y.sum(), np.log(weight).sum()
-        m = (columns * weight[:, None]).T @ columns
-        return np.vstack([np.pad(m, ((0, 0), (0, len(last) - m.shape[1]))), last])
+        columns = np.column_stack([self(x), np.ones(len(x))])
+        rank = columns.shape[1] - 1
+        m = np.zeros((rank + 3, max(3, rank + 2)))
+        at = np.append(np.arange(rank), rank + 1)
+        m[np.ix_(at, at)] = (columns * (weight * n)[:, None]).T @ columns
+        m[at, rank] = m[rank, at] = columns.T @ (weight * y)
+        m[rank, rank] = weight @ yy
+        m[-1, :3] = n.sum(), y.sum(), n @ np.log(weight)
+        return m
 
 
 class Model:
@@ -147,16 +156,29 @@ def _packed(df: DataFrame, features: list[str], **more: str) -> DataFrame:
     return finite(df, features).select(array_of(features).alias("x"), *[F.col(c).alias(name) for name, c in more.items()])
 
 
+def few_places(df: DataFrame, features: list[str]) -> bool:
+    """Whether the features have few distinct rows, by an approximate count."""
+    return _packed(df, features).agg(F.approx_count_distinct(F.xxhash64("x"))).first()[0] <= PLACES
+
+
 def sums_by(df: DataFrame, features: list[str], target: str, fold: str, maps: list[Features], alpha: float) -> list[dict]:
-    """For each feature map {fold: sums}, from one scan of the data. Rows without a fold, feature or target are left out."""
+    """For each feature map {fold: sums}, from one scan of the data. Rows without a fold, feature or target are left out.
+
+    Where the features have few distinct rows, those are summed up first.
+    """
     rows = _packed(finite(df, [target]), features, y=target, fold=fold).where("fold is not null").withColumn("y", F.col("y").cast("double")).withColumn("fold", F.col("fold").cast("string"))
+    if few_places(df, features):
+        rows = rows.groupBy("fold", "x").agg(F.count("*").cast("double").alias("n"), F.sum("y").alias("y"), F.sum(F.col("y") * F.col("y")).alias("yy"))
+    else:
+        rows = rows.select("fold", "x", F.lit(1.0).alias("n"), "y", (F.col("y") * F.col("y")).alias("yy"))
 
     def parts(pdf: pd.DataFrame) -> Iterator[tuple[str, np.ndarray]]:
-        x, y, folds = np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy(dtype=float), pdf["fold"].to_numpy()
+        x, folds = np.stack(pdf["x"].to_numpy()).astype(float), pdf["fold"].to_numpy()
+        n, y, yy = (pdf[c].to_numpy(dtype=float) for c in ("n", "y", "yy"))
         for k in np.unique(folds.astype(str)):
             own = folds == k
             for i, m in enumerate(maps):
-                products = m.products(x[own], y[own], alpha)
+                products = m.products(x[own], y[own], alpha, n[own], yy[own])
                 yield f"{i}|{k}", np.pad(products, ((0, 0), (0, width - products.shape[1])))
 
     width = max(max(3, m.root.shape[1] + 2) for m in maps)
@@ -182,8 +204,15 @@ def fit(train: DataFrame, features: list[str], target: str, kernel: str = "RBF",
     return max(models, key=lambda m: m.log_likelihood)
 
 
-def _predicted(rows: DataFrame, models: dict, names: dict[str, str]) -> DataFrame:
-    """Rows (names..., y_pred, y_err) of rows (x, fold, names...), by the model of their fold."""
+def _predicted(rows: DataFrame, models: dict, names: dict[str, str], few: bool) -> DataFrame:
+    """Rows (names..., y_pred, y_err) of rows (x, fold, names...), by the model of their fold.
+
+    few: the features have few distinct rows; each of them is predicted once for a fold.
+    """
+    if few:
+        places = rows.select(F.col("x").alias("__x"), F.col("fold").alias("__k")).distinct().select("__x", "__k", F.col("__x").alias("x"), F.col("__k").alias("fold"))
+        found = F.broadcast(_predicted(places, models, {"__x": "x", "__k": "fold"}, False))  # PLACES rows a fold, about
+        return rows.join(found, ["x", "fold"], "left").select(*[F.col(n).alias(c) for n, c in names.items()], "y_pred", "y_err")
     kinds = dict(rows.dtypes)
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,7 +231,7 @@ def _predicted(rows: DataFrame, models: dict, names: dict[str, str]) -> DataFram
 
 def predict(df: DataFrame, model: Model, row_id: str, features: list[str]) -> DataFrame:
     """Rows (row_id, y_pred, y_err) of the rows that miss no feature."""
-    return _predicted(_packed(df, features, __r=row_id).withColumn("fold", F.lit("all")), {"all": model}, {"__r": row_id})
+    return _predicted(_packed(df, features, __r=row_id).withColumn("fold", F.lit("all")), {"all": model}, {"__r": row_id}, few_places(df, features))
 
 
 def cross_validated(df: DataFrame, row_id: str, features: list[str], target: str, fold: str, kernel: str = "RBF", alpha: float = LEAST, most: int = LANDMARKS, length: float = 1.0, centre: bool = True) -> DataFrame:
@@ -218,7 +247,7 @@ def cross_validated(df: DataFrame, row_id: str, features: list[str], target: str
     rows = _packed(df, features, __r=row_id, __f=fold).withColumn("fold", F.col("__f").cast("string"))
     ids = [r[0] for r in df.select(F.col(fold).cast("string")).distinct().collect() if r[0] is not None]  # as many as folds
     models = {k: Model(maps[0], total - sums[k] if k in sums else total, centre) for k in ids if total is not None and total[-1, 0] > (sums[k][-1, 0] if k in sums else 0)}
-    return _predicted(rows, models, {"__f": fold, "__r": row_id})
+    return _predicted(rows, models, {"__f": fold, "__r": row_id}, few_places(df, features))
 
 
 def kernel_ridge(df: DataFrame, row_id: str, features: list[str], target: str, fold: str, gamma: float = 1.0, alpha: float = 1.0, most: int = LANDMARKS) -> DataFrame:

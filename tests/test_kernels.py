@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lattica.operators import kernels
 
@@ -78,3 +79,27 @@ def test_no_rows(spark):
     assert kernels.cross_validated(none, "id", ["a"], "y", "fold").collect() == []
     with pytest.raises(ValueError):
         kernels.fit(none, ["a"], "y")
+
+
+def test_few_places_are_worked_on_once(spark, monkeypatch):
+    """20,000 rows in 30 places: sums and predictions are those of the places, and equal those of all rows."""
+    df = spark.range(20_000).select("id", (F.col("id") % 6 / 2).alias("a"), (F.col("id") % 5 * 1.0).alias("b"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 100).alias("y"), F.pmod(F.xxhash64("id", F.lit(1)), F.lit(3)).cast("int").alias("fold"))
+    df = df.withColumn("y", F.when(F.col("id") % 97 != 0, F.col("y"))).withColumn("a", F.when(F.col("id") % 89 != 0, F.col("a"))).withColumn("fold", F.when(F.col("id") % 83 != 0, F.col("fold")))
+    seen, whole = spark.sparkContext.accumulator(0), kernels.Features.__call__
+
+    def counted(self, x):
+        seen.add(len(x))
+        return whole(self, x)
+
+    run = lambda: {r.id: r for r in kernels.cross_validated(df, "id", ["a", "b"], "y", "fold", "RBF+WhiteKernel", most=20).collect()}
+    monkeypatch.setattr(kernels.Features, "__call__", counted)
+    few = run()
+    assert 0 < seen.value <= 30 * 3 * 2
+    monkeypatch.setattr(kernels.Features, "__call__", whole)
+    monkeypatch.setattr(kernels, "PLACES", 0)
+    every = run()
+    assert few.keys() == every.keys() and len(few) == df.where("a is not null").count()
+    for k, r in every.items():
+        got = few[k]
+        assert got.fold == r.fold and (got.y_pred is None) == (r.y_pred is None) == (r.fold is None)
+        assert r.y_pred is None or (abs(got.y_pred - r.y_pred) < 1e-9 and abs(got.y_err - r.y_err) < 1e-9)
