@@ -125,3 +125,16 @@ def test_density_counts_copies_once(spark):
     want = (np.exp(-((x[:, None] - x[None]) ** 2).sum(2) / 2) * [r.weight for r in places]).sum(1) / n
     got = {(r.f, r.g): r.density for r in neighbours.density(df, df, "id", ["f", "g"]).join(df, "id").groupBy("f", "g").agg(F.max("density").alias("density")).collect()}
     assert np.allclose([got[tuple(p)] for p in x], want, rtol=1e-12)
+
+
+def _copies(spark, monkeypatch, run):
+    """How often the searches of `run` send a query on, where no cell can be ruled out."""
+    sent, routed = [], neighbours._routed
+    monkeypatch.setattr(neighbours, "_routed", lambda *a: (sent.append(routed(*a).count()), routed(*a))[1])
+    data = spark.range(3000).select("id", *[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(1000)) / 1000.0).alias(f"f{i}") for i in range(16)], (F.col("id") % 7).cast("double").alias("y"))
+    rows = run(data.where("id % 5 = 0"), data.where("id % 5 <> 0"), [f"f{i}" for i in range(16)]).count()
+    return rows, sum(sent)
+
+
+def test_neighbours_send_a_query_once_for_a_block(spark, monkeypatch):
+    assert _copies(spark, monkeypatch, lambda test, train, names: neighbours.nearest(test, train, "id", names, "y", 5)) == (3000, 600)
