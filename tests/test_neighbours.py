@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import neighbours
+from lattica.operators import baselines, neighbours
 
 
 def table(spark, x, start=0, y=True):
@@ -138,3 +138,7 @@ def _copies(spark, monkeypatch, run):
 
 def test_neighbours_send_a_query_once_for_a_block(spark, monkeypatch):
     assert _copies(spark, monkeypatch, lambda test, train, names: neighbours.nearest(test, train, "id", names, "y", 5)) == (3000, 600)
+
+
+def test_nearest_baseline_sends_a_query_once_for_a_block(spark, monkeypatch):
+    assert _copies(spark, monkeypatch, lambda test, train, names: baselines.nearest(test, train, "id", names, "y")) == (600, 600)
