@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lattica.llm import centroids, chat, secrets, spelling
+from lattica.llm import centroids, chat, line_dedup, secrets, spelling
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -240,3 +240,14 @@ def test_secrets_among_labelled_tokens(spark):
     found = {x.doc_id for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).where("n_random > 0").collect()}
     hits = sum(secret for i, (_, secret) in enumerate(tokens) if i in found)
     assert hits / 500 >= 0.9 and hits / len([i for i in found if i < 1000]) >= 0.9
+
+
+def test_gaps_longer_than_an_edit_may_be(spark):
+    """Lines that share long words in order, with gaps between them just within and just beyond the edits allowed."""
+    keep, rows = "alphabetical conversation", []
+    for k, n in enumerate(range(4, 40)):
+        a, b = "".join(chr(97 + (i * 7 + k) % 13) for i in range(n)), "".join(chr(110 + (i * 5 + k) % 13) for i in range(n + k % 3))
+        rows.append((k, f"{keep} {a} x {keep[::-1]} {'padding ' * 4}end", f"{keep} {b} {keep[::-1]} {'padding ' * 4}end"))
+    df = spark.createDataFrame(rows, "u long, a string, b string")
+    want = {r.u for r in df.where(1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b")) >= line_dedup.SIMILARITY - 1e-12).collect()}
+    assert {r.u for r in line_dedup.edit_similar(df, "a", "b").collect()} == want and 5 < len(want) < 31
