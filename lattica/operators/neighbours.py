@@ -355,17 +355,28 @@ def density(test: DataFrame, train: DataFrame, row_id: str, features: list[str],
     if rows.isEmpty():
         return queries.select(F.col("id").alias(row_id), F.lit(None).cast("double").alias("density"))
     points = _points(rows)
-    cells, dealt = build(points)
     asked, n = _points(queries), points.agg(F.sum("weight")).first()[0]
+    summed = kernel_sums(asked, points.select("id", "x", F.array("weight").alias("weights")), 1, bandwidth)
+    found = asked.join(summed, "id", "left").select("x", (F.coalesce(F.get("sums", F.lit(0)), F.lit(0.0)) / n).alias("density"))
+    return queries.select("id", "x").join(found, "x").select(F.col("id").alias(row_id), "density")
+
+
+def kernel_sums(asked: DataFrame, points: DataFrame, n: int, bandwidth: float = 1.0) -> DataFrame:
+    """Rows (id, sums): for each of n weights, the weighted sum of Gaussian kernels of points (id, x, weights) at each row (id, x) of asked.
+
+    Kernels are measured once for all weights. Rows without a point near them may be missing; their sums are 0.
+    """
+    cells, dealt = build(points)
     scale = 1 / (2 * bandwidth**2)
+    names = [f"part{i}" for i in range(n)]
 
     def kernels(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        ids, sums = [left["id"].to_numpy()[:0]], [np.zeros(0)]
+        ids, sums = [left["id"].to_numpy()[:0]], [np.zeros((0, n))]
         if len(left) and len(right):
-            rows, weight = _frame(right), right["weight"].to_numpy(dtype=float)
+            rows, weight = _frame(right), np.stack(right["weights"].to_numpy()).astype(float)
             for part, a, seen in _chunks(left, right, cells):
                 b, w = (rows, weight) if len(seen) == len(rows) else (rows[seen], weight[seen])
-                own, out = (a * a).sum(1)[:, None], np.zeros(len(a))
+                own, out = (a * a).sum(1)[:, None], np.zeros((len(a), n))
                 for at in range(0, len(b), TILE):
                     tile = b[at : at + TILE]
                     d = a @ tile.T
@@ -378,12 +389,11 @@ def density(test: DataFrame, train: DataFrame, row_id: str, features: list[str],
                     out += d @ w[at : at + TILE]
                 ids.append(part["id"].to_numpy())
                 sums.append(out)
-        return pd.DataFrame({"id": np.concatenate(ids), "part": np.concatenate(sums)})
+        return pd.DataFrame(np.concatenate(sums), columns=names).assign(id=np.concatenate(ids))[["id", *names]]
 
     near = lambda part, x: (np.full(len(x), REACH * bandwidth), True)
     routed = _routed(asked.select("id", "x", F.lit(None).cast("double").alias("bound")), cells, near)
     a, b = _blocks(routed, dealt, cells)
     keys = ["grp", "block", "part"]
-    summed = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(kernels, "id bigint, part double").groupBy("id").agg(F.sum("part").alias("part"))
-    found = asked.join(summed, "id", "left").select("x", (F.coalesce("part", F.lit(0.0)) / n).alias("density"))
-    return queries.select("id", "x").join(found, "x").select(F.col("id").alias(row_id), "density")
+    found = a.groupBy(*keys).cogroup(b.groupBy(*keys)).applyInPandas(kernels, "id bigint, " + ", ".join(f"{c} double" for c in names))
+    return found.groupBy("id").agg(*[F.sum(c).alias(c) for c in names]).select("id", F.array(*names).alias("sums"))

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lattica.functions.workers import ship
@@ -87,12 +87,17 @@ class Forest:
 # ---------------------------------------------------------------- growing
 def bin_edges(df: DataFrame, features: list[str], bins: int = BINS) -> list[np.ndarray]:
     """Ascending upper edges of each feature's bins: all its values if there are few, else approximate quantiles."""
+    return _bin_edges(df, features, [F.lit(True)], bins)[0]
+
+
+def _bin_edges(df: DataFrame, features: list[str], parts: list[Column], bins: int) -> list[list[np.ndarray]]:
+    """The edges of each part of df, those rows for which a condition holds; two scans for all of them."""
     complete = finite(df, features)
-    value = lambda c: F.col(c).cast("double")
-    few = complete.agg(*[F.approx_count_distinct(value(c), 0.02).alias(f"n{i}") for i, c in enumerate(features)]).first()
-    edges = [F.collect_set(value(c)) if few[f"n{i}"] <= bins else F.array_append(F.percentile_approx(value(c), [k / bins for k in range(1, bins)], 100 * bins), F.max(value(c))) for i, c in enumerate(features)]
-    row = complete.agg(*[e.alias(f"e{i}") for i, e in enumerate(edges)]).first()
-    return [np.unique(row[f"e{i}"] or [0.0]) for i in range(len(features))]
+    values = [[F.when(part, F.col(c).cast("double")) for c in features] for part in parts]
+    few = complete.agg(*[F.approx_count_distinct(v, 0.02).alias(f"n{k}_{i}") for k, own in enumerate(values) for i, v in enumerate(own)]).first()
+    edges = lambda v, n: F.collect_set(v) if n <= bins else F.array_append(F.percentile_approx(v, [k / bins for k in range(1, bins)], 100 * bins), F.max(v))
+    row = complete.agg(*[edges(v, few[f"n{k}_{i}"]).alias(f"e{k}_{i}") for k, own in enumerate(values) for i, v in enumerate(own)]).first()
+    return [[np.unique(row[f"e{k}_{i}"] or [0.0]) for i in range(len(features))] for k in range(len(parts))]
 
 
 def _chosen(seed: int, tree: int, node: int, n: int, most: int) -> np.ndarray:
@@ -100,9 +105,12 @@ def _chosen(seed: int, tree: int, node: int, n: int, most: int) -> np.ndarray:
     return np.arange(n) if most >= n else np.sort(np.random.default_rng([seed, tree, node]).permutation(n)[:most])
 
 
-def _histograms(rows: DataFrame, trees: dict[int, Tree], level: int, edges: list[np.ndarray], weigh: Callable, most: int, seed: int) -> DataFrame:
-    """Rows (tree, node, feature, bin, w, s): sums of weights and weighted targets in the nodes of a level."""
-    n_features, n_bins, first, count = len(edges), max(map(len, edges)), 2**level - 1, 2**level
+def _histograms(rows: DataFrame, trees: dict[int, Tree], level: int, forests: dict[int, list[np.ndarray]], weigh: Callable, most: int, seed: int, per: int) -> DataFrame:
+    """Rows (tree, node, feature, bin, w, s): sums of weights and weighted targets in the nodes of a level.
+
+    forests: the edges of each forest, which has `per` trees that follow one another.
+    """
+    n_features, n_bins, first, count = len(next(iter(forests.values()))), max(len(e) for edges in forests.values() for e in edges), 2**level - 1, 2**level
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         w = {t: np.zeros((count, n_features, n_bins)) for t in trees}
@@ -111,8 +119,9 @@ def _histograms(rows: DataFrame, trees: dict[int, Tree], level: int, edges: list
             if not len(pdf):
                 continue
             x, y = np.stack(pdf["x"].to_numpy()).astype(float), pdf["y"].to_numpy(dtype=float)
-            place = np.stack([np.minimum(np.searchsorted(e, x[:, f]), len(e) - 1) for f, e in enumerate(edges)], axis=1)
+            places = {k: np.stack([np.minimum(np.searchsorted(e, x[:, f]), len(e) - 1) for f, e in enumerate(edges)], axis=1) for k, edges in forests.items()}
             for t, tree in trees.items():
+                place = places[t // per]
                 weight, node = weigh(pdf, x, y, t), tree.nodes(x) - first
                 here = (node >= 0) & (node < count) & (weight > 0)
                 for f in range(n_features):
@@ -123,7 +132,7 @@ def _histograms(rows: DataFrame, trees: dict[int, Tree], level: int, edges: list
         for t in trees:
             mask = np.zeros((count, n_features, 1), dtype=bool)
             for node in range(count):
-                mask[node, _chosen(seed, t, first + node, n_features, most)] = True
+                mask[node, _chosen(seed, t % per, first + node, n_features, most)] = True
             node, f, b = np.nonzero((w[t] > 0) & mask)
             yield pd.DataFrame({"tree": t, "node": node + first, "feature": f, "bin": b, "w": w[t][node, f, b], "s": s[t][node, f, b]})
 
@@ -153,26 +162,32 @@ def _cuts(histograms: DataFrame, edges: list[np.ndarray], least: float, random_c
 
 
 def _grow(rows: DataFrame, edges: list[np.ndarray], trees: dict[int, Tree], depth: int, weigh: Callable, least: float, most: int, seed: int, random_cuts: bool) -> None:
+    _grow_forests(rows, [edges], trees, len(trees), depth, weigh, least, most, seed, random_cuts)
+
+
+def _grow_forests(rows: DataFrame, forests: list[list[np.ndarray]], trees: dict[int, Tree], per: int, depth: int, weigh: Callable, least: float, most: int, seed: int, random_cuts: bool) -> None:
+    """Grow forests of `per` trees, which follow one another, in the same scans; forests: the edges of each. Random cuts are for one forest only."""
     for level in range(depth + 1):
-        per = 2**level * len(edges) * max(map(len, edges)) * 2
-        step = max(1, HELD // per)
+        held = 2**level * len(forests[0]) * max(len(e) for edges in forests for e in edges) * 2
+        step = max(1, HELD // held)
         for at in range(0, len(trees), step):
             part = dict(list(trees.items())[at : at + step])
-            found = _cuts(_histograms(rows, part, level, edges, weigh, most, seed), edges, least, seed if random_cuts else None)
+            own = {k: forests[k] for k in sorted({t // per for t in part})}
+            found = _cuts(_histograms(rows, part, level, own, weigh, most, seed, per), forests[0], least, seed if random_cuts else None)
             for r in found.collect():  # a row for each node
                 t, best = trees[r.tree], r.best
                 t.value[r.node], t.cover[r.node] = r.s / r.w, r.w
                 if best is None or level == depth:
                     continue
-                t.feature[r.node], t.cut[r.node], t.gain[r.node] = best.feature, edges[best.feature][best.bin], -best.loss
+                t.feature[r.node], t.cut[r.node], t.gain[r.node] = best.feature, forests[r.tree // per][best.feature][best.bin], -best.loss
                 for child, w, s in ((2 * r.node + 1, best.wl, best.sl), (2 * r.node + 2, r.w - best.wl, r.s - best.sl)):
                     t.value[child], t.cover[child] = s / w, w
         if level + 1 == depth:  # the children of the last cuts have their values
             return
 
 
-def _rows(df: DataFrame, row_id: str, features: list[str], target: str) -> DataFrame:
-    return finite(df, [*features, target]).select(F.col(row_id).alias("id"), array_of(features).alias("x"), F.col(target).cast("double").alias("y"))
+def _rows(df: DataFrame, row_id: str, features: list[str], target: str, *more: str) -> DataFrame:
+    return finite(df, [*features, target]).select(F.col(row_id).alias("id"), array_of(features).alias("x"), F.col(target).cast("double").alias("y"), *more)
 
 
 def _checked(trees: int, depth: int) -> None:
@@ -191,17 +206,25 @@ def random_forest(df: DataFrame, row_id: str, features: list[str], target: str,
 
     Rows that miss a feature or the target are left out. least: the weight of either side of a cut.
     """
-    _checked(trees, depth)
-    rows = _rows(df, row_id, features, target).withColumn("bags", bags("id", trees))
-    forest = Forest(list(features), depth, [Tree.empty(depth) for _ in range(trees)])
+    return random_forests(df, row_id, features, target, [F.lit(True)], trees, depth, least, most_features, bins, seed)[0]
+
+
+def random_forests(df: DataFrame, row_id: str, features: list[str], target: str, parts: list[Column], trees: int = 20, depth: int = 5, least: float = 1.0, most_features: int | None = None, bins: int = BINS, seed: int = 0) -> list[Forest]:
+    """A random_forest of each part of df, those rows for which a condition holds, all grown in the same scans."""
+    _checked(trees * len(parts), depth)
+    inside = [F.coalesce(p, F.lit(False)) for p in parts]
+    flagged = df.withColumn("__parts", F.array(*[p.cast("double") for p in inside]))
+    rows = _rows(flagged, row_id, features, target, "__parts").withColumn("bags", bags("id", trees))
+    forests = [Forest(list(features), depth, [Tree.empty(depth) for _ in range(trees)]) for _ in parts]
 
     def weigh(pdf: pd.DataFrame, x: np.ndarray, y: np.ndarray, t: int) -> np.ndarray:
         if "bags" not in pdf.attrs:
-            pdf.attrs["bags"] = np.stack(pdf["bags"].to_numpy())
-        return pdf.attrs["bags"][:, t]
+            pdf.attrs["bags"], pdf.attrs["parts"] = np.stack(pdf["bags"].to_numpy()), np.stack(pdf["__parts"].to_numpy())
+        return pdf.attrs["bags"][:, t % trees] * pdf.attrs["parts"][:, t // trees]
 
-    _grow(rows, bin_edges(df, features, bins), dict(enumerate(forest.trees)), depth, weigh, least, most_features or len(features), seed, False)
-    return forest
+    grown = {k * trees + i: t for k, forest in enumerate(forests) for i, t in enumerate(forest.trees)}
+    _grow_forests(rows, _bin_edges(df, features, inside, bins), grown, trees, depth, weigh, least, most_features or len(features), seed, False)
+    return forests
 
 
 def extra_trees(df: DataFrame, row_id: str, features: list[str], target: str, trees: int = 20, depth: int = 5, least: float = 1.0, most_features: int | None = None, bins: int = BINS, seed: int = 0) -> Forest:

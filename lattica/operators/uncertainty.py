@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.functions import normal
+from lattica.functions.scratch import Kept
 
 LOG_2PI = 1.8378770664093453
 
@@ -99,18 +100,30 @@ def _simplex(k: int, rounds: int, tolerance: float) -> Generator[list[np.ndarray
 def calibrate(df: DataFrame, power: int = 1, sigma: str = "y_err", residual: str = "residual", rounds: int = 60, tolerance: float = 1e-7) -> list[float]:
     """Parameters that minimise nll, by the simplex method; each step is one aggregation.
 
-    The caller caches the table.
+    Rows with the same sigma are summed up before, so that a step reads the distinct sigmas only.
     """
     search = _simplex(power + 1, rounds, tolerance)
     points = next(search)
+    r2 = F.pow(F.col(residual).cast("double"), F.lit(2))
+    sums = Kept(df.groupBy(F.col(sigma).cast("double").alias("s")).agg(F.count("*").alias("n"), F.count(residual).alias("known"), F.sum(r2).alias("r2")), "sigmas")
     while True:
-        row = df.agg(*[nll(F.col(residual), recalibrated(F.col(sigma), [F.lit(float(a)) for a in x])).alias(f"v{i}") for i, x in enumerate(points)]).first()
+        # points go as a table, so that every step is the same program; as many as the simplex has corners
+        asked = sums.df.sparkSession.createDataFrame([([[float(a) for a in x] for x in points],)], "__p array<array<double>>")
+        value = lambda i: recalibrated(F.col("s"), [F.get(F.get("__p", F.lit(i)), F.lit(j)) for j in range(power + 1)])
+        row = sums.df.join(F.broadcast(asked)).agg(*[_nll_of_sums(value(i)).alias(f"v{i}") for i in range(len(points))]).first()
         try:
             points = search.send([float("inf") if v is None else v for v in row])
         except StopIteration as end:
+            sums.drop()
             return [float(x) for x in end.value]
 
 
+def _nll_of_sums(sigma: Column) -> Column:
+    """nll of rows (n, known, r2): numbers of rows, of those with a residual, and sums of squared residuals."""
+    each = F.when((sigma > 0) & (F.col("known") == F.col("n")), (F.col("n") * (LOG_2PI + 2 * F.ln(sigma)) + F.col("r2") / (sigma * sigma)) / 2)
+    return F.when(F.count(each) == F.count("*"), F.sum(each) / F.sum("n"))
+
+
 def calibrate_bins(binned: DataFrame, sigma: str = "y_err", residual: str = "residual", rounds: int = 60, tolerance: float = 1e-7) -> DataFrame:
     """Rows (bin, a, b): the line that minimises nll, for every bin by itself.
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lattica.operators import cleaning, neighbours
+from lattica.operators import cleaning, neighbours, trees
 from lattica.plans import applicability, dataset
 
 
@@ -55,3 +55,13 @@ def test_densities_are_of_places(spark, monkeypatch):
     data = dataset.load(df, "id", features=["a", "b"], target="y")
     fitted = applicability.fit(data, k=2, n_clusters=(2,), n_trees=2, depth=2, bins=2)
     assert fitted.predict(df).count() == 900 and sizes and max(sizes) <= 20
+
+
+def test_folds_share_their_scans(spark, monkeypatch):
+    """Kernels between places are measured once for all folds, and their forests grow in the same scans."""
+    built, grown, build, histograms = [], [], neighbours.build, trees._histograms
+    monkeypatch.setattr(neighbours, "build", lambda *a, **k: (built.append(1), build(*a, **k))[1])
+    monkeypatch.setattr(trees, "_histograms", lambda *a, **k: (grown.append(1), histograms(*a, **k))[1])
+    df = spark.range(300).select("id", (F.col("id") % 5).cast("double").alias("a"), (F.col("id") % 4).cast("double").alias("b"), (F.pmod(F.xxhash64("id"), F.lit(100)) / 10).alias("y"))
+    applicability.fit(dataset.load(df, "id", features=["a", "b"], target="y"), k=3, n_clusters=(2,), n_trees=2, depth=2, bins=2)
+    assert len(built) == 1 and len(grown) == 2
