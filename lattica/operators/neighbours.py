@@ -26,8 +26,8 @@ PIVOTS = 1024
 #: Training rows and queries of a block at most, of up to WIDTH features; with more features blocks are smaller. Smaller
 #: tables are cut into SHARES, but not into blocks of fewer than LEAST rows.
 BLOCK, QUERIES, WIDTH, SHARES, LEAST = 32768, 32768, 64, 8, 4096
-#: Queries that are placed or compared at a time, and training rows that are.
-CHUNK, TILE = 256, 2048
+#: Queries that are placed or compared at a time, training rows that are, and pairs that are measured anew.
+CHUNK, TILE, PAIRS = 256, 2048, 16384
 #: A kernel further away than so many bandwidths adds less than 1e-17 of its height.
 REACH = 9.0
 #: Room for the rounding of distances that come from products.
@@ -268,22 +268,27 @@ def _search(routed: DataFrame, dealt: DataFrame, cells: Cells, k: int, skip_self
             every, ys, rows = right["id"].to_numpy(), right["y"].to_numpy(dtype=float), _frame(right)
             ranks = np.unique(every, return_inverse=True)[1]
             for part, a, seen in _chunks(left, right, cells):
-                whole = len(seen) == len(every)
-                ids, y, b, rank = (every, ys, rows, ranks) if whole else (every[seen], ys[seen], rows[seen], ranks[seen])
-                own = part["id"].to_numpy()
-                d = distances(a, b, metric, p)
-                if skip_self:
-                    d[own[:, None] == ids[None, :]] = np.inf
-                limit = np.fmin(np.partition(d, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1], part["bound"].to_numpy(dtype=float))
-                # all that may be among the k nearest, then their distances without the rounding of products
-                room = _SLACK * (1 + np.where(np.isfinite(limit), limit, 0) + np.linalg.norm(a, axis=1) + np.linalg.norm(b, axis=1).max())
-                i, j = np.nonzero((d <= (limit + room)[:, None]) & np.isfinite(d))
-                exact = np.round(paired(a[i], b[j], metric, p), 12)
-                order = np.lexsort((rank[j], exact, i))
-                i, j, exact = i[order], j[order], exact[order]
-                place = np.arange(len(i)) - np.searchsorted(i, i)
-                keep = place < k
-                found.append(pd.DataFrame({"id": own[i[keep]], "neighbour": ids[j[keep]], "distance": exact[keep], "y": y[j[keep]]}))
+                own, limit, size = part["id"].to_numpy(), part["bound"].to_numpy(dtype=float, copy=True), np.linalg.norm(a, axis=1)
+                i, j, exact = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)
+                for at in range(0, len(seen), TILE):
+                    tile = seen[at : at + TILE]
+                    b = rows[tile]
+                    d = distances(a, b, metric, p)
+                    if skip_self:
+                        d[own[:, None] == every[tile][None, :]] = np.inf
+                    upto = np.fmin(np.partition(d, min(k, len(tile)) - 1, axis=1)[:, min(k, len(tile)) - 1], limit)
+                    # all that may be among the k nearest, then their distances without the rounding of products
+                    room = _SLACK * (1 + np.where(np.isfinite(upto), upto, 0) + size + np.linalg.norm(b, axis=1).max())
+                    n, m = np.nonzero((d <= (upto + room)[:, None]) & np.isfinite(d))
+                    measured = [np.round(paired(a[n[c : c + PAIRS]], b[m[c : c + PAIRS]], metric, p), 12) for c in range(0, len(n), PAIRS)]
+                    i, j, exact = np.concatenate([i, n]), np.concatenate([j, tile[m]]), np.concatenate([exact, *measured])
+                    order = np.lexsort((ranks[j], exact, i))
+                    i, j, exact = i[order], j[order], exact[order]
+                    place = np.arange(len(i)) - np.searchsorted(i, i)
+                    last = place == k - 1
+                    limit[i[last]] = np.fmin(limit[i[last]], exact[last])
+                    i, j, exact = i[place < k], j[place < k], exact[place < k]
+                found.append(pd.DataFrame({"id": own[i], "neighbour": every[j], "distance": exact, "y": ys[j]}))
         return pd.concat(found) if found else pd.DataFrame({"id": left["id"].iloc[:0], "neighbour": left["id"].iloc[:0], "distance": pd.Series(dtype=float), "y": pd.Series(dtype=float)})
 
     a, b = _blocks(routed, dealt, cells)

@@ -1,8 +1,10 @@
 """The neighbour join and the kernel densities against all pairs, and their plans."""
 
 import inspect
+from types import SimpleNamespace
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -142,3 +144,23 @@ def test_neighbours_send_a_query_once_for_a_block(spark, monkeypatch):
 
 def test_nearest_baseline_sends_a_query_once_for_a_block(spark, monkeypatch):
     assert _copies(spark, monkeypatch, lambda test, train, names: baselines.nearest(test, train, "id", names, "y")) == (600, 600)
+
+
+def test_training_rows_of_a_block_are_compared_by_tiles(monkeypatch):
+    """What a block needs besides its rows doesn't grow with them, and its nearest are those of all pairs."""
+    r = np.random.default_rng(5)
+    train, test = np.round(r.normal(0, 1, (3 * neighbours.TILE + 5, 6)), 1), np.round(r.normal(0, 1, (40, 6)), 1)
+    train[::9], seen, run, distances = train[0], [], {}, neighbours.distances
+    cells = neighbours.Cells(train[:8], "euclidean", 3.0)
+    own, d = cells.own(train)
+    cells.count, cells.radius = np.bincount(own, minlength=8), np.array([d[own == i].max(initial=0) for i in range(8)])
+    side = SimpleNamespace(groupBy=lambda *a: SimpleNamespace(cogroup=lambda other: SimpleNamespace(applyInPandas=lambda work, schema: run.update(work=work))))
+    monkeypatch.setattr(neighbours, "_blocks", lambda *a: (side, side))
+    monkeypatch.setattr(neighbours, "distances", lambda a, b, *m: (seen.append(len(b)), distances(a, b, *m))[1])
+    kind = SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))
+    neighbours._search(SimpleNamespace(schema={"id": kind}), None, cells, 4, False)
+    left = pd.DataFrame({"id": np.arange(40), "x": list(test), "bound": np.nan, "reach": np.inf})
+    got = run["work"](left, pd.DataFrame({"id": np.arange(len(train)), "x": list(train), "y": 1.0, "cell": own}))
+    assert max(seen) <= neighbours.TILE
+    for i, want in enumerate(brute(test, train, 4, "euclidean")):
+        assert got[got.id == i].neighbour.tolist() == [j for j, _ in want]
