@@ -146,7 +146,8 @@ def test_nearest_baseline_sends_a_query_once_for_a_block(spark, monkeypatch):
     assert _copies(spark, monkeypatch, lambda test, train, names: baselines.nearest(test, train, "id", names, "y")) == (600, 600)
 
 
-def test_training_rows_of_a_block_are_compared_by_tiles(monkeypatch):
+@pytest.mark.parametrize("k", [4, 1])
+def test_training_rows_of_a_block_are_compared_by_tiles(monkeypatch, k):
     """What a block needs besides its rows doesn't grow with them, and its nearest are those of all pairs."""
     r = np.random.default_rng(5)
     train, test = np.round(r.normal(0, 1, (3 * neighbours.TILE + 5, 6)), 1), np.round(r.normal(0, 1, (40, 6)), 1)
@@ -158,9 +159,9 @@ def test_training_rows_of_a_block_are_compared_by_tiles(monkeypatch):
     monkeypatch.setattr(neighbours, "_blocks", lambda *a: (side, side))
     monkeypatch.setattr(neighbours, "distances", lambda a, b, *m: (seen.append(len(b)), distances(a, b, *m))[1])
     kind = SimpleNamespace(dataType=SimpleNamespace(simpleString=lambda: "bigint"))
-    neighbours._search(SimpleNamespace(schema={"id": kind}), None, cells, 4, False)
+    neighbours._search(SimpleNamespace(schema={"id": kind}), None, cells, k, False)
     left = pd.DataFrame({"id": np.arange(40), "x": list(test), "bound": np.nan, "reach": np.inf})
     got = run["work"](left, pd.DataFrame({"id": np.arange(len(train)), "x": list(train), "y": 1.0, "cell": own}))
     assert max(seen) <= neighbours.TILE
-    for i, want in enumerate(brute(test, train, 4, "euclidean")):
+    for i, want in enumerate(brute(test, train, k, "euclidean")):
         assert got[got.id == i].neighbour.tolist() == [j for j, _ in want]
