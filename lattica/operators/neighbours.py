@@ -37,7 +37,9 @@ _SLACK = 1e-6
 def distances(a: np.ndarray, b: np.ndarray, metric: str = "euclidean", p: float = 3.0) -> np.ndarray:
     """Distances of all rows of a to all rows of b."""
     if metric == "euclidean":
-        return np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
+        out = 2 * a @ b.T
+        np.subtract((a * a).sum(1)[:, None] + (b * b).sum(1), out, out=out)
+        return np.sqrt(np.maximum(out, 0, out=out), out=out)
     if metric in ("cosine", "correlation"):
         if metric == "correlation":
             a, b = a - a.mean(1, keepdims=True), b - b.mean(1, keepdims=True)
@@ -98,11 +100,13 @@ class Cells:
         return np.sqrt(np.maximum(2 * d, 0)) if self.metric in ("cosine", "correlation") else d
 
     def own(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The cell of each row and its distance from the pivot."""
+        """The cell of each row and its distance from the pivot, measured for CHUNK rows at a time."""
         at, there = self.placed(x)
-        d = self.to_pivots(at)
-        cell = d.argmin(1)
-        return np.where(there, cell, -1), np.where(there, d[np.arange(len(x)), cell], 0.0)
+        cell, far = np.zeros(len(x), dtype=np.int64), np.zeros(len(x))
+        for c in range(0, len(x), CHUNK):
+            d = self.to_pivots(at[c : c + CHUNK])
+            cell[c : c + CHUNK], far[c : c + CHUNK] = d.argmin(1), d.min(1)
+        return np.where(there, cell, -1), np.where(there, far, 0.0)
 
     def open(self, x: np.ndarray, reach: np.ndarray) -> np.ndarray:
         """Whether the cells (columns; the last is cell -1) may hold a row within reach of each row of x."""
@@ -276,10 +280,14 @@ def _search(routed: DataFrame, dealt: DataFrame, cells: Cells, k: int, skip_self
                     d = distances(a, b, metric, p)
                     if skip_self:
                         d[own[:, None] == every[tile][None, :]] = np.inf
-                    upto = np.fmin(np.partition(d, min(k, len(tile)) - 1, axis=1)[:, min(k, len(tile)) - 1], limit)
+                    # from the second tile on, only what beats the k-th so far is looked at
+                    upto = limit if at and np.isfinite(limit).all() else np.fmin(np.partition(d, min(k, len(tile)) - 1, axis=1)[:, min(k, len(tile)) - 1] if k > 1 else d.min(1), limit)
                     # all that may be among the k nearest, then their distances without the rounding of products
                     room = _SLACK * (1 + np.where(np.isfinite(upto), upto, 0) + size + np.linalg.norm(b, axis=1).max())
-                    n, m = np.nonzero((d <= (upto + room)[:, None]) & np.isfinite(d))
+                    n, m = np.divmod(np.flatnonzero(d <= (upto + room)[:, None]), len(tile))
+                    n, m = n[finite := np.isfinite(d[n, m])], m[finite]
+                    if not len(n):
+                        continue
                     measured = [np.round(paired(a[n[c : c + PAIRS]], b[m[c : c + PAIRS]], metric, p), 12) for c in range(0, len(n), PAIRS)]
                     i, j, exact = np.concatenate([i, n]), np.concatenate([j, tile[m]]), np.concatenate([exact, *measured])
                     order = np.lexsort((ranks[j], exact, i))

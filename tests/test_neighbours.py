@@ -165,3 +165,14 @@ def test_training_rows_of_a_block_are_compared_by_tiles(monkeypatch, k):
     assert max(seen) <= neighbours.TILE
     for i, want in enumerate(brute(test, train, k, "euclidean")):
         assert got[got.id == i].neighbour.tolist() == [j for j, _ in want]
+
+
+def test_rows_are_placed_a_chunk_at_a_time(monkeypatch):
+    """What placing needs doesn't grow with the rows of a batch times the pivots."""
+    x, seen, distances = np.random.default_rng(6).normal(0, 1, (3 * neighbours.CHUNK + 5, 4)), [], neighbours.distances
+    cells = neighbours.Cells(x[::50], "euclidean", 3.0)
+    want = distances(x, x[::50])
+    monkeypatch.setattr(neighbours, "distances", lambda a, b, *m: (seen.append(len(a)), distances(a, b, *m))[1])
+    cell, far = cells.own(x)
+    assert max(seen) <= neighbours.CHUNK
+    assert (cell == want.argmin(1)).all() and np.allclose(far, want.min(1))
