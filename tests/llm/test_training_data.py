@@ -461,6 +461,18 @@ def test_fuzzy_lines_against_brute_force(spark):
     assert len(gone) >= 0.95 * sum(expected[i] != i for i in expected) > 30
 
 
+def test_links_of_large_buckets_are_all_found(spark):
+    """Lines with three words in common, the first of which has the least hash; twelve of them again with each other word altered."""
+    r = random.Random(8)
+    least = spark.createDataFrame([(w,) for w in words(3000, 77).split() if len(w) > 5], "w string").orderBy(F.xxhash64("w").bitwiseOR(F.lit(-1 << 63))).first().w
+    rows = [" ".join([least, "neighbours", "together", *words(14, 4000 + k).split()]) for k in range(40)]
+    rows += [" ".join(a.split()[:3] + [w[:-1] + "z" for w in a.split()[3:]]) for a in r.sample(rows, 12)]
+    similar = lambda a, b: 1 - edit_distance(rows[a], rows[b]) / max(len(rows[a]), len(rows[b])) >= line_dedup.SIMILARITY
+    expected = roots(range(len(rows)), similar)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {x.doc_id for x in line_dedup.dropped(df).collect()} == {i for i in expected if expected[i] != i} == set(range(40, 52))
+
+
 def test_edit_similarity_is_exact(spark):
     r = random.Random(12)
     pairs = []
