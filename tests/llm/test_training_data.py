@@ -473,6 +473,44 @@ def test_links_of_large_buckets_are_all_found(spark):
     assert {x.doc_id for x in line_dedup.dropped(df).collect()} == {i for i in expected if expected[i] != i} == set(range(40, 52))
 
 
+def test_pairs_of_large_buckets_are_ruled_out_where_they_meet(spark, monkeypatch):
+    """Lines of the same words in other orders, of whose pairs letters rule out none: few pairs leave the join, and slices of a bucket find all links."""
+    r = random.Random(15)
+    least = spark.createDataFrame([(w,) for w in words(3000, 77).split() if len(w) > 5], "w string").orderBy(F.xxhash64("w").bitwiseOR(F.lit(-1 << 63))).first().w
+    bag = "understanding horizon industry hundred shoulder national hospital island railroad finished sunday distribution insurance landlord hardship traditions syndrome".split()
+    rows = [" ".join([least, "neighbours", "together", *r.sample(bag, len(bag))]) for _ in range(30)]
+    rows += [" ".join(a.split()[:3] + [w[:-1] + "z" for w in a.split()[3:]]) for a in r.sample(rows, 8)]
+    similar = lambda a, b: 1 - edit_distance(rows[a], rows[b]) / max(len(rows[a]), len(rows[b])) >= line_dedup.SIMILARITY
+    expected = roots(range(len(rows)), similar)
+    left, across = [], line_dedup.across
+
+    def counted(*tables):
+        out = across(*tables)
+        left.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "across", counted)
+    monkeypatch.setattr(line_dedup, "SLICE", 7, raising=False)
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert {x.doc_id for x in line_dedup.dropped(df).collect()} == {i for i in expected if expected[i] != i} == set(range(30, 38))
+    assert left[0] < 100, left
+
+
+def test_letters_bound_edits(spark):
+    """Packed counts give the same bound as counting, also where a line has more of a letter than a lane holds."""
+    r = random.Random(21)
+    line = lambda: "".join(r.choice(r.choice(["ab", "abcdefghijklmnopqrstuvwxyz ", "z é1"])) for _ in range(r.randint(0, 90)))
+    rows = [(k, line(), line(), r.randint(0, 60)) for k in range(300)] + [(300, "a" * 5000, "b" * 5000, 1170), (301, "a" * 5000, "b" * 5000, 1169)]
+
+    def bound(a, b):
+        counts = [(min(a.count(c), line_dedup.COUNT), min(b.count(c), line_dedup.COUNT)) for c in line_dedup.COUNTED]
+        return max(sum(max(x - y, 0) for x, y in counts), sum(max(y - x, 0) for x, y in counts))
+
+    df = spark.createDataFrame(rows, "k long, a string, b string, most int").withColumns({"ca": line_dedup.letters(F.col("a")), "cb": line_dedup.letters(F.col("b"))}).localCheckpoint()
+    got = {x.k for x in df.where(line_dedup.within(F.col("ca"), F.col("cb"), F.col("most"))).collect()}
+    assert got == {k for k, a, b, most in rows if bound(a, b) <= most} and 50 < len(got) < 290 and 300 in got
+
+
 def test_edit_similarity_is_exact(spark):
     r = random.Random(12)
     pairs = []
