@@ -496,6 +496,41 @@ def test_pairs_of_large_buckets_are_ruled_out_where_they_meet(spark, monkeypatch
     assert left[0] < 100, left
 
 
+def test_middles_rule_out_lines_of_any_letters(spark, monkeypatch):
+    """Lines of the same words in other orders, whatever their letters: hardly a pair leaves the search of a large bucket. The bound never rules a link out."""
+    r = random.Random(28)
+    least = spark.createDataFrame([(w,) for w in words(3000, 77).split() if len(w) > 5], "w string").orderBy(F.xxhash64("w").bitwiseOR(F.lit(-1 << 63))).first().w
+    bag = "cabbage teapot vector project exam gateway factory boxcar topcoat jacket market comet bakery coffee yoga tobacco potato".split()
+    rows = [" ".join([least, "neighbours", "together", *r.sample(bag, len(bag))]) for _ in range(30)]
+    left, across = [], line_dedup.across
+
+    def counted(*tables):
+        out = across(*tables)
+        left.append(out.count())
+        return out
+
+    monkeypatch.setattr(line_dedup, "across", counted)
+    assert line_dedup.dropped(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")).count() == 0
+    assert left[0] < 50, left
+
+    pairs = []
+    for k in range(150):
+        x = "".join(r.choice("ab é") for _ in range(r.randint(1, 60)))
+        y = list(x)
+        for _ in range(r.randint(0, len(x) // 4 + 1)):
+            at = r.randrange(len(y) + 1)
+            y[at : at + r.randint(0, 1)] = r.choice(["", "b", "é"])
+        pairs.append((k, x, "".join(y)))
+    df = spark.createDataFrame(pairs, "k long, x string, y string").withColumns({"n": F.length("x"), "m": F.length("y")})
+    most = line_dedup.allowed(F.col("n"), F.col("m"))
+    n, m, cut = F.col("n"), F.col("m"), line_dedup.before_middle
+    kept = df.where((F.abs(n - m) <= most) & line_dedup.middles_alike(line_dedup.middle(F.col("x"), n), line_dedup.middle(F.col("y"), m), n, m, most, (cut(n), cut(m))))
+    links = {k for k, x, y in pairs if edit_distance(x, y) <= int(max(len(x), len(y)) * 0.2 + 1e-9)}
+    assert links <= {i.k for i in kept.select("k").collect()} and 30 < len(links) < 150
+    whole = df.where(line_dedup.middles_alike(F.col("x"), F.col("y"), n, m, most) & (F.abs(n - m) <= most))
+    assert {i.k for i in whole.select("k").collect()} == {i.k for i in kept.select("k").collect()}  # a line's middle is all that is looked at
+
+
 def test_letters_bound_edits(spark):
     """Packed counts give the same bound as counting, also where a line has more of a letter than a lane holds."""
     r = random.Random(21)
